@@ -59,7 +59,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of every word of a batch, and the n+1 word offsets of its texts."""
     data, offsets = buffers(texts)
     if not len(data):
@@ -76,7 +76,8 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     edges = np.searchsorted(at, starts)
     lengths = np.diff(np.append(edges, len(at)))
     place = np.arange(len(at)) - np.repeat(edges, lengths)
-    terms = (LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
+    chars = LOWER[data[at]] if lower else data[at]
+    terms = (chars.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
     hashes = mix(np.add.reduceat(terms, edges) + lengths.astype(np.uint64))
     return hashes, starts, starts + lengths, np.searchsorted(starts, offsets)
 
