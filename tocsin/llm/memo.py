@@ -22,7 +22,7 @@ def ragged(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[
 class Memo:
     """solve(data, starts, ends) gives (ids, offsets, numbers[segment, ...]) of segments not seen before."""
 
-    def __init__(self, solve: Callable, numbers: int, dtype=np.int32, limit: int = 600_000):
+    def __init__(self, solve: Callable, numbers: int, dtype=np.int32, limit: int = 1_000_000):
         self.solve, self.limit, self.dtype, self.width = solve, limit, dtype, numbers
         self.clear()
 

@@ -1,8 +1,10 @@
 """Token ids in files: frequency-ranked, byte-aligned variable length, control bytes apart.
 
-The tokenizer splits at white space at the latest, so a text's ids are those of
-its runs between ASCII white space; each distinct run is encoded once by the
-tokenizers library and remembered.  ``end_id`` is appended to every document.
+The tokenizer splits at white space, and between ASCII letters and ASCII marks
+other than the apostrophe, so a text's ids are those of its runs between such
+places; each distinct run is encoded once by the tokenizers library and
+remembered.  (Where a batch has ``<|``, as special tokens begin, only white space
+splits.)  ``end_id`` is appended to every document.
 
 Format.  Ids are replaced by their rank among all ids of the corpus (most
 frequent first, ties by id).  A rank takes 1 to 4 bytes, low byte first; four
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tocsin.llm.common import cut, shared_path
 from tocsin.llm.memo import Memo, ragged
-from tocsin.llm.shingles import buffers, words
+from tocsin.llm.shingles import LOWER, SPACE, buffers, mix, powers, words
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -63,13 +65,40 @@ def _memo(path: str) -> Memo:
             ids.append(np.fromiter((i for x in lists for i in x), dtype=np.int32))
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.zeros((len(starts), 0))
 
-    return Memo(solve, 0)
+    return Memo(solve, 0, limit=1_500_000)
+
+
+KIND = np.zeros(256, dtype=np.uint8)  # 1 ASCII letter, 2 ASCII mark but the apostrophe, 0 other
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+
+
+def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, hash, start, end) of the runs of a batch, and the offsets of the texts."""
+    data, offsets = buffers(texts)
+    if b"<|" in data.tobytes():
+        return data, *words(texts, lower=False)
+    inside = ~SPACE[data]
+    first = inside.copy()
+    kind = KIND[data]
+    first[1:] &= ~inside[:-1] | (kind[1:] + kind[:-1] == 3)
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return data, np.zeros(0, np.uint64), starts, starts, np.zeros(len(offsets), np.int64)
+    reach = np.append(starts[1:], len(data))
+    place = np.arange(len(data), dtype=np.int64)
+    place[starts[0] :] -= np.repeat(starts, reach - starts)
+    terms = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
+    terms[~inside] = 0
+    sizes = np.add.reduceat(inside, starts, dtype=np.int64)
+    return data, mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)), starts, starts + sizes, np.searchsorted(starts, offsets)
 
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch of texts, each with the end id, and the offsets of the texts."""
-    hashes, starts, ends, offsets = words(texts, lower=False)
-    data, _ = buffers(texts)
+    data, hashes, starts, ends, offsets = runs(texts)
     keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
     store = _memo(path)
     rows = store.rows_of(keys, data, starts[one], ends[one])
