@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tocsin.functions import dims
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded by binary arithmetic alone, so every engine agrees on ties."""
+    return F.floor(x * 10**digits + 0.5) / float(10**digits)
+
+
 def severity_weight(level: Column) -> Column:
     """Weight of a level; null or 0 counts as 1, others are clamped to 1..5."""
     clamped = F.least(F.greatest(F.when(level != 0, level).otherwise(1), F.lit(1)), F.lit(5))
@@ -31,6 +36,6 @@ def composite(events: Column, exercises: Column, base: Column) -> Column:
     return F.round(F.least((events * dims.WEIGHT_EVENTS + exercises * dims.WEIGHT_EXERCISES + base * dims.WEIGHT_BASE) * 100, F.lit(100.0)), 1)
 
 
-def exercise_share(scale: Column) -> Column:
-    """Scale against a full one; null or 0 is the default scale."""
-    return F.least(F.coalesce(F.nullif(scale, F.lit(0)), F.lit(dims.DEFAULT_SCALE)) / F.lit(float(dims.FULL_SCALE)), F.lit(1.0))
+def exercise_scale(scale: Column) -> Column:
+    """Scale up to a full one; null or 0 is the default scale."""
+    return F.least(F.coalesce(F.nullif(scale, F.lit(0)), F.lit(dims.DEFAULT_SCALE)), F.lit(dims.FULL_SCALE)).cast("long")

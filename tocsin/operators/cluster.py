@@ -15,6 +15,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def first_independent(items: DataFrame, edges: DataFrame, max_rounds: int = 100)
     raise RuntimeError(f"no decision within {max_rounds} rounds")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity 0..100: the better of matching as written (lower case) and with words sorted."""
 
@@ -114,7 +115,7 @@ def token_similarity_of(x: str, y: str, enough: float = 70.0) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Title similarity 0..100; exact below 70, at least the threshold above it."""
     return pd.Series([token_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

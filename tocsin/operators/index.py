@@ -74,7 +74,7 @@ def exercise_days(exercises: DataFrame, days: DataFrame) -> DataFrame:
 def exercise_parts(exercises: DataFrame) -> DataFrame:
     """region, date, ex (mean capped scale), rh (rescaled mean rhetoric) and count, for days with any."""
     spread = exercises.where("announcement_status <> 'archived' and start_date <= end_date").select("region", F.explode(F.sequence(F.date_sub("start_date", dims.AHEAD_DAYS), F.col("end_date"))).alias("date"), "scale", "rhetoric_score")
-    return spread.groupBy("region", "date").agg(F.avg(scoring.exercise_share(F.col("scale"))).alias("ex"), ((F.avg("rhetoric_score") + 1) / 2).alias("rh"), F.count("*").alias("n_exercises"))
+    return spread.groupBy("region", "date").agg((F.sum(scoring.exercise_scale(F.col("scale"))) / (F.count("*") * float(dims.FULL_SCALE))).alias("ex"), ((F.sum(F.col("rhetoric_score").cast("decimal(10,4)")).cast("double") / F.count("rhetoric_score") + 1) / 2).alias("rh"), F.count("*").alias("n_exercises"))
 
 
 def composite_history(incidents: DataFrame, exercises: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
@@ -85,5 +85,6 @@ def composite_history(incidents: DataFrame, exercises: DataFrame, baselines: Dat
         scored = scored.join(F.broadcast(baselines.select("region", "baseline")), "region", "left")  # one row a region
     else:
         scored = scored.withColumn("baseline", F.lit(None).cast("double"))
+    scored = scored.withColumn("gz", F.round("gz", 6))  # beyond what summation order can change
     base, ex = F.coalesce("baseline", F.lit(dims.DEFAULT_BASELINE)), F.coalesce("ex", F.lit(0.0))
-    return scored.select("region", "date", scoring.composite(F.col("gz"), ex, base).alias("ei_score"), F.round(F.col("gz") * 100, 1).alias("gz_score"), F.round(ex * 100, 1).alias("ex_score"), F.round(F.coalesce("rh", F.lit(0.5)) * 100, 1).alias("rh_score"), F.round("kappa", 4).alias("kappa"), "reports_30d", "events_30d")
+    return scored.select("region", "date", scoring.composite(F.col("gz"), ex, base).alias("ei_score"), scoring.half_up(F.col("gz") * 100, 1).alias("gz_score"), scoring.half_up(ex * 100, 1).alias("ex_score"), scoring.half_up(F.coalesce("rh", F.lit(0.5)) * 100, 1).alias("rh_score"), F.round("kappa", 4).alias("kappa"), "reports_30d", "events_30d")

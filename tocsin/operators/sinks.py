@@ -22,7 +22,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) ->
 def upsert_counts(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row: how many keys of new are created, updated, and of existing untouched."""
     marked = existing.select(key).distinct().withColumn("old", F.lit(True)).join(new.select(key).distinct().withColumn("fresh", F.lit(True)), key, "full_outer")
-    return marked.agg(F.count_if("old is null").alias("created"), F.count_if("old and fresh").alias("updated"), F.count_if("fresh is null").alias("untouched"))
+    return marked.agg(F.count_if(F.expr("old is null")).alias("created"), F.count_if(F.expr("old and fresh")).alias("updated"), F.count_if(F.expr("fresh is null")).alias("untouched"))
 
 
 def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.functions.scoring import half_up
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -73,5 +75,6 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily value of each region: the mean of its events."""
-    daily = dense_incidents(spark, sf_dir).groupBy("region", "date").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
-    return daily.select("region", "date", F.round("v", 4).alias("ei_score"), "n")
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))  # whole numbers: the sum doesn't depend on its order
+    daily = dense_incidents(spark, sf_dir).groupBy("region", "date").agg(cents.alias("cents"), F.count("*").alias("n"))
+    return daily.select("region", "date", half_up(F.col("cents") / (F.col("n") * 100.0), 4).alias("ei_score"), "n")
