@@ -36,7 +36,8 @@ def first_independent(items: DataFrame, edges: DataFrame, max_rounds: int = 100)
     edges = written(edges.select("a", "b").distinct(), "conflicts")
     for _ in range(max_rounds):
         waiting = edges.join(undecided.select(F.col("id").alias("b")), "b", "left_semi").join(undecided.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        new = written(undecided.join(waiting, "id", "left_anti"), "kept")
+        led = edges.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+        new = written(undecided.join(waiting, "id", "left_anti").join(led, "id", "left_anti"), "kept")
         kept = kept.unionByName(new)
         hit = edges.join(kept.select(F.col("id").alias("a"), F.col("pos").alias("at")), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "at").alias("rep"))
         rest = undecided.join(new.select("id"), "id", "left_anti")
