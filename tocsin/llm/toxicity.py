@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import crc_bucket
@@ -43,9 +43,9 @@ DECAY = 0.6
 PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 SPAN = 24
 TABLE_BITS = 20
-LANDMARKS = 384
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 20_000_000
-MAX_WORDS = 60_000
+LANDMARKS = 256
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 1500, 4_000_000
+MAX_WORDS = 30_000
 BOUNDS = (0.0, 0.5, 1.0)
 THRESHOLD = 0.7
 FOLDS = 3
@@ -272,12 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 20).dropDuplicates(["doc_id"])  # chosen: at most max_toxic + max_clean rows
-    got, used, out = sorted(rows.collect(), key=lambda r: (r.lot, r.doc_id)), 0, []
-    for r in got:
-        used += len(r.text)
-        if used > max_bytes:
-            break
-        out.append(r)
+    order = Window.orderBy("lot", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("used", F.sum(F.octet_length("text")).over(order)).where(F.col("used") <= max_bytes).orderBy("lot", "doc_id").collect()
     return Model([r.text for r in out], [r.toxic == 1 for r in out])
 
 
