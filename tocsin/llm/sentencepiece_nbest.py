@@ -249,7 +249,7 @@ def memo(model: str) -> Memo:
         score, loss, ids, edges = solve(pieces(model), model, data, starts, ends)
         return ids, edges, np.stack([score, loss], axis=1)
 
-    return Memo(found, 2)
+    return Memo(found, 2, limit=500_000)
 
 
 class Encoded:
@@ -327,8 +327,8 @@ DIGEST = "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores
 def _digest(model: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for at in range(0, big.num_rows, 1024):
+                batch = big.slice(at, 1024)
                 e = Encoded(batch["text"], model)
                 text, places = e.decoded()
                 crc, scores, counts, same = [], [], [], []
@@ -394,8 +394,8 @@ def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for at in range(0, big.num_rows, 1024):
+                batch = big.slice(at, 1024)
                 e = Encoded(batch["text"], model)
                 data, places = e.decoded()
                 text = [data[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(places[:-1], places[1:], strict=True)]
