@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import slices
 from tocsin.llm.shingles import distinct, shingles, words
 
 THRESHOLD = 0.75
@@ -68,8 +69,8 @@ class Items:
 def _search(items: Items, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                yield _one(items, percent, big.slice(at, 2048))
+            for batch in slices(big, 2048):
+                yield _one(items, percent, batch)
 
     return run
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import slices
 from tocsin.llm.shingles import LOWER, PLACES, buffers, mix, powers
 
 GRAM, WINDOW, BAND, MIN_COVERAGE = 3, 3, 12, 0.75
@@ -164,8 +165,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for batch in slices(big, 2048):
                 words, starts, ends, offsets, data, begins = word_hashes(batch["text"])
                 place, template, spot = index.probe(grams(words))
                 owner = np.searchsorted(offsets, place, side="right") - 1

@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import slices
 from tocsin.llm.memo import Memo, ragged
 from tocsin.llm.shingles import BASE, buffers, mix, powers
 
@@ -327,8 +328,7 @@ DIGEST = "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores
 def _digest(model: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                batch = big.slice(at, 1024)
+            for batch in slices(big, 1024):
                 e = Encoded(batch["text"], model)
                 text, places = e.decoded()
                 crc, scores, counts, same = [], [], [], []
@@ -362,8 +362,7 @@ def encode_nbest(docs: DataFrame, n: int = NBEST, model: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
+            for batch in slices(big, 512):
                 e = Encoded(batch["text"], model)
                 rows = [(batch["doc_id"][i].as_py(), k, s, e.path(i, c)) for i in range(batch.num_rows) for k, (s, c) in enumerate(e.nbest(i, n))]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "rank", "score", "ids"])
@@ -394,8 +393,7 @@ def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                batch = big.slice(at, 1024)
+            for batch in slices(big, 1024):
                 e = Encoded(batch["text"], model)
                 data, places = e.decoded()
                 text = [data[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(places[:-1], places[1:], strict=True)]

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import cut, shared_path
+from tocsin.llm.common import cut, shared_path, slices
 from tocsin.llm.memo import Memo, ragged
 from tocsin.llm.shingles import LOWER, SPACE, buffers, mix, powers, words
 
@@ -147,8 +147,7 @@ def _encoded(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for batch in slices(big, 2048):
                 ids, edges = encode(batch["text"], path, end_id)
                 docs = batch["doc_id"].fill_null(FIRST).to_numpy()
                 shard = np.searchsorted(bounds, docs)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import crc_bucket
+from tocsin.llm.common import crc_bucket, slices
 from tocsin.llm.shingles import LOWER, buffers, words
 
 DECAY = 0.6
@@ -285,8 +285,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for batch in slices(big, 2048):
                 s = shared.value.scores(batch["text"])
                 yield pa.record_batch([batch[c] for c in kept] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*kept, "score", "predicted"])
 
