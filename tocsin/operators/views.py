@@ -118,3 +118,25 @@ def brief_context(incidents: DataFrame, exercises: DataFrame) -> DataFrame:
     ex = top_per(exercises, "region", [F.desc("start_date"), F.desc("id")], 4).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "start_date", "name").alias("line")))).alias("e"))
     lines = lambda c, n: F.array_join(F.transform(F.slice(F.coalesce(c, F.array().cast("array<struct<k:int,line:string>>")), 1, n), lambda s: s["line"]), "; ")
     return inc.join(ex, "region", "full_outer").select("region", lines(F.col("i"), 8).alias("reports"), lines(F.col("e"), 3).alias("exercises"))
+
+
+def relevant_exercises(exercises: DataFrame, region: str, theatre: str) -> DataFrame:
+    """Exercises whose name or region has the first word of a region, or whose region has its theatre."""
+    first = region.split()[0].lower()
+    hit = F.lower("name").contains(first) | F.lower("region").contains(first) | F.lower("region").contains(theatre.lower())
+    return exercises.where(F.coalesce(hit, F.lit(False)))
+
+
+def dossiers(incidents: DataFrame, exercises: DataFrame) -> DataFrame:
+    """Number and newest day of each region's reports and exercises; regions of either table."""
+    inc = incidents.groupBy("region").agg(F.count("*").alias("reports"), F.max("date").alias("newest_report"))
+    ex = exercises.groupBy("region").agg(F.count("*").alias("exercises"), F.max("start_date").alias("newest_exercise"))
+    both = inc.join(ex, "region", "full_outer")
+    return both.select("region", F.coalesce("reports", F.lit(0)).alias("reports"), "newest_report", F.coalesce("exercises", F.lit(0)).alias("exercises"), "newest_exercise")
+
+
+def keys_in_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that one table has and the other hasn't, with the side that has them."""
+    sides = [x.select(key).distinct().withColumn(name, F.lit(True)) for x, name in ((left, "l"), (right, "r"))]
+    both = sides[0].join(sides[1], key, "full_outer").where("l is null or r is null")
+    return both.select(key, F.when(F.col("r").isNull(), "left").otherwise("right").alias("only_in"))
