@@ -81,6 +81,21 @@ def test_jaccard_equals_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: find(k) for k in sets}
 
 
+def least_signatures(texts, most):
+    """The texts of the least set signatures, which lead their index lists."""
+    sets = jaccard_join._sets(pa.array(texts))
+    return [texts[k] for k in np.argsort(jaccard_join._signatures(*sets))[:most]]
+
+
+def test_jaccard_large_family_gets_new_leaders(spark):
+    passage, others = text(31, 44), [text(32, 16), text(33, 16)]  # the others are more frequent, so no prefix has them but their own
+    lone = [least_signatures([f"{passage} w{k} {t}" for k in range(4000)], 1)[0] for t in others]
+    rows = lone + [f"{passage} u{k} v{k}" for k in range(160)] + [f"{t} p{k}{j} q{k}{j}" for j, t in enumerate(others) for k in range(320)]
+    assert set(least_signatures(rows[:162], 2)) == set(lone)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k if k < 2 else 2 if k < 162 else 162 if k < 482 else 482 for k in range(len(rows))}
+
+
 def test_sentencepiece(docs, none):
     got = sentencepiece_nbest.nbest_digest(docs).collect()
     assert len(got) == len(fixture()) and all(r.round_trip for r in got)

@@ -294,24 +294,28 @@ def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionByName(ruled_out)
 
 
-def _next_pairs(families: DataFrame, links: DataFrame, last: bool) -> DataFrame:
-    """What the leaders' answers leave open, for families whose members aren't all connected yet.
+def _next_pairs(families: DataFrame, used: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """What the leaders' answers leave open, for families whose members aren't all connected yet, and the leaders used (f, x) with the new ones.
 
-    families: f (first leader), x, n, far and exact (distance to f, or a bound).  A
+    families: f (first leader), x, n, far and exact (distance to f, or a bound).
+    labels: id and component of what is linked so far.  A
     family with many members outside its first leader's component gets one of them
     as a new leader, to be compared with every member of another component; in a
     smaller one (or at last) each such member is paired with those of other components.
+    No member leads twice, and one whose component has no leader yet comes first.
     """
-    labels = connected_components(links, "a", "b")
     placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    placed = placed.join(used.withColumn("led", F.lit(True)), ["f", "x"], "left").withColumn("led", F.col("led").isNotNull())
     own = placed.where("x = f").select("f", F.col("c").alias("main"))
     loose = placed.join(own, "f").where("c <> main")
-    counted = loose.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("lead"))
+    parts = loose.groupBy("f", "c").agg(F.count("*").alias("many"), F.min(F.when(~F.col("led"), F.col("x"))).alias("lead"), F.max("led").alias("led"))
+    counted = parts.groupBy("f").agg(F.sum("many").alias("many"), F.coalesce(F.min(F.when(~F.col("led"), F.col("lead"))), F.min("lead")).alias("lead"))
     seeds = loose.join(counted, "f") if last else loose.join(counted, "f").where(f"many <= {SMALL_FAMILY} or x = lead")
     seeds = seeds.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"))
     apart = "not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
     pairs = seeds.join(placed, "f").where(f"c <> c_p and 4 * least(n, n_p) >= 3 * greatest(n, n_p) and {apart}")
-    return pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct()
+    new = counted.where("lead is not null").select("f", F.col("lead").alias("x"))
+    return pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), used.unionByName(new)
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +332,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     lead = cut(both.where("block is null and doc_id is not null").join(named, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "named")
     spotted = source.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))).where("doc_id is not null").select("doc_id", "text", "spot")
-    links = tested_all = sets = fetched = families = None
+    links = tested_all = sets = fetched = families = used = None
+    last = False
     for turn in range(MAX_LEADERS):
         screened = _screen(pairs, lead)
         wanted = screened.where("open").select(F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("doc_a").alias("doc_id")), F.struct(F.col("b").alias("sig"), F.col("doc_b").alias("doc_id")))).alias("s")).select("s.*").distinct()
@@ -345,11 +350,20 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if families is None:
             led = tested.where("family = 1")
             families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
+            used = led.select(F.col("a").alias("f"), F.col("a").alias("x")).distinct()
             families = cut(families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct()), "families")
-        pairs = _next_pairs(families, links, turn == MAX_LEADERS - 2)
-        pairs = cut(pairs.join(tested_all.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
-        if turn == MAX_LEADERS - 1 or not pairs.take(1):
+        if turn == MAX_LEADERS - 1 or last:
             break
+        known = tested_all.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        labels = connected_components(links, "a", "b")
+        for last in (False, True) if turn < MAX_LEADERS - 2 else (True,):  # leaders that leave nothing open don't settle what is loose
+            pairs, leaders = _next_pairs(families, used, labels, last)
+            pairs = cut(pairs.join(known, ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
+            if pairs.take(1):
+                break
+        else:
+            break
+        used = cut(leaders, "leaders")
     return described, links
 
 
