@@ -96,6 +96,19 @@ def test_jaccard_large_family_gets_new_leaders(spark):
     assert {r.doc_id: r.component_id for r in got} == {k: k if k < 2 else 2 if k < 162 else 162 if k < 482 else 482 for k in range(len(rows))}
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    passage = text(34, 44)
+    rows = [(None, least_signatures([f"{passage} n{k} m{k}" for k in range(4000)], 1)[0])] + [(k, f"{passage} u{k} v{k}") for k in range(20)]
+    assert least_signatures([t for _, t in rows], 1) == [rows[0][1]]
+    for k in range(12):  # two texts under one id, each with a near copy
+        a, b = text(300 + k, 40), text(400 + k, 40)
+        rows += [(1000 + k, a), (1000 + k, b), (100 + k, a + " end"), (200 + k, b + " end end")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None)
+    assert found == sorted([(k, 0) for k in range(20)] + [(d, c) for k in range(12) for d, c in [(1000 + k, 100 + k), (1000 + k, 200 + k), (100 + k, 100 + k), (200 + k, 200 + k)]])
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
 def test_sentencepiece(docs, none):
     got = sentencepiece_nbest.nbest_digest(docs).collect()
     assert len(got) == len(fixture()) and all(r.round_trip for r in got)

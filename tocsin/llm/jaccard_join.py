@@ -24,7 +24,8 @@ when ``100 * |A & B| >= 75 * |A | B|``; the result has each document's component
    distance from below.  Whole sets are fetched for the others alone.
 
 Given rows: null text or no words: empty set, linked with nothing.  A repeated
-doc_id keeps its rows.  A null doc_id links with nothing: its component is null.
+doc_id keeps its rows, each with its own set.  A null doc_id links with nothing:
+its row isn't indexed, and its component is null.
 Extra columns are ignored.  An empty table gives an empty result.
 """
 
@@ -217,7 +218,7 @@ def _probe(group: pa.Table) -> pa.Table:
 
 
 def _emit_sets(bitmap: bytes):
-    """The sets of documents whose bit is set, as sorted 64-bit integers."""
+    """The sets of documents whose bit is set, as sorted 64-bit integers, with their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, dtype=np.uint32)
@@ -228,7 +229,7 @@ def _emit_sets(bitmap: bytes):
             for part in slices(batch, 512):
                 values, offsets = _sets(part["text"])
                 blobs = [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.record_batch([part["doc_id"], pa.array(blobs, pa.binary())], names=["doc_id", "elements"])
+                yield pa.record_batch([part["doc_id"], pa.array(_signatures(values, offsets)), pa.array(blobs, pa.binary())], names=["doc_id", "sig", "elements"])
 
     return run
 
@@ -326,7 +327,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     levels = _levels(both.where("block is not null").select("block", "counts"))
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = int(max(4, min(1 << 20, total // 2_000_000)))
-    index = source.select("text").mapInArrow(_index(levels, buckets), "bucket int, postings binary, sigs binary, sizes binary")
+    index = source.where("doc_id is not null").select("text").mapInArrow(_index(levels, buckets), "bucket int, postings binary, sigs binary, sizes binary")
     found = index.groupBy("bucket").applyInArrow(_probe, "a long, b long, family int")
     pairs = cut(found.groupBy("a", "b").agg(F.max("family").alias("family")), "candidates")
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
@@ -339,7 +340,7 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = screened.where("open").select(F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("doc_a").alias("doc_id")), F.struct(F.col("b").alias("sig"), F.col("doc_b").alias("doc_id")))).alias("s")).select("s.*").distinct()
         wanted = cut(wanted if fetched is None else wanted.join(fetched, "sig", "left_anti"), "wanted")
         if sets is None or wanted.take(1):
-            more = spotted.mapInArrow(_emit_sets(id_filter(wanted, "doc_id")), "doc_id long, elements binary").join(wanted, "doc_id").select("sig", "elements")
+            more = spotted.mapInArrow(_emit_sets(id_filter(wanted, "doc_id")), "doc_id long, sig long, elements binary").join(wanted, ["doc_id", "sig"]).select("sig", "elements")
             more = cut(more.dropDuplicates(["sig"]), "sets", "none")
             sets = more if sets is None else sets.unionByName(more)
             fetched = wanted.select("sig") if fetched is None else fetched.unionByName(wanted.select("sig"))
