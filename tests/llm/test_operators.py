@@ -153,6 +153,25 @@ def test_decontamination(spark, docs):
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0 and decontaminate.contained_items(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    rows, items, expected = [], [], set()
+    for k in range(280):
+        w, n = text(500 + k, 300).split(), 5 + k % 7
+        item = w[100 : 100 + n]
+        if k % 14 >= 7 and n >= 8:
+            item[-1] = "other"  # one shingle of 4 to 7 is missing
+        rows.append((k, " ".join(w)))
+        items.append((k, " ".join(item)))
+    items.append((999, "gone " * 30))  # one distinct shingle, however long
+    rows.append((999, text(999, 200) + " gone" * 6 + " " + text(998, 200)))
+    sets = {k: shingle_set(t) for k, t in rows}
+    for i, t in items:
+        s = shingle_set(t)
+        expected |= {(d, i, len(s & x)) for d, x in sets.items() if 100 * len(s & x) >= 75 * len(s)}
+    got = decontaminate.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(expected) >= 281 and sorted((r.doc_id, r.item_id, r.n_shared) for r in got) == sorted(expected)
+
+
 def test_html():
     page = "<title>no</title><p>one <b>two</b>\n three<p>four<ul><li>a<li>b</ul><table><tr><th>Name<th>Qty<tr><td>apple pie<td>3</table>x<br>y<div hidden>no</div>&amp;<script>no</script>"
     assert html_text.html_text(page) == "one two three\n\nfour\n\n- a\n- b\n\nName       Qty\napple pie  3\n\nx\ny&"

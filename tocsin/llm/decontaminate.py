@@ -11,6 +11,11 @@ least for 0.75), and 32 MinHash values share none with a probability under 0.3 %
 at that bound.  Windows are built from minima of blocks, and each wider partition
 from pairs of the last one's blocks, so all partitions cost little more than one.
 
+An item whose distinct shingles are at most half of its partition's block (8 in the
+lowest partition) would fall below that bound, so it is looked up by shingles: a
+document that holds enough of n shingles holds one of any n - need + 1 of them.
+These items are found without a miss.
+
 Candidates are verified against the whole document's shingles.  The items are a
 stated query set: they are searched in blocks of at most ``LOT_BYTES``, each sent
 to the tasks that scan all documents; documents are never shuffled.
@@ -44,9 +49,9 @@ SHIFTS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
 class Items:
-    """MinHash values of a lot of items by size partition, and their sets for verification."""
+    """MinHash values of a lot of items by size partition, shingles of those too short for it, and their sets for verification."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], percent: int):
         hashes, _, _, offsets = words(pa.array(texts, pa.string()))
         values, offsets, _ = shingles(hashes, offsets)
         lengths = np.diff(offsets)
@@ -55,7 +60,13 @@ class Items:
         self.sets = [sets[edges[i] : edges[i + 1]] for i in range(len(ids))]
         self.level = [int(max(0, np.ceil(np.log2(max(n, 1) / BLOCK)))) for n in lengths]
         self.owners: dict[tuple[int, int], dict[int, list[int]]] = {}
+        self.short: dict[int, list[int]] = {}
         for i, members in enumerate(self.sets):
+            if 2 * len(members) <= BLOCK << self.level[i]:
+                need = -(-percent * len(members) // 100)
+                for x in members[: len(members) - max(need, 1) + 1].tolist():
+                    self.short.setdefault(x, []).append(i)
+                continue
             for k in range(PERMUTATIONS if len(members) else 0):
                 least = int((members * FACTORS[k] + SHIFTS[k]).min())
                 self.owners.setdefault((self.level[i], k), {}).setdefault(least, []).append(i)
@@ -64,6 +75,9 @@ class Items:
             self.screen[key] = np.zeros(1 << 16, dtype=bool)
             self.screen[key][[x & 0xFFFF for x in least]] = True
         self.levels = sorted({level for level, _ in self.owners})
+        self.short_keys = np.array(sorted(self.short), dtype=np.uint64)
+        self.short_screen = np.zeros(1 << 16, dtype=bool)
+        self.short_screen[(self.short_keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
 
 def _search(items: Items, percent: int):
@@ -80,6 +94,11 @@ def _one(items: Items, percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     values, offsets, _ = shingles(hashes, offsets)
     sizes = np.diff(offsets)
     found: set[tuple[int, int]] = set()
+    if len(values) and len(items.short_keys):
+        at = np.flatnonzero(items.short_screen[(values & np.uint64(0xFFFF)).astype(np.int64)])
+        at = at[np.isin(values[at], items.short_keys)]
+        for d, x in zip((np.searchsorted(offsets, at, side="right") - 1).tolist(), values[at].tolist(), strict=True):
+            found.update((d, i) for i in items.short[x])
     if len(values) and items.levels:
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), blocks)
@@ -123,7 +142,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     parts = []
     for lot in range(lots):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(lots)) == lot).collect()  # about LOT_BYTES
-        found = Items([r.item_id for r in rows], [r.text for r in rows])
+        found = Items([r.item_id for r in rows], [r.text for r in rows], round(100 * threshold))
         parts.append(source.mapInArrow(_search(found, round(100 * threshold)), "doc_id long, item_id long, n_item long, n_shared long"))
     spark.sparkContext.setJobDescription(None)
     return reduce(DataFrame.unionByName, parts).withColumn("containment", F.expr("n_shared / n_item"))
