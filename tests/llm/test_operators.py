@@ -179,6 +179,17 @@ def test_html():
     assert "deep" in html_text.html_text("<div>" * 5000 + "deep")
 
 
+def test_html_stray_quotes_and_formulas():
+    show = html_text.html_text
+    assert show("<p class=\"a\"\">one</p><p>two \"x\"</p>") == "one\n\ntwo \"x\""
+    assert show("<a title=it's>one</a> <b>two's</b> three") == "one two's three"
+    assert show("<p title='a > b' x\"hidden y= \"<i>\" =\"z>one<p 'hidden>two<p hidden>no") == "one\n\ntwo"
+    assert show("<p title=\"a>open <p>no") == ""
+    assert show("let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> be") == "let x=2 be"
+    assert show("<svg><title/><title>no</title><desc/><desc>no</desc><style>no</style><path d=1 /><text>one</text><text>two</text></svg><p>three <desc>four</desc>") == "one\ntwo\n\nthree four"
+    assert show("<p " + "a" * 100000 + " " * 100000 + "=" * 1000 + ">one") == "one"
+
+
 def test_pii(spark):
     t = "mail a.b@c.org or +1 (389) 555-5010 at 10.0.0.1, card 4111 1111 1111 1111, not 999.1.1.1"
     rows = spark.createDataFrame([(1, t), (2, None), (3, ""), (1, t)], "doc_id long, text string")

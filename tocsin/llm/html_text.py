@@ -1,11 +1,12 @@
 """HTML to text as a browser lays it out.
 
 A small tree builder takes the tags as they come: void elements, raw-text elements
-(script, style, textarea, title), implied ends (a new li, p, tr, td, dt, option
+(script, style, textarea, title), quotes only around values, implied ends (a new li, p, tr, td, dt, option
 closes the open one; a block closes an open p; an end tag closes what is open
 inside its element), and implied rows and bodies of tables.  Whole subtrees are
 invisible: head, script, style, template, noscript and the like, ``hidden``,
-``display:none`` and ``visibility:hidden``, ``input type=hidden``.
+``display:none`` and ``visibility:hidden``, ``input type=hidden``; the title, desc,
+annotation and style parts of svg and math, whose other text is shown.
 
 All visible text comes out: runs of white space are one space, blocks start on a
 line of their own with a blank line between paragraphs, headings, lists and
@@ -34,7 +35,10 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist title meta link noembed noframes area base param source track".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link noembed noframes area base param source track".split())
+FOREIGN = frozenset({"svg", "math"})
+FOREIGN_UNSEEN = frozenset("desc metadata defs symbol annotation annotation-xml".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mtext mi mo mn ms".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article aside header footer main nav address form li dt dd center details summary dir menu figcaption legend caption tr tbody thead tfoot optgroup option hgroup search".split())
 CLOSES_P = BLOCKS - frozenset("html body li dt dd tr tbody thead tfoot caption option optgroup legend summary".split())
@@ -42,16 +46,16 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"o
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 BARRIERS = frozenset({"table", "td", "th", "caption", "html", "button", "template", "object"})
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str] | None = None):
-        self.tag, self.attributes, self.children = tag, attributes or {}, []
+    def __init__(self, tag: str, attributes: dict[str, str] | None = None, foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes or {}, [], foreign
 
 
 def parse(source: str) -> Node:
@@ -94,8 +98,9 @@ def parse(source: str) -> Node:
                         break
         elif m[2]:
             tag = m[2].lower()
-            attributes = {}
+            attributes, end = {}, 0
             for a in ATTRIBUTE.finditer(m[3] or ""):
+                end = a.end()
                 attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
             if tag in CLOSES_P:
                 close({"p"}, BARRIERS)
@@ -107,8 +112,11 @@ def parse(source: str) -> Node:
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
-            node = Node(tag, attributes)
+            near = next((n.tag for n in reversed(stack) if n.tag in FOREIGN or n.tag in HTML_INSIDE), "")
+            node = Node(tag, attributes, near in FOREIGN)
             stack[-1].children.append(node)
+            if (node.foreign or tag in FOREIGN) and m[3][end:].endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 text = source[at : end.start() if end else len(source)]
@@ -121,7 +129,7 @@ def parse(source: str) -> Node:
 
 def unseen(node: Node) -> bool:
     a = node.attributes
-    return node.tag in UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and HIDDEN_STYLE.search(a["style"]))
+    return node.tag in UNSEEN or node.foreign and node.tag in FOREIGN_UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and HIDDEN_STYLE.search(a["style"]))
 
 
 class Writer:
@@ -208,7 +216,7 @@ def render(node: Node, out: Writer, keep: bool = False) -> None:
             out.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
             list_items(child, out, keep)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or child.foreign and tag == "text":
             space = 2 if tag in PARAGRAPHS else 1
             out.block(space)
             if tag in ("blockquote", "dd"):
