@@ -81,3 +81,12 @@ def test_composite_and_exercises(spark):
     got = {r.date: r for r in X.composite_history(inc, ex).collect()}[dt.date(2024, 3, 1)]
     assert got.ex_score == 100.0 and got.rh_score == 75.0  # a null status drops out
     assert got.ei_score == pytest.approx(got.gz_score * 0.45 + 35 + 1, abs=0.11)
+
+
+def test_upper_median_counts_equal_values(spark):
+    from tocsin.operators.views import upper_median
+
+    rows = [("a", v) for v in (5, 1, 5, 5, 2, 9)] + [("b", v) for v in (3, None, 1)] + [("c", 7)] * 5000 + [("c", 8)] * 5000 + [("d", None)]
+    out = upper_median(spark.createDataFrame(rows, "k string, v int"), "k", "v")
+    assert {r.k: r.upper_median for r in out.collect()} == {"a": 5, "b": 3, "c": 8, "d": None}
+    assert "collect_list" not in out._jdf.queryExecution().toString()

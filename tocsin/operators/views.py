@@ -101,9 +101,14 @@ def exercise_totals(exercises: DataFrame, today: str) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The element at half the sorted length, of each key."""
-    ordered = F.array_sort(F.collect_list(value))
-    return rows.groupBy(key).agg(ordered.alias("v")).select(key, F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("upper_median"))
+    """The element at half the sorted length, of each key; nulls don't count.
+
+    Equal values are counted first, so a key's task gets a row a value.
+    """
+    counts = rows.groupBy(key, F.col(value).alias("v")).agg(F.count(value).alias("n"))
+    whole = Window.partitionBy(key)
+    upto = counts.withColumn("upto", F.sum("n").over(whole.orderBy("v"))).withColumn("total", F.sum("n").over(whole))
+    return upto.groupBy(key).agg(F.min(F.when(F.expr("upto > total div 2"), F.col("v"))).alias("upper_median"))
 
 
 def region_board(region_dim: DataFrame, latest: DataFrame) -> DataFrame:
