@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +14,47 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
-
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-    return f"{top.rstrip('/')}/tocsin/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that driver and executors share, below one folder for each application.
+
+    What an application has written there can be deleted as a whole when its results are saved.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{top.rstrip('/')}/tocsin/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as make it differ from the taken ones in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+    """run for mapInArrow; when a task ends, what its worker has remembered is dropped and free memory goes back to the system.
+
+    Workers outlive tasks and serve later stages, so what one stage keeps would count towards the next.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
 
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -58,7 +94,7 @@ def _with_minimum(edges: DataFrame, salts: int) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "salt"]).select("u", "v", "m")
 
 
-def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> DataFrame:
     """(id, component) for every id that an edge names; component is its least reachable id.
 
     Alternating large-star and small-star steps: the number of rounds is
@@ -69,7 +105,7 @@ def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4, max_r
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     now, seen = cut(now, "edges"), None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, salts).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = _with_minimum(large, salts)
@@ -78,8 +114,6 @@ def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4, max_r
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

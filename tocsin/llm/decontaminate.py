@@ -17,8 +17,8 @@ document that holds enough of n shingles holds one of any n - need + 1 of them.
 These items are found without a miss.
 
 Candidates are verified against the whole document's shingles.  The items are a
-stated query set: they are searched in blocks of at most ``LOT_BYTES``, each sent
-to the tasks that scan all documents; documents are never shuffled.
+stated query set: they are searched in lots of about ``LOT_BYTES``, one after the
+other, each sent to the tasks that scan all documents; documents are never shuffled.
 
 Defined cases: null or empty texts contain and match nothing.  An item or text of
 fewer than five words is one shingle, its whole sequence.  Repeated items and
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import slices
+from tocsin.llm.common import cut, released, slices
 from tocsin.llm.shingles import distinct, shingles, words
 
 THRESHOLD = 0.75
@@ -84,13 +84,27 @@ def _search(items: Items, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 2048):
-                yield _one(items, percent, batch)
+                rows = [(batch["doc_id"][d].as_py(), items.ids[i], len(items.sets[i]), shared) for d, i, shared in _found(items, percent, batch["text"])]
+                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "item_id", "n_item", "n_shared"])
 
-    return run
+    return released(run)
 
 
-def _one(items: Items, percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, _, _, offsets = words(batch["text"])
+def _clean(items: Items, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(big, 2048):
+                dirty = np.zeros(batch.num_rows, dtype=bool)
+                dirty[[d for d, _, _ in _found(items, percent, batch["text"])]] = True
+                yield batch.filter(pa.array(~dirty))
+
+    return released(run)
+
+
+def _found(items: Items, percent: int, texts: pa.Array) -> list[tuple[int, int, int]]:
+    """(row, item, shared shingles) of the items that a batch's texts contain."""
+    hashes, _, _, offsets = words(texts)
     values, offsets, _ = shingles(hashes, offsets)
     sizes = np.diff(offsets)
     found: set[tuple[int, int]] = set()
@@ -127,28 +141,30 @@ def _one(items: Items, percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
             members[d] = np.unique(values[offsets[d] : offsets[d + 1]])
         shared = int(np.isin(items.sets[i], members[d]).sum())
         if 100 * shared >= percent * len(items.sets[i]):
-            rows.append((batch["doc_id"][d].as_py(), items.ids[i], len(items.sets[i]), shared))
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.record_batch([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "item_id", "n_item", "n_shared"])
+            rows.append((d, i, shared))
+    return rows
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every test item found in a document."""
-    spark = docs.sparkSession
+def _lots(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
+    """The benchmark's items in lots of about LOT_BYTES, one in the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     lots = int(size // LOT_BYTES) + 1
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
     for lot in range(lots):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(lots)) == lot).collect()  # about LOT_BYTES
-        found = Items([r.item_id for r in rows], [r.text for r in rows], round(100 * threshold))
-        parts.append(source.mapInArrow(_search(found, round(100 * threshold)), "doc_id long, item_id long, n_item long, n_shared long"))
-    spark.sparkContext.setJobDescription(None)
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot).collect()  # about LOT_BYTES
+        yield Items([r.item_id for r in rows], [r.text for r in rows], round(100 * threshold))
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every test item found in a document."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = [cut(source.mapInArrow(_search(lot, round(100 * threshold)), "doc_id long, item_id long, n_item long, n_shared long"), "contained") for lot in _lots(benchmark, threshold)]
     return reduce(DataFrame.unionByName, parts).withColumn("containment", F.expr("n_shared / n_item"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that contain a test item; a null doc_id stays."""
-    dirty = contained_items(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    """docs without the rows whose own text contains a test item, whatever their ids; all columns stay. No shuffle."""
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    for k, lot in enumerate(_lots(benchmark, threshold)):
+        out = (cut(out, "clean") if k else out).mapInArrow(_clean(lot, round(100 * threshold)), out.schema)
+    return out

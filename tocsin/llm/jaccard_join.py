@@ -16,17 +16,23 @@ when ``100 * |A & B| >= 75 * |A | B|``; the result has each document's component
    off: its first set is the leader, and only leader pairs are computed.  As
    Jaccard distance is a metric, a member's answers follow from those of its
    leader: two members linked with the leader are connected already, and a pair
-   whose distances to the leader differ by over 0.25 cannot link.  Only what
-   neither rule settles is computed; the unlinked members get a new leader.
+   whose distances to the leader differ by over 0.25 cannot link.  Members outside
+   the leader's component lead in turn, all of them if they are at most
+   ``SMALL_FAMILY``, else ever larger shares (by hash).  A member linked with a new
+   leader needn't lead: its partners lie within 0.25 of its own distance, so only
+   that ring is computed.  This goes on until every such member has led or is
+   covered; no pair between components is left out.
 5. Computing.  Each set has a parity bitmap of about a bit an element (an element
    flips one bit).  The bits in which two bitmaps differ are at most the elements
    that the sets don't share, which rules most pairs out exactly and bounds their
    distance from below.  Whole sets are fetched for the others alone.
 
 Given rows: null text or no words: empty set, linked with nothing.  A repeated
-doc_id keeps its rows, each with its own set.  A null doc_id links with nothing:
-its row isn't indexed, and its component is null.
-Extra columns are ignored.  An empty table gives an empty result.
+doc_id keeps its rows, each with its own set.  For components, a null doc_id links
+with nothing: its row isn't indexed, and its component is null.  ``one_of_each``
+takes rows as they are: of a group, copies and near copies of any id, one row stays,
+the one with the least id (nulls last), then the least text hash.
+Extra columns are ignored, or kept as they are.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,13 +45,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import connected_components, cut, id_filter, slices
+from tocsin.llm.common import connected_components, cut, id_filter, released, slices
 from tocsin.llm.shingles import distinct, mix, shingles, sort_within, words
 
 WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-SMALL_LIST, SMALL_FAMILY, MAX_LEADERS = 8, 64, 5
-DESCRIBED = "doc_id long, n_shingles long, sig long, parity binary, block int, counts binary"
+SMALL_LIST, SMALL_FAMILY, SALTS = 8, 64, 16
+DESCRIBED = "doc_id long, key long, n_shingles long, sig long, parity binary, block int, counts binary"
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +84,7 @@ def _parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
     for big in batches:
         for batch in slices(big, 4096):
             values, offsets = _sets(batch["text"])
@@ -89,11 +95,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counted = values[np.repeat(first, np.diff(offsets))]
             sketch += np.bincount((counted & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             n = len(sig)
-            yield pa.record_batch([batch["doc_id"], np.diff(offsets), sig, pa.array(_parities(values, offsets), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.record_batch([batch["doc_id"], batch["key"], np.diff(offsets), sig, pa.array(_parities(values, offsets), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
     if sketch.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_BLOCKS)]
         none = pa.nulls(SKETCH_BLOCKS, pa.int64())
-        yield pa.record_batch([none, none, none, pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.record_batch([none, none, none, none, pa.nulls(SKETCH_BLOCKS, pa.binary()), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_blocks(key: tuple, group: pa.Table) -> pa.Table:
@@ -218,7 +224,7 @@ def _probe(group: pa.Table) -> pa.Table:
 
 
 def _emit_sets(bitmap: bytes):
-    """The sets of documents whose bit is set, as sorted 64-bit integers, with their signatures."""
+    """The sets of texts whose bit is set, as sorted 64-bit integers, with their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap, dtype=np.uint32)
@@ -229,7 +235,7 @@ def _emit_sets(bitmap: bytes):
             for part in slices(batch, 512):
                 values, offsets = _sets(part["text"])
                 blobs = [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.record_batch([part["doc_id"], pa.array(_signatures(values, offsets)), pa.array(blobs, pa.binary())], names=["doc_id", "sig", "elements"])
+                yield pa.record_batch([part["key"], pa.array(_signatures(values, offsets)), pa.array(blobs, pa.binary())], names=["key", "sig", "elements"])
 
     return run
 
@@ -253,7 +259,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = np.maximum(differ, np.abs(n_a - n_b))
         total = n_a + n_b
         shared = (total - differ) // 2
-        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "doc_a", "doc_b", "n_a", "n_b")), pa.array(100 * shared >= 75 * (total - shared)), pa.array(1 - shared / (total - shared))], names=["a", "b", "family", "doc_a", "doc_b", "n_a", "n_b", "open", "far"])
+        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "key_a", "key_b", "n_a", "n_b")), pa.array(100 * shared >= 75 * (total - shared)), pa.array(1 - shared / (total - shared))], names=["a", "b", "family", "key_a", "key_b", "n_a", "n_b", "open", "far"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +276,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _screen(pairs: DataFrame, lead: DataFrame) -> DataFrame:
-    sides = [lead.select(F.col("sig").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "family", "doc_a", "doc_b", "n_a", "n_b", "parity_a", "parity_b")
-    return cut(joined.mapInArrow(_screened, "a long, b long, family int, doc_a long, doc_b long, n_a long, n_b long, open boolean, far double"), "screened")
+    sides = [lead.select(F.col("sig").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b")]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "family", "key_a", "key_b", "n_a", "n_b", "parity_a", "parity_b")
+    return cut(joined.mapInArrow(released(_screened), "a long, b long, family int, key_a long, key_b long, n_a long, n_b long, open boolean, far double"), "screened")
 
 
 def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,83 +301,133 @@ def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionByName(ruled_out)
 
 
-def _next_pairs(families: DataFrame, used: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """What the leaders' answers leave open, for families whose members aren't all connected yet, and the leaders used (f, x) with the new ones.
+class Computed:
+    """All pairs computed so far; the sets that they need are fetched once each."""
 
-    families: f (first leader), x, n, far and exact (distance to f, or a bound).
-    labels: id and component of what is linked so far.  A
-    family with many members outside its first leader's component gets one of them
-    as a new leader, to be compared with every member of another component; in a
-    smaller one (or at last) each such member is paired with those of other components.
-    No member leads twice, and one whose component has no leader yet comes first.
+    def __init__(self, source: DataFrame, lead: DataFrame):
+        self.lead = lead
+        self.spotted = source.withColumn("spot", F.pmod(F.xxhash64("key"), F.lit(1 << 23))).select("key", "text", "spot")
+        self.sets = self.fetched = self.all = None
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, family) with linked, far and exact."""
+        screened = _screen(pairs, self.lead)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("sig"), F.col("key_b").alias("key"))))
+        wanted = screened.where("open").select(ends.alias("s")).select("s.*").distinct()
+        wanted = cut(wanted if self.fetched is None else wanted.join(self.fetched, "sig", "left_anti"), "wanted")
+        if self.sets is None or wanted.take(1):
+            more = self.spotted.mapInArrow(released(_emit_sets(id_filter(wanted, "key"))), "key long, sig long, elements binary").join(wanted, ["key", "sig"]).select("sig", "elements")
+            more = cut(more.dropDuplicates(["sig"]), "sets", "none")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+            self.fetched = wanted.select("sig") if self.fetched is None else self.fetched.unionByName(wanted.select("sig"))
+        tested = _compute(screened, self.sets)
+        named = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked", "far", "exact")
+        self.all = named if self.all is None else self.all.unionByName(named)
+        return tested
+
+    def links(self) -> DataFrame:
+        return self.all.where("linked").select("a", "b")
+
+
+def _salted(small: DataFrame) -> DataFrame:
+    """A few rows of each family, repeated for every salt, so that a large family's members may lie in several tasks."""
+    return small.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
+
+FITS = "4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
+#: What the distance between p and x is at least, from their sizes and their distances to the family's first leader.
+APART = "greatest(1 - least(n, n_p) / greatest(n, n_p), if(exact, far_p - far, 0), if(exact_p, far - far_p, 0))"
+
+
+def _settle(families: DataFrame, computed: Computed) -> None:
+    """Compute what the first leaders' answers leave open.
+
+    families: f (first leader), x, n, far and exact (distance to f, or a bound), salt.
     """
-    placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    placed = placed.join(used.withColumn("led", F.lit(True)), ["f", "x"], "left").withColumn("led", F.col("led").isNotNull())
-    own = placed.where("x = f").select("f", F.col("c").alias("main"))
-    loose = placed.join(own, "f").where("c <> main")
-    parts = loose.groupBy("f", "c").agg(F.count("*").alias("many"), F.min(F.when(~F.col("led"), F.col("x"))).alias("lead"), F.max("led").alias("led"))
-    counted = parts.groupBy("f").agg(F.sum("many").alias("many"), F.coalesce(F.min(F.when(~F.col("led"), F.col("lead"))), F.min("lead")).alias("lead"))
-    seeds = loose.join(counted, "f") if last else loose.join(counted, "f").where(f"many <= {SMALL_FAMILY} or x = lead")
-    seeds = seeds.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"))
-    apart = "not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
-    pairs = seeds.join(placed, "f").where(f"c <> c_p and 4 * least(n, n_p) >= 3 * greatest(n, n_p) and {apart}")
-    new = counted.where("lead is not null").select("f", F.col("lead").alias("x"))
-    return pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), used.unionByName(new)
-
-
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described, links): doc_id, n_shingles and sig of each row; linked pairs (a, b) of set signatures."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = cut(source.mapInArrow(_describe, DESCRIBED), "described")
-    described = both.where("block is null").select("doc_id", "n_shingles", "sig")
+    done, ring, share, turn = families.select("f", "x").limit(0), None, 4, 0
+    while True:
+        turn += 1
+        labels = connected_components(computed.links(), "a", "b")
+        placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+        own = _salted(placed.where("x = f").select("f", F.col("c").alias("main")))
+        placed = placed.join(own, ["f", "salt"]).join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
+        placed = cut(placed.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
+        pending = placed.where("pending")
+        counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least")))
+        chosen = pending.join(counted, ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
+        leaders = cut(chosen.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
+        if ring is None and not leaders.take(1):
+            return
+        spread = _salted(leaders).join(placed, ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
+        pairs = spread.where(FITS).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
+        if ring is not None:
+            pairs = pairs.unionByName(ring)
+        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
+        if pairs.take(1):
+            computed.add(pairs)
+        done, ring = done.unionByName(leaders.select("f", F.col("p").alias("x"))), None
+        if leaders.where("big").take(1):
+            near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
+            near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
+            near = cut(near.select("f", "p", "x", "n", "pending", "other", "at", F.coalesce("linked", F.lit(False)).alias("linked")), "near")
+            covered = near.where("linked and pending").groupBy("f", "x").agg(F.min(F.struct("at", "p", "n")).alias("m")).select("f", F.col("m.p").alias("p"), F.col("x").alias("q"), F.col("m.n").alias("n_p"), F.col("m.at").alias("at_q"))
+            covered = cut(covered, "covered")
+            beyond = near.where("other and not linked").select("f", "p", "x", "n", "at")
+            ring = covered.join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
+            done = done.unionByName(covered.select("f", F.col("q").alias("x")))
+        share *= 4
+
+
+def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(described, links): doc_id, key (text hash), n_shingles and sig of each row; linked pairs (a, b) of set signatures.
+
+    Rows without a doc_id are indexed only if null_ids is set.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    both = cut(source.mapInArrow(released(_describe), DESCRIBED), "described")
+    described = both.where("block is null").select("doc_id", "key", "n_shingles", "sig")
     levels = _levels(both.where("block is not null").select("block", "counts"))
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = int(max(4, min(1 << 20, total // 2_000_000)))
-    index = source.where("doc_id is not null").select("text").mapInArrow(_index(levels, buckets), "bucket int, postings binary, sigs binary, sizes binary")
+    wanted = "true" if null_ids else "doc_id is not null"
+    index = source.where(wanted).select("text").mapInArrow(released(_index(levels, buckets)), "bucket int, postings binary, sigs binary, sizes binary")
     found = index.groupBy("bucket").applyInArrow(_probe, "a long, b long, family int")
     pairs = cut(found.groupBy("a", "b").agg(F.max("family").alias("family")), "candidates")
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    lead = cut(both.where("block is null and doc_id is not null").join(named, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "named")
-    spotted = source.withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))).where("doc_id is not null").select("doc_id", "text", "spot")
-    links = tested_all = sets = fetched = families = used = None
-    last = False
-    for turn in range(MAX_LEADERS):
-        screened = _screen(pairs, lead)
-        wanted = screened.where("open").select(F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("doc_a").alias("doc_id")), F.struct(F.col("b").alias("sig"), F.col("doc_b").alias("doc_id")))).alias("s")).select("s.*").distinct()
-        wanted = cut(wanted if fetched is None else wanted.join(fetched, "sig", "left_anti"), "wanted")
-        if sets is None or wanted.take(1):
-            more = spotted.mapInArrow(_emit_sets(id_filter(wanted, "doc_id")), "doc_id long, sig long, elements binary").join(wanted, ["doc_id", "sig"]).select("sig", "elements")
-            more = cut(more.dropDuplicates(["sig"]), "sets", "none")
-            sets = more if sets is None else sets.unionByName(more)
-            fetched = wanted.select("sig") if fetched is None else fetched.unionByName(wanted.select("sig"))
-        tested = _compute(screened, sets)
-        here = tested.where("linked").select("a", "b")
-        links = here if links is None else links.unionByName(here)
-        tested_all = tested.select("a", "b") if tested_all is None else tested_all.unionByName(tested.select("a", "b"))
-        if families is None:
-            led = tested.where("family = 1")
-            families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
-            used = led.select(F.col("a").alias("f"), F.col("a").alias("x")).distinct()
-            families = cut(families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct()), "families")
-        if turn == MAX_LEADERS - 1 or last:
-            break
-        known = tested_all.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        labels = connected_components(links, "a", "b")
-        for last in (False, True) if turn < MAX_LEADERS - 2 else (True,):  # leaders that leave nothing open don't settle what is loose
-            pairs, leaders = _next_pairs(families, used, labels, last)
-            pairs = cut(pairs.join(known, ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
-            if pairs.take(1):
-                break
-        else:
-            break
-        used = cut(leaders, "leaders")
-    return described, links
+    each = both.where("block is null and sig <> 0").where(wanted).groupBy("sig").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
+    computed = Computed(source.where(wanted), cut(each.join(named, "sig"), "named"))
+    led = computed.add(pairs).where("family = 1")
+    families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
+    families = families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct())
+    _settle(cut(families.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "families"), computed)
+    return described, computed.links()
+
+
+def _labelled(described: DataFrame, links: DataFrame) -> DataFrame:
+    """described with label: one of the signatures of the row's group, null for an empty set."""
+    labels = connected_components(links, "a", "b").select(F.col("id").alias("sig"), F.col("component").alias("label"))
+    return described.join(labels, "sig", "left").withColumn("label", F.when(F.col("sig") != 0, F.coalesce("label", "sig")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) of every row of docs."""
-    described, links = jaccard_links(docs)
-    labels = connected_components(links, "a", "b").select(F.col("id").alias("sig"), F.col("component").alias("label"))
-    placed = described.join(labels, "sig", "left").withColumn("label", F.when(F.col("sig") != 0, F.coalesce("label", "sig")))
+    placed = _labelled(*jaccard_links(docs))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of copies and near copies, with all columns; rows without words stay.
+
+    Only ids and hashes are grouped; texts stay where they are but for rows of equal id and text.
+    """
+    placed = _labelled(*jaccard_links(docs, null_ids=True)).where("label is not null")
+    rows = cut(placed.groupBy("label", "doc_id", "key").agg(F.count("*").alias("many")), "rows")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    judged = rows.join(first, "label").withColumn("stays", F.expr("doc_id <=> first.doc_id and key = first.key")).where("not stays or many > 1")
+    judged = judged.select(F.col("doc_id").alias("judged_id"), F.col("key").alias("judged_key"), "stays")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"))
+    met = whole.join(judged, F.col("own_id").eqNullSafe(F.col("judged_id")) & (F.col("own_key") == F.col("judged_key")), "left")
+    single = met.where("stays is null").select("row.*")
+    repeated = met.where("stays").groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(repeated)

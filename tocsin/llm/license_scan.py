@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import slices
-from tocsin.llm.shingles import LOWER, PLACES, buffers, mix, powers
+from tocsin.llm.shingles import LOWER, PLACES, buffers, hashed_runs, mix
 
 GRAM, WINDOW, BAND, MIN_COVERAGE = 3, 3, 12, 0.75
 #: Public license notices.
@@ -61,14 +61,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] = inside[heads]
     starts = np.flatnonzero(first)
-    at = np.flatnonzero(inside)
-    edges = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(edges, len(at)))
     if not len(starts):
         return np.zeros(0, np.uint64), starts, starts, np.zeros(len(offsets), np.int64), data, offsets
-    place = np.arange(len(at)) - np.repeat(edges, lengths)
-    terms = (LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, edges) + lengths.astype(np.uint64)), starts, starts + lengths, np.searchsorted(starts, offsets), data, offsets
+    chars = LOWER[data[inside]]
+    before = np.cumsum(inside, dtype=np.int64)[starts] - 1
+    lengths = np.diff(np.append(before, len(chars)))
+    return hashed_runs(chars, before), starts, starts + lengths, np.searchsorted(starts, offsets), data, offsets
 
 
 def grams(words: np.ndarray) -> np.ndarray:

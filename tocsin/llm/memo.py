@@ -1,8 +1,8 @@
 """What a worker has worked out for segments of text, kept from batch to batch.
 
 Most segments of a batch were in an earlier one.  A segment is known by its
-64-bit hash; its result is a run of ids and some numbers.  The store is bounded:
-when it holds more than ``limit`` segments it starts anew.
+64-bit hash; its result is a run of ids and some numbers.  The store is bounded in
+bytes: when its arrays hold more than ``limit`` it starts anew.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def ragged(values: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[
 class Memo:
     """solve(data, starts, ends) gives (ids, offsets, numbers[segment, ...]) of segments not seen before."""
 
-    def __init__(self, solve: Callable, numbers: int, dtype=np.int32, limit: int = 1_000_000):
+    def __init__(self, solve: Callable, numbers: int, dtype=np.int32, limit: int = 48 << 20):
         self.solve, self.limit, self.dtype, self.width = solve, limit, dtype, numbers
         self.clear()
 
@@ -32,7 +32,7 @@ class Memo:
 
     def rows_of(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The store's row of each of the (sorted, distinct) keys; new ones are solved first."""
-        if len(self.keys) > self.limit:
+        if sum(x.nbytes for x in (self.keys, self.rows, self.flat, self.edges, self.numbers)) > self.limit:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)

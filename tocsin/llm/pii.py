@@ -11,24 +11,33 @@ Model.  Two generators propose every string that looks at all like an address or
 a grouped number; these overlap the base spans and each other.  A candidate is
 known by small counts and flags of its format and of the words before it.  As the
 features are small, all candidates of all documents aggregate into a table of at
-most a few thousand rows; the trees are boosted on that table.  A candidate that
-covers a base span is a positive example.  Three quarters of the documents (by
-hash of the id) fit the trees; on the rest, scores are calibrated per kind, and
-a candidate is added where the calibrated share of positives reaches
-``MIN_PRECISION`` and it overlaps no base span.
+most some thousand rows; the trees are boosted on that table.
+
+What it learns from.  No spans are labelled, and the base patterns need no model, so
+the positives are base spans in disguise: every base span of the documents is
+rewritten where it stands (``(at)``, ``[dot]``, a phone number without its plus, other
+separators), so its own form can't give it away, and is looked for again.  The
+negatives are all candidates of the documents off their base spans.  ``SYNTHETIC``
+sentences with numbers and addresses of either kind (dates, prices, versions, codes;
+local phone numbers, spelled-out addresses) are added, so that a small corpus can fit
+too.  Three quarters of the rows (by hash) fit the trees; on the rest, scores are
+calibrated per generator, and a candidate off the base spans is added where the
+calibrated share of positives reaches ``MIN_PRECISION``.
 
 Defined cases: null or empty text: no spans.  Rows are kept one for one, ids
-repeated or null included; extra columns don't matter.  Positions are code points
-from 0, end exclusive.  Without candidates nothing is added.
+repeated or null included; all columns stay, whatever their names.  Positions are code
+points from 0, end exclusive.  Without candidates nothing is added.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by contract; see the module's docstring for the forms.
 BASE = {
@@ -40,12 +49,12 @@ BASE = {
 NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.') AND digits", "card": "digits", "phone": "contains(text, '+') AND digits"}
 GENERATORS = {
     "address": r"[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++",
-    "number": r"\+?\(?[0-9](?:[\x20().:/-]{0,2}+[0-9]){4}+(?:[\x20().:/-]{0,2}+[0-9])*+",
+    "number": r"\+?\(?[0-9](?:[\x20().:/\[\]-]{0,3}+[0-9]){4}+(?:[\x20().:/\[\]-]{0,3}+[0-9])*+",
 }
 GENERATOR_NEEDS = {"address": "contains(text, '@') OR contains(text, '(at)') OR contains(text, '[at]')", "number": "digits"}
 CONTEXT = "mail|contact|call|tel|phone|fax|mobile|card|visa|credit|ip|host|server|address"
-FEATURES = ("form", "n_digits", "n_marks", "octets", "luhn", "signed", "brackets", "context", "edge_left", "edge_right")
-ROUNDS, SHRINK, MIN_PRECISION, MIN_SUPPORT = 30, 0.4, 0.9, 20
+FEATURES = ("form", "n_digits", "n_marks", "n_groups", "octets", "luhn", "dated", "brackets", "context", "edge_left", "edge_right")
+ROUNDS, SHRINK, DEPTH, MIN_PRECISION, MIN_SUPPORT, SYNTHETIC = 40, 0.4, 3, 0.9, 20, 6000
 SPAN = "array<struct<kind:string,start:int,end:int,s:string>>"
 
 
@@ -86,9 +95,13 @@ def _matches(df: DataFrame, patterns: dict[str, str], needs: dict[str, str]) ->
     return df.withColumns(out)
 
 
+def _with_digits(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("digits", F.col("text").rlike("[0-9]"))
+
+
 def _with_base(docs: DataFrame) -> DataFrame:
     """docs with text (never null) and base: all checked base spans, by kind as listed and start."""
-    flagged = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("digits", F.col("text").rlike("[0-9]"))
+    flagged = _with_digits(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
     spans = _matches(flagged, BASE, NEEDS).withColumns({f"b_{k}": F.expr(_found(k, k)) for k in KINDS})
     checked = [f"filter(b_{k}, c -> {CHECKS[k]})" for k in KINDS]
     spans = spans.withColumn("base", F.expr(f"concat({', '.join(checked)})"))
@@ -98,14 +111,16 @@ def _with_base(docs: DataFrame) -> DataFrame:
 def _features(c: str, form: int) -> dict[str, str]:
     """SQL of a candidate's features; each has few values."""
     digits = f"length({_digits(f'{c}.s')})"
+    plain = f"regexp_replace({c}.s, '[^0-9.]', '')"
     before = f"substring(text, greatest({c}.start - 15, 1), least({c}.start, 16))"
     return {
         "form": str(form),
         "n_digits": f"least(CASE WHEN {digits} < 7 THEN 0 WHEN {digits} < 9 THEN 1 WHEN {digits} < 13 THEN 2 WHEN {digits} < 16 THEN 3 WHEN {digits} = 16 THEN 4 WHEN {digits} < 20 THEN 5 ELSE 6 END, 6)",
         "n_marks": f"least(length(regexp_replace({c}.s, '[A-Za-z0-9]', '')), 5)",
-        "octets": f"cast({c}.s RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' AND {_octets(f'{c}.s')} AS int)",
+        "n_groups": f"least(size(regexp_extract_all({c}.s, '[0-9]+', 0)), 6)",
+        "octets": f"cast({plain} RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' AND {_octets(plain)} AS int)",
         "luhn": f"cast({_luhn(f'{c}.s')} AS int)",
-        "signed": f"cast(startswith({c}.s, '+') AS int)",
+        "dated": f"cast({c}.s RLIKE '(^|[^0-9])(19|20)[0-9]{{2}}([^0-9]|$)|^[0-9]{{1,2}}[.:/][0-9]{{1,2}}[.:/][0-9]{{2,4}}$' AS int)",
         "brackets": f"cast({c}.s RLIKE '[(\\\\[]' AS int)",
         "context": f"cast(lower({before}) RLIKE '{CONTEXT}' AS int)",
         "edge_left": f"cast({c}.start > 0 AND substring(text, {c}.start, 1) RLIKE '[A-Za-z0-9]' AS int)",
@@ -140,7 +155,7 @@ class Forest:
                 q = 1 / (1 + math.exp(-m))
                 g.append(pos - count * q)
                 h.append(count * q * (1 - q))
-            tree = self._grow([x for x, _, _ in fit], g, h, list(range(len(fit))), 2)
+            tree = self._grow([x for x, _, _ in fit], g, h, list(range(len(fit))), DEPTH)
             self.trees.append(tree)
             margins = [m + self._leaf(tree, x) for (x, _, _), m in zip(fit, margins, strict=True)]
         self.limits = self._calibrate(rows)
@@ -150,17 +165,21 @@ class Forest:
         total_g, total_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
         best = None
         for f in range(len(FEATURES)) if depth else ():
-            for cut in sorted({x[i][f] for i in rows})[:-1]:
-                left = [i for i in rows if x[i][f] <= cut]
-                lg, lh = sum(g[i] for i in left), sum(h[i] for i in left)
+            by_value: dict[int, list[float]] = {}
+            for i in rows:
+                cell = by_value.setdefault(x[i][f], [0.0, 0.0])
+                cell[0] += g[i]
+                cell[1] += h[i]
+            lg = lh = 0.0
+            for cut in sorted(by_value)[:-1]:
+                lg, lh = lg + by_value[cut][0], lh + by_value[cut][1]
                 gain = lg * lg / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - total_g**2 / (total_h + 1)
                 if gain > 1e-6 and (best is None or gain > best[0]):
-                    best = (gain, f, cut, left)
+                    best = (gain, f, cut)
         if best is None:
             return SHRINK * total_g / (total_h + 1)
-        _, f, cut, left = best
-        kept = set(left)
-        return f, cut, Forest._grow(x, g, h, left, depth - 1), Forest._grow(x, g, h, [i for i in rows if i not in kept], depth - 1)
+        _, f, cut = best
+        return f, cut, Forest._grow(x, g, h, [i for i in rows if x[i][f] <= cut], depth - 1), Forest._grow(x, g, h, [i for i in rows if x[i][f] > cut], depth - 1)
 
     @staticmethod
     def _leaf(tree, x):
@@ -198,20 +217,94 @@ class Forest:
         return " OR ".join(t.replace("margin", f"({margin})") for t in tests)
 
 
+#: Sentences to learn from beside the documents: (what stands before, the string in SQL, whether it is personal). # is a digit.
+EXAMPLES = (
+    ("write to ", "ann### (at) example (dot) org", True),
+    ("or ", "first.last[at]mail##[dot]example[dot]com", True),
+    ("mail: ", "box-## (at) host.example.net", True),
+    ("call ", "(###) ###-####", True),
+    ("from ", "(###) ### ####", True),
+    ("phone: ", "###.###.####", True),
+    ("tel ", "0##/#######", True),
+    ("then ", "0049 ## #######", True),
+    ("fax ", "00## (#) ## ### ####", True),
+    ("reach me under ", "1 (###) ###-####", True),
+    ("host ", "1#[.]2#[.]3#[.]#", True),
+    ("server ", "1##(.)##(.)1##(.)##", True),
+    ("on ", "20##-01-1#", False),
+    ("at ", "20##-10-2# 1#:2#:3#", False),
+    ("of ", "1#.0#.20##", False),
+    ("from ", "19##-19##", False),
+    ("until ", "1#:##:##", False),
+    ("version ", "#.#.#.#.#", False),
+    ("build ", "9##.3##.#.#", False),
+    ("costs ", "#.###.###", False),
+    ("about ", "## ### ###", False),
+    ("order ", "########", False),
+    ("code ", "ab#####cd", False),
+    ("key ", "f##########e", False),
+    ("near ", "4#.####/2.####", False),
+    ("isbn ", "978-#-##-######-#", False),
+    ("table ", "##### ##### #####", False),
+    ("page ", "###/####", False),
+    ("call at ", "20##-0#-1#", False),
+    ("card of ", "1#/##/20##", False),
+)
+
+
+def _synthetic(spark: SparkSession) -> DataFrame:
+    """text and base (the personal span, if it is one) of SYNTHETIC sentences; every # becomes a digit from a hash."""
+    known = spark.createDataFrame(EXAMPLES, "before string, form string, personal boolean").withColumn("kind", F.monotonically_increasing_id())
+    rows = known.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(SYNTHETIC // len(EXAMPLES)))))
+    spelled = "array_join(transform(split(form, ''), (x, i) -> if(x = '#', cast(pmod(xxhash64(form, turn, i), 10) AS string), x)), '')"
+    rows = rows.withColumn("s", F.expr(spelled)).withColumn("lead", F.expr("if(pmod(turn, 3) = 0, 'and ', before)"))
+    span = f"if(personal, array(named_struct('kind', 'known', 'start', length(lead), 'end', length(lead) + length(s), 's', s)), cast(array() AS {SPAN}))"
+    return rows.select(F.expr("concat(lead, s, if(pmod(turn, 2) = 0, '.', ' today'))").alias("text"), F.expr(span).alias("base"))
+
+
+def _disguised(spans: DataFrame) -> DataFrame:
+    """The texts that have base spans, with every span rewritten in a form that the base patterns don't have, and where that stands."""
+    pick = "element_at(array({}), 1 + pmod(hash(c.s, c.start), 3))"
+    at, dot = pick.format("' (at) ', '[at]', '(at)'"), pick.format("'.', '[dot]', ' (dot) '")
+    forms = {
+        "email": f"concat(substring_index(c.s, '@', 1), {at}, replace(substring_index(c.s, '@', -1), '.', {dot}))",
+        "ip": "replace(c.s, '.', " + pick.format("'[.]', '(.)', ' . '") + ")",
+        "card": f"regexp_replace({_digits('c.s')}, '([0-9]{{4}})(?=[0-9])', " + pick.format("'$1.', '$1/', '$1--'") + ")",
+        "phone": pick.format("substr(c.s, 2), concat('00', substr(c.s, 2)), regexp_replace(substr(c.s, 2), '[^0-9]+', '.')"),
+    }
+    new = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in forms.items()) + " END"
+    ordered = f"transform(array_sort(transform(base, c -> named_struct('start', c.start, 'end', c.end, 'new', {new}))), c -> c)"
+    built = f"""aggregate({ordered}, named_struct('at', 0, 'out', cast('' AS string), 'base', cast(array() AS {SPAN})),
+      (acc, c) -> if(c.start >= acc.at,
+        named_struct('at', c.end, 'out', concat(acc.out, substring(text, acc.at + 1, c.start - acc.at), c.new),
+          'base', concat(acc.base, array(named_struct('kind', 'known', 'start', length(acc.out) + c.start - acc.at, 'end', length(acc.out) + c.start - acc.at + length(c.new), 's', c.new)))),
+        acc),
+      acc -> named_struct('text', concat(acc.out, substring(text, acc.at + 1, length(text))), 'base', acc.base))"""
+    return spans.where("size(base) > 0").select(F.expr(built).alias("x")).select("x.text", "x.base")
+
+
+def _counts(spans: DataFrame, wanted: str) -> DataFrame:
+    """Candidates by fold and features, with those that cover a known span."""
+    rows = _with_candidates(spans).select(F.expr("cast(pmod(xxhash64(text), 4) > 0 AS int)").alias("fold"), F.explode("cands").alias("c")).where(wanted)
+    return rows.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.hit").alias("p"))
+
+
 def train(docs: DataFrame) -> Forest:
     """Counts over the candidates of all documents, then the trees. The table has at most some thousand rows."""
-    seen = _with_candidates(_with_base(docs.select("doc_id", "text"))).where("size(cands) > 0")
-    rows = seen.select(F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 0).otherwise(1).alias("fold"), F.explode("cands").alias("c"))
-    table = rows.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.hit").alias("p"))
+    real = _with_base(docs.select("text")).select("text", "base")
+    seen = _with_digits(real)
+    known = _with_digits(_disguised(real))
+    made = _with_digits(_synthetic(docs.sparkSession))
+    table = _counts(seen, "NOT c.hit").unionByName(_counts(known, "c.hit")).unionByName(_counts(made, "true"))
+    table = table.groupBy("fold", *FEATURES).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     return Forest([(tuple(r[f] for f in FEATURES), r.fold, r.n, r.p) for r in table.orderBy("fold", *FEATURES).collect()])
 
 
-def with_spans(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with base and spans (all spans: base and added), each sorted by kind as listed, then start."""
-    forest = forest or train(docs)
+def _spans(slim: DataFrame, forest: Forest) -> DataFrame:
+    """slim (with text) with base, added and spans (base and added), each sorted by kind as listed, then start."""
     named = "CASE WHEN c.form = 0 THEN 'email' WHEN c.octets = 1 THEN 'ip' WHEN c.luhn = 1 THEN 'card' ELSE 'phone' END"
     picked = f"filter(cands, c -> NOT c.hit AND ({forest.chosen('c')}))"
-    out = _with_candidates(_with_base(docs)).withColumn("picked", F.expr(f"transform({picked}, c -> named_struct('kind', {named}, 'start', c.start, 'end', c.end, 's', c.s, 'form', c.form))"))
+    out = _with_candidates(_with_base(slim)).withColumn("picked", F.expr(f"transform({picked}, c -> named_struct('kind', {named}, 'start', c.start, 'end', c.end, 's', c.s, 'form', c.form))"))
     single = "filter(picked, c -> c.form = 0 OR NOT exists(picked, d -> d.form = 0 AND d.start < c.end AND c.start < d.end))"
     added = f"transform({single}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 's', c.s))"
     order = "CASE {0}.kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END"
@@ -220,6 +313,17 @@ def with_spans(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     return out.drop("cands", "picked", "digits")
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The rows' own columns in one, so that none of them meets a name in use here; and text."""
+    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def with_spans(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """docs with base, added and spans; an added column whose name is taken gets an underscore."""
+    out = _spans(_apart(docs), forest or train(docs))
+    return out.select("row.*", *[F.col(c).alias(free_name(c, docs.columns)) for c in ("base", "added", "spans")])
+
+
 def _joined(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, c -> concat(c.kind, ':', c.start, ':', c.end)), ',')")
 
@@ -231,14 +335,17 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     return with_spans(slim).select("doc_id", *[v.alias(k) for k, v in counts.items()], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.expr("cast(size(added) AS long)").alias("n_added"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span's text replaced by its kind in angle brackets; overlapping spans become one, named after the first."""
-    found = with_spans(docs)
+def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """docs with every span's text replaced by its kind in angle brackets; overlapping spans become one, named after the first.
+
+    All columns stay as they are; a null text stays null.
+    """
+    found = _spans(_apart(docs), forest or train(docs))
     ordered = "array_sort(transform(spans, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind)))"
     built = f"""aggregate({ordered}, named_struct('at', 0, 'out', cast('' AS string)),
       (acc, c) -> if(c.start >= acc.at,
         named_struct('at', c.end, 'out', concat(acc.out, substring(text, acc.at + 1, c.start - acc.at), '<', upper(c.kind), '>')),
         named_struct('at', greatest(acc.at, c.end), 'out', acc.out)),
       acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))"""
-    cleaned = found.withColumn("text", F.when(F.size("spans") > 0, F.expr(built)).otherwise(F.col("text")))
-    return cleaned.select(*docs.columns)
+    clean = F.when(F.size("spans") > 0, F.expr(built)).otherwise(F.col("row")["text"].cast("string"))
+    return found.select(*[clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -32,10 +32,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tocsin.llm.common import slices
+from tocsin.llm.common import free_name, released, slices
 from tocsin.llm.memo import Memo, ragged
-from tocsin.llm.shingles import BASE, buffers, mix, powers
+from tocsin.llm.shingles import BASE, buffers, hashed_runs, mix, powers
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -146,7 +147,10 @@ def viterbi(edges: list[list[tuple[int, float, int]]]) -> list[float]:
 
 
 def backward_a_star(edges: list[list[tuple[int, float, int]]], forward: list[float], n: int) -> list[tuple[float, list[int]]]:
-    """The n best paths, best first: (score, labels in forward order). Ties: the one pushed first."""
+    """The n best paths, best first: (score, labels in forward order).
+
+    Among equal estimates the latest one is followed, so of many tying paths one is walked to its end first.
+    """
     heap, pushed, out = [(-forward[-1], 0, len(edges) - 1, 0.0, None)], 0, []
     while heap and len(out) < n:
         _, _, place, behind, path = heapq.heappop(heap)
@@ -160,11 +164,11 @@ def backward_a_star(edges: list[list[tuple[int, float, int]]], forward: list[flo
         for start, score, label in edges[place]:
             if forward[start] > -np.inf:
                 pushed += 1
-                heapq.heappush(heap, (-(behind + score + forward[start]), pushed, start, behind + score, (label, path)))
+                heapq.heappush(heap, (-(behind + score + forward[start]), -pushed, start, behind + score, (label, path)))
     return out
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 13)
 def segment_nbest(model: str, segment: bytes, n: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
     edges = lattice(pieces(model), segment)
     return tuple((s, tuple(x)) for s, x in backward_a_star(edges, viterbi(edges), n))
@@ -250,7 +254,13 @@ def memo(model: str) -> Memo:
         score, loss, ids, edges = solve(pieces(model), model, data, starts, ends)
         return ids, edges, np.stack([score, loss], axis=1)
 
-    return Memo(found, 2, limit=500_000)
+    return Memo(found, 2)
+
+
+def forget() -> None:
+    """Drop what a task has worked out; the vocabulary stays."""
+    segment_nbest.cache_clear()
+    memo.cache_clear()
 
 
 class Encoded:
@@ -273,9 +283,7 @@ class Encoded:
         ends = np.append(starts[1:], len(data))
         key = np.zeros(0, np.uint64)
         if len(starts):
-            sizes = ends - starts
-            terms = (data.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[np.arange(len(data)) - np.repeat(starts, sizes)]
-            key = mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
+            key = hashed_runs(data, starts)
         key, one, self.back = np.unique(key, return_index=True, return_inverse=True)
         self.starts, self.ends = starts[one], ends[one]
         self.segments = np.searchsorted(starts, self.offsets)
@@ -344,7 +352,7 @@ def _digest(model: str, n: int):
                     names=["doc_id", "n_pieces", "score", "ids_crc32", "nbest_scores", "nbest_pieces", "round_trip"],
                 )
 
-    return run
+    return released(run, forget)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -367,7 +375,7 @@ def encode_nbest(docs: DataFrame, n: int = NBEST, model: str | None = None) -> D
                 rows = [(batch["doc_id"][i].as_py(), k, s, e.path(i, c)) for i in range(batch.num_rows) for k, (s, c) in enumerate(e.nbest(i, n))]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "rank", "score", "ids"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, rank int, score double, ids array<int>")
+    return _source(docs).mapInArrow(released(run, forget), "doc_id long, rank int, score double, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -388,17 +396,25 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Every document with its text decoded from its best segmentation, and that segmentation's size, score and crc32."""
+    """docs with each text decoded from its best segmentation, and that segmentation's n_pieces, score and ids_crc32.
+
+    All columns stay; an added one whose name is taken gets an underscore. A null text stays null.
+    """
     model = model or default_model()
+    names = docs.columns
+    added = [free_name(c, names) for c in ("n_pieces", "score", "ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 1024):
                 e = Encoded(batch["text"], model)
                 data, places = e.decoded()
-                text = [data[a + 1 : b].tobytes().decode("utf-8", "replace") for a, b in zip(places[:-1], places[1:], strict=True)]
+                valid = batch["text"].is_valid().to_pylist()
+                text = [data[a + 1 : b].tobytes().decode("utf-8", "replace") if ok else None for a, b, ok in zip(places[:-1], places[1:], valid, strict=True)]
                 crc = [zlib.crc32(e.ids[a:b].astype("<u4").tobytes()) for a, b in zip(e.bounds[:-1], e.bounds[1:], strict=True)]
-                yield pa.record_batch([batch["doc_id"], pa.array(text, pa.string()), batch["lang"], batch["source"], pa.array(np.diff(e.bounds), pa.int64()), pa.array(e.best, pa.float64()), pa.array(crc, pa.int64())], names=["doc_id", "text", "lang", "source", "n_pieces", "score", "ids_crc32"])
+                kept = [pa.array(text, pa.string()) if c == "text" else batch[c] for c in names]
+                yield pa.record_batch([*kept, pa.array(np.diff(e.bounds), pa.int64()), pa.array(e.best, pa.float64()), pa.array(crc, pa.int64())], names=[*names, *added])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return source.mapInArrow(run, "doc_id long, text string, lang string, source string, n_pieces long, score double, ids_crc32 long")
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    out = StructType([*source.schema.fields, StructField(added[0], LongType()), StructField(added[1], DoubleType()), StructField(added[2], LongType())])
+    return source.mapInArrow(released(run, forget), out)

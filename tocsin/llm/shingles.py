@@ -45,6 +45,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed_runs(chars: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: run i is chars[edges[i]:edges[i + 1]], the last one reaches to the end; none is empty.
+
+    Works in place, so it holds about 20 bytes for a byte of text.
+    """
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    lengths = np.diff(np.append(edges, len(chars)))
+    place = np.arange(len(chars), dtype=np.int32 if len(chars) < 1 << 31 else np.int64)
+    place -= np.repeat(edges.astype(place.dtype), lengths)
+    terms = powers(int(lengths.max()))[place]
+    del place
+    terms *= chars.astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(terms, edges) + lengths.astype(np.uint64))
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array and the n+1 offsets; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -72,14 +88,10 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, starts, np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(inside)
-    edges = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(edges, len(at)))
-    place = np.arange(len(at)) - np.repeat(edges, lengths)
-    chars = LOWER[data[at]] if lower else data[at]
-    terms = (chars.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-    hashes = mix(np.add.reduceat(terms, edges) + lengths.astype(np.uint64))
-    return hashes, starts, starts + lengths, np.searchsorted(starts, offsets)
+    chars = LOWER[data[inside]] if lower else data[inside]
+    before = np.cumsum(inside, dtype=np.int64)[starts] - 1  # place of each word's first byte among those kept
+    lengths = np.diff(np.append(before, len(chars)))
+    return hashed_runs(chars, before), starts, starts + lengths, np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,8 +13,13 @@ often toxic documents have them).  Landmarks are drawn from both kinds; words ar
 mapped to their kernel values with the landmarks, whitened by the landmarks' own
 kernel matrix, and a squared-hinge machine is fitted by Newton steps.  Its
 decision is linear in the subsequences, so it is folded into one weight table.
-At most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, least hash of the id
-first and at most ``MAX_BYTES`` of text, are used to fit.
+The fit's bounds: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, least
+hash of the id first, at most ``MAX_BYTES`` of text in all and a twentieth of that in
+one, and of their words at most ``MAX_WORDS``: a third each of the worst words of
+toxic documents, the clean words that look worst, and the most frequent clean ones.
+Scores and counts have no bounds.  (Labels are of whole documents and an insult is one
+word in hundreds, so the machine's units are words and not sentences, whose kernel the
+other words would outweigh; words of toxic documents are told apart as above.)
 
 Score.  Every word of a whole text gets its decision.  Their maximum and their
 counts over several bounds, in all and for each 1000 words, go into a logistic
@@ -35,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tocsin.llm.common import crc_bucket, slices
+from tocsin.llm.common import crc_bucket, free_name, released, slices
 from tocsin.llm.shingles import LOWER, buffers, words
 
 DECAY = 0.6
@@ -271,26 +277,27 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     parts = [marked.where("toxic = 1").orderBy("lot", "doc_id").limit(max_toxic), marked.where("toxic = 0").orderBy("lot", "doc_id").limit(max_clean)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 20).dropDuplicates(["doc_id"])  # chosen: at most max_toxic + max_clean rows
+    rows = texts.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= max_bytes // 20)  # chosen: at most max_toxic + max_clean rows
+    rows = rows.groupBy("doc_id", "toxic", "lot").agg(F.min("text").alias("text"))
     order = Window.orderBy("lot", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("used", F.sum(F.octet_length("text")).over(order)).where(F.col("used") <= max_bytes).orderBy("lot", "doc_id").collect()
     return Model([r.text for r in out], [r.toxic == 1 for r in out])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns with score and predicted (existing columns of these names are replaced)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # one weight table of 4 MB
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    """docs' columns with score and predicted; where a name is taken, the added column gets an underscore."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight table of 4 MB
+    names = docs.columns
+    added = [free_name(c, names) for c in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 2048):
                 s = shared.value.scores(batch["text"])
-                yield pa.record_batch([batch[c] for c in kept] + [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*kept, "score", "predicted"])
+                yield pa.record_batch([*(batch[c] for c in names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*names, *added])
 
-    types = dict(docs.dtypes)
-    return docs.select(*kept).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in kept) + ", score double, predicted int")
+    source = docs.withColumn("text", F.col("text").cast("string"))
+    return source.mapInArrow(released(run), StructType([*source.schema.fields, StructField(added[0], DoubleType()), StructField(added[1], IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,6 +307,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the model rejects, with their own columns."""
-    scored = score(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels), threshold)
-    return scored.where("predicted = 0").select(*docs.columns)
+    """docs without the rows that the model rejects, with their own columns as they were."""
+    scored = score(docs, train(docs, labels), threshold)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
