@@ -36,6 +36,15 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
     """run for mapInArrow; when a task ends, what its worker has remembered is dropped and free memory goes back to the system.
 
@@ -48,11 +57,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         finally:
             if forget is not None:
                 forget()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 
@@ -91,7 +96,7 @@ def _with_minimum(edges: DataFrame, salts: int) -> DataFrame:
     """(u, v, m) with m the least v of u; a hub's rows are spread over salts, so no task gets them all."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     spread = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "salt"]).select("u", "v", "m")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> DataFrame:

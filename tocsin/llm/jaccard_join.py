@@ -344,37 +344,41 @@ def _settle(families: DataFrame, computed: Computed) -> None:
 
     families: f (first leader), x, n, far and exact (distance to f, or a bound), salt.
     """
-    done, ring, share, turn = families.select("f", "x").limit(0), None, 4, 0
+    done = ring = None
+    share, turn = 4, 0
     while True:
         turn += 1
         labels = connected_components(computed.links(), "a", "b")
-        placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+        placed = families.join(labels.withColumnRenamed("id", "x").hint("merge"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
         own = _salted(placed.where("x = f").select("f", F.col("c").alias("main")))
-        placed = placed.join(own, ["f", "salt"]).join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
+        placed = placed.join(own.hint("merge"), ["f", "salt"])
+        placed = placed.withColumn("settled", F.lit(None).cast("boolean")) if done is None else placed.join(done.withColumn("settled", F.lit(True)).hint("merge"), ["f", "x"], "left")
         placed = cut(placed.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
         pending = placed.where("pending")
         counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least")))
-        chosen = pending.join(counted, ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
+        chosen = pending.join(counted.hint("merge"), ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
         leaders = cut(chosen.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
         if ring is None and not leaders.take(1):
             return
-        spread = _salted(leaders).join(placed, ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
+        spread = _salted(leaders).hint("merge").join(placed, ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
         pairs = spread.where(FITS).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         if ring is not None:
             pairs = pairs.unionByName(ring)
-        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
+        pairs = cut(pairs.distinct().hint("merge").join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
         if pairs.take(1):
             computed.add(pairs)
-        done, ring = done.unionByName(leaders.select("f", F.col("p").alias("x"))), None
-        if leaders.where("big").take(1):
-            near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-            near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
-            near = cut(near.select("f", "p", "x", "n", "pending", "other", "at", F.coalesce("linked", F.lit(False)).alias("linked")), "near")
-            covered = near.where("linked and pending").groupBy("f", "x").agg(F.min(F.struct("at", "p", "n")).alias("m")).select("f", F.col("m.p").alias("p"), F.col("x").alias("q"), F.col("m.n").alias("n_p"), F.col("m.at").alias("at_q"))
-            covered = cut(covered, "covered")
-            beyond = near.where("other and not linked").select("f", "p", "x", "n", "at")
-            ring = covered.join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
-            done = done.unionByName(covered.select("f", F.col("q").alias("x")))
+        if not leaders.where("big").take(1):
+            return  # all pending members of every family have led, and the last ring is computed
+        led = leaders.select("f", F.col("p").alias("x"))
+        near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
+        near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")).hint("merge"), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
+        near = cut(near.select("f", "p", "x", "n", "pending", "other", "at", F.coalesce("linked", F.lit(False)).alias("linked")), "near")
+        covered = near.where("linked and pending").groupBy("f", "x").agg(F.min(F.struct("at", "p", "n")).alias("m")).select("f", F.col("m.p").alias("p"), F.col("x").alias("q"), F.col("m.n").alias("n_p"), F.col("m.at").alias("at_q"))
+        covered = cut(covered, "covered")
+        beyond = near.where("other and not linked").select("f", "p", "x", "n", "at")
+        ring = covered.hint("merge").join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
+        led = led.unionByName(covered.select("f", F.col("q").alias("x")))
+        done = led if done is None else done.unionByName(led)
         share *= 4
 
 

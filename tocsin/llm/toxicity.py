@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tocsin.llm.common import crc_bucket, free_name, released, slices
+from tocsin.llm.common import crc_bucket, free_name, give_back, released, slices
 from tocsin.llm.shingles import LOWER, buffers, words
 
 DECAY = 0.6
@@ -281,7 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     rows = rows.groupBy("doc_id", "toxic", "lot").agg(F.min("text").alias("text"))
     order = Window.orderBy("lot", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("used", F.sum(F.octet_length("text")).over(order)).where(F.col("used") <= max_bytes).orderBy("lot", "doc_id").collect()
-    return Model([r.text for r in out], [r.toxic == 1 for r in out])
+    model = Model([r.text for r in out], [r.toxic == 1 for r in out])
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
