@@ -64,22 +64,28 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashed(d: int, bits: int, tables: int):
-    """A row for each vector and table: bucket, all its buckets, and the vector."""
+def _kind(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.int32
+
+
+def _hashed(d: int, bits: int, tables: int, single: bool):
+    """A row for each vector and table: bucket, all its buckets, and the vector as it was given (four bytes a component if single)."""
     planes = np.random.default_rng([SEED + 1, d, bits, tables]).standard_normal((d, tables * bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
-                x = unit(_matrix(batch["embedding"], d))
+                given = _matrix(batch["embedding"], d).astype(np.float32 if single else np.float64)
+                x = unit(given.astype(np.float64))
                 n = len(x)
                 signs = (x @ planes > 0).reshape(n, tables, bits)
                 buckets = (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
                 rows, table = np.repeat(np.arange(n), tables), np.tile(np.arange(tables, dtype=np.int32), n)
-                width = d * 8
-                raw, every = x.tobytes(), buckets.tobytes()
-                vectors, keys = [raw[i * width : (i + 1) * width] for i in range(n)], [every[i * tables * 4 : (i + 1) * tables * 4] for i in range(n)]
+                width = d * given.itemsize
+                raw, every = given.tobytes(), buckets.astype(_kind(bits)).tobytes()
+                size = len(every) // n
+                vectors, keys = [raw[i * width : (i + 1) * width] for i in range(n)], [every[i * size : (i + 1) * size] for i in range(n)]
                 yield pa.record_batch(
                     [batch["vec_id"].take(pa.array(rows)), batch["copies"].take(pa.array(rows)), pa.array(table), pa.array(buckets.ravel()), pa.array(keys, pa.binary()).take(pa.array(rows)), pa.array(vectors, pa.binary()).take(pa.array(rows))],
                     names=["vec_id", "copies", "tab", "bucket", "buckets", "vector"],
@@ -106,15 +112,15 @@ def _pairs(x: np.ndarray, y: np.ndarray, turn: np.ndarray, cosine: float, same:
     return i[ok], j[ok]
 
 
-def _compare(d: int, tables: int, cosine: float):
+def _compare(d: int, bits: int, tables: int, cosine: float, single: bool):
     turn = rotation(d)
 
     def run(group: pa.Table) -> pa.Table:
         ids, copies = group["vec_id"].to_numpy(), group["copies"].to_numpy()
         key = np.stack([group[c].to_numpy() for c in ("bucket", "b0", "b1")], axis=1)
         block, table = group["block"].to_numpy(), int(group["tab"][0].as_py())
-        x = np.frombuffer(b"".join(v.as_py() for v in group["vector"]), dtype=np.float64).reshape(-1, d)
-        buckets = np.frombuffer(b"".join(v.as_py() for v in group["buckets"]), dtype=np.int32).reshape(-1, tables)
+        x = unit(np.frombuffer(b"".join(v.as_py() for v in group["vector"]), dtype=np.float32 if single else np.float64).reshape(-1, d).astype(np.float64))
+        buckets = np.frombuffer(b"".join(v.as_py() for v in group["buckets"]), dtype=_kind(bits)).reshape(-1, tables)
         order = np.lexsort((ids, key[:, 2], key[:, 1], key[:, 0]))
         key = key[order]
         heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
@@ -149,13 +155,14 @@ def _compare(d: int, tables: int, cosine: float):
 def _of_length(classes: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     """(vec_id, links, root) parts of the classes of one length."""
     bits, tables = plan(n, cosine)
-    rows = classes.where(F.col("d") == d).select("vec_id", "copies", "embedding").mapInArrow(_hashed(d, bits, tables), "vec_id long, copies long, tab int, bucket int, buckets binary, vector binary")
-    sizes = classes.where(F.col("d") == d).select("vec_id", "copies", "embedding").mapInArrow(_hashed(d, bits, tables), "vec_id long, copies long, tab int, bucket int, buckets binary, vector binary")
+    single = dict(classes.dtypes)["embedding"] == "array<float>"
+    rows = classes.where(F.col("d") == d).select("vec_id", "copies", "embedding").mapInArrow(_hashed(d, bits, tables, single), "vec_id long, copies long, tab int, bucket int, buckets binary, vector binary")
+    sizes = classes.where(F.col("d") == d).select("vec_id", "copies", "embedding").mapInArrow(_hashed(d, bits, tables, single), "vec_id long, copies long, tab int, bucket int, buckets binary, vector binary")
     hot = sizes.groupBy("tab", "bucket").count().where(f"count > {BLOCK}").select("tab", "bucket", F.expr(f"cast(ceil(count / {BLOCK}) AS int)").alias("blocks"))
     rows = rows.join(hot, ["tab", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(vec_id), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other")).withColumn("cell", F.shiftright("bucket", max(0, min(bits, 4))))
-    return rows.drop("blocks", "other").groupBy("tab", "cell", "b0", "b1").applyInArrow(_compare(d, tables, cosine), "vec_id long, links long, root long")
+    return rows.drop("blocks", "other").groupBy("tab", "cell", "b0", "b1").applyInArrow(_compare(d, bits, tables, cosine, single), "vec_id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

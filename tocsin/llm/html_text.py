@@ -5,8 +5,9 @@ A small tree builder takes the tags as they come: void elements, raw-text elemen
 closes the open one; a block closes an open p; an end tag closes what is open
 inside its element), and implied rows and bodies of tables.  Whole subtrees are
 invisible: head, script, style, template, noscript and the like, ``hidden``,
-``display:none`` and ``visibility:hidden``, ``input type=hidden``; the title, desc,
-annotation and style parts of svg and math, whose other text is shown.
+``display:none``, ``input type=hidden``; the title, desc, annotation and style parts of
+svg and math, whose other text is shown.  ``visibility`` is inherited: what it hides
+comes out again inside an element that sets it to visible.
 
 All visible text comes out: runs of white space are one space, blocks start on a
 line of their own with a blank line between paragraphs, headings, lists and
@@ -18,20 +19,23 @@ taking several; a cell's lines stay in its column.
 Defined cases: null html gives null text and 0 characters; an empty page an empty
 text.  Malformed mark-up never fails: a stray ``<`` is text, an unclosed comment or
 tag ends with the page.  Nesting deeper than ``MAX_DEPTH`` is flattened, so no
-page overflows the stack; its text still comes out.  Rows are kept one for one,
-repeated or null ids included.  Extra columns don't matter.
+page overflows the stack; its text still comes out, but for that of invisible elements.
+Rows are kept one for one, repeated or null ids included.  Extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import released, slices
+
 MAX_DEPTH = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -45,7 +49,8 @@ CLOSES_P = BLOCKS - frozenset("html body li dt dd tr tbody thead tfoot caption o
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th", "caption"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 BARRIERS = frozenset({"table", "td", "th", "caption", "html", "button", "template", "object"})
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -62,6 +67,7 @@ def parse(source: str) -> Node:
     """The tree of a page; its root has the tag ''."""
     root = Node("")
     stack = [root]
+    deep: list[Counter[str]] = [Counter()]  # open elements that were flattened, by tag: at the limit, and in an invisible element there
 
     def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """End the outermost open element of these tags, and all inside it, short of a stopping one."""
@@ -76,6 +82,10 @@ def parse(source: str) -> Node:
 
     at = 0
     while at < len(source):
+        if len(stack) <= MAX_DEPTH:
+            del deep[1:]
+        if len(stack) < MAX_DEPTH:
+            deep[0].clear()
         m = TOKEN.search(source, at)
         if m is None:
             stack[-1].children.append(html.unescape(source[at:]))
@@ -89,6 +99,8 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in stack):
                 stack[-1].children.append(Node("p"))
+            elif deep[-1][tag] > 0:
+                deep[-1][tag] -= 1
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
@@ -122,14 +134,46 @@ def parse(source: str) -> Node:
                 text = source[at : end.start() if end else len(source)]
                 node.children.append(html.unescape(text) if tag in ("title", "textarea") else text)
                 at = end.end() if end else len(source)
-            elif tag not in VOID and len(stack) < MAX_DEPTH:
+            elif tag not in VOID and (len(stack) < MAX_DEPTH or len(stack) == MAX_DEPTH and unseen(node)):
+                if len(stack) == MAX_DEPTH:
+                    deep.append(Counter())  # at the limit an invisible element still takes what is in it, and is never rendered
                 stack.append(node)
+            elif tag not in VOID:
+                deep[-1][tag] += 1
     return root
 
 
 def unseen(node: Node) -> bool:
+    """Whether the whole subtree is invisible, whatever is in it."""
     a = node.attributes
-    return node.tag in UNSEEN or node.foreign and node.tag in FOREIGN_UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and HIDDEN_STYLE.search(a["style"]))
+    return node.tag in UNSEEN or node.foreign and node.tag in FOREIGN_UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and NO_DISPLAY.search(a["style"]))
+
+
+def visibility(node: Node) -> bool | None:
+    """True or False where the element sets its visibility, else None; of several, the last counts."""
+    found = VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else None
+    return found[-1].lower() == "visible" if found else None
+
+
+def hide(node: Node, shown: bool = True) -> bool:
+    """Take out what visibility hides; whether anything visible is left."""
+    kept, left = [], False
+    for child in node.children:
+        if isinstance(child, str):
+            some = shown and bool(child.strip())
+            if shown:
+                kept.append(child)
+        else:
+            own = visibility(child)
+            here = shown if own is None else own
+            some = hide(child, here) or here
+            if some:
+                kept.append(child)
+            if not here:
+                child.attributes = {k: v for k, v in child.attributes.items() if k not in ("alt", "value")}
+        left |= some
+    node.children = kept
+    return left
 
 
 class Writer:
@@ -334,8 +378,10 @@ def table_rows(node: Node) -> list[str]:
 def html_text(source: str | None) -> str | None:
     if source is None:
         return None
-    out = Writer()
-    render(parse(source), out)
+    out, tree = Writer(), parse(source)
+    if VISIBILITY.search(source):
+        hide(tree)
+    render(tree, out)
     return out.done()
 
 
@@ -343,9 +389,10 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [html_text(x.as_py()) for x in batch["html"]]
-            yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for big in batches:
+            for batch in slices(big, 256, column="html"):
+                texts = [html_text(x.as_py()) for x in batch["html"]]
+                yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(column).cast("string").alias("html"))
-    return slim.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return slim.mapInArrow(released(run), "page_id long, url string, text string, n_chars long")

@@ -339,16 +339,17 @@ FITS = "4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far
 APART = "greatest(1 - least(n, n_p) / greatest(n, n_p), if(exact, far_p - far, 0), if(exact_p, far - far_p, 0))"
 
 
-def _settle(families: DataFrame, computed: Computed) -> None:
-    """Compute what the first leaders' answers leave open.
+def _settle(families: DataFrame, computed: Computed) -> DataFrame:
+    """Compute what the first leaders' answers leave open; the components (id, component) of all links.
 
     families: f (first leader), x, n, far and exact (distance to f, or a bound), salt.
     """
     done = ring = None
-    share, turn = 4, 0
+    share, turn, labels = 4, 0, None
     while True:
         turn += 1
-        labels = connected_components(computed.links(), "a", "b")
+        if labels is None:
+            labels = connected_components(computed.links(), "a", "b")
         placed = families.join(labels.withColumnRenamed("id", "x").hint("merge"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
         own = _salted(placed.where("x = f").select("f", F.col("c").alias("main")))
         placed = placed.join(own.hint("merge"), ["f", "salt"])
@@ -359,16 +360,17 @@ def _settle(families: DataFrame, computed: Computed) -> None:
         chosen = pending.join(counted.hint("merge"), ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
         leaders = cut(chosen.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
         if ring is None and not leaders.take(1):
-            return
+            return labels
         spread = _salted(leaders).hint("merge").join(placed, ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
         pairs = spread.where(FITS).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         if ring is not None:
             pairs = pairs.unionByName(ring)
         pairs = cut(pairs.distinct().hint("merge").join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
-        if pairs.take(1):
-            computed.add(pairs)
+        if pairs.take(1) and computed.add(pairs).where("linked").take(1):
+            labels = None  # new links: components may have met
         if not leaders.where("big").take(1):
-            return  # all pending members of every family have led, and the last ring is computed
+            # all pending members of every family have led, and the last ring is computed
+            return connected_components(computed.links(), "a", "b") if labels is None else labels
         led = leaders.select("f", F.col("p").alias("x"))
         near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")).hint("merge"), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
@@ -382,8 +384,8 @@ def _settle(families: DataFrame, computed: Computed) -> None:
         share *= 4
 
 
-def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(described, links): doc_id, key (text hash), n_shingles and sig of each row; linked pairs (a, b) of set signatures.
+def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(described, links, labels): doc_id, key (text hash), n_shingles and sig of each row; linked pairs (a, b) of set signatures; their components (id, component).
 
     Rows without a doc_id are indexed only if null_ids is set.
     """
@@ -403,13 +405,13 @@ def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, D
     led = computed.add(pairs).where("family = 1")
     families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
     families = families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct())
-    _settle(cut(families.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "families"), computed)
-    return described, computed.links()
+    labels = _settle(cut(families.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "families"), computed)
+    return described, computed.links(), labels
 
 
-def _labelled(described: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(described: DataFrame, _: DataFrame, labels: DataFrame) -> DataFrame:
     """described with label: one of the signatures of the row's group, null for an empty set."""
-    labels = connected_components(links, "a", "b").select(F.col("id").alias("sig"), F.col("component").alias("label"))
+    labels = labels.select(F.col("id").alias("sig"), F.col("component").alias("label"))
     return described.join(labels, "sig", "left").withColumn("label", F.when(F.col("sig") != 0, F.coalesce("label", "sig")))
 
 

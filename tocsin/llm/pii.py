@@ -17,7 +17,9 @@ What it learns from.  No spans are labelled, and the base patterns need no model
 the positives are base spans in disguise: every base span of the documents is
 rewritten where it stands (``(at)``, ``[dot]``, a phone number without its plus, other
 separators), so its own form can't give it away, and is looked for again.  The
-negatives are all candidates of the documents off their base spans.  ``SYNTHETIC``
+candidates of the documents off their base spans are unlabelled: most are no personal
+data, so they count as negatives, but some may be just what is looked for, so each
+counts ``UNLABELLED`` at most, and all of them half of the positives.  ``SYNTHETIC``
 sentences with numbers and addresses of either kind (dates, prices, versions, codes;
 local phone numbers, spelled-out addresses) are added, so that a small corpus can fit
 too.  Three quarters of the rows (by hash) fit the trees; on the rest, scores are
@@ -54,7 +56,7 @@ GENERATORS = {
 GENERATOR_NEEDS = {"address": "contains(text, '@') OR contains(text, '(at)') OR contains(text, '[at]')", "number": "digits"}
 CONTEXT = "mail|contact|call|tel|phone|fax|mobile|card|visa|credit|ip|host|server|address"
 FEATURES = ("form", "n_digits", "n_marks", "n_groups", "octets", "luhn", "dated", "brackets", "context", "edge_left", "edge_right")
-ROUNDS, SHRINK, DEPTH, MIN_PRECISION, MIN_SUPPORT, SYNTHETIC = 40, 0.4, 3, 0.9, 20, 6000
+ROUNDS, SHRINK, DEPTH, MIN_PRECISION, MIN_SUPPORT, SYNTHETIC, UNLABELLED = 24, 0.5, 3, 0.9, 20, 3000, 0.1
 SPAN = "array<struct<kind:string,start:int,end:int,s:string>>"
 
 
@@ -108,13 +110,13 @@ def _with_base(docs: DataFrame) -> DataFrame:
     return spans.drop(*[f"{x}_{k}" for x in "mpb" for k in KINDS])
 
 
-def _features(c: str, form: int) -> dict[str, str]:
+def _features(c: str) -> dict[str, str]:
     """SQL of a candidate's features; each has few values."""
     digits = f"length({_digits(f'{c}.s')})"
     plain = f"regexp_replace({c}.s, '[^0-9.]', '')"
     before = f"substring(text, greatest({c}.start - 15, 1), least({c}.start, 16))"
     return {
-        "form": str(form),
+        "form": f"{c}.form",
         "n_digits": f"least(CASE WHEN {digits} < 7 THEN 0 WHEN {digits} < 9 THEN 1 WHEN {digits} < 13 THEN 2 WHEN {digits} < 16 THEN 3 WHEN {digits} = 16 THEN 4 WHEN {digits} < 20 THEN 5 ELSE 6 END, 6)",
         "n_marks": f"least(length(regexp_replace({c}.s, '[A-Za-z0-9]', '')), 5)",
         "n_groups": f"least(size(regexp_extract_all({c}.s, '[0-9]+', 0)), 6)",
@@ -128,21 +130,20 @@ def _features(c: str, form: int) -> dict[str, str]:
     }
 
 
-def _with_candidates(df: DataFrame) -> DataFrame:
-    """df with cands: every proposed span, its features and whether it covers a base span."""
+def _proposed(df: DataFrame) -> DataFrame:
+    """df with proposed: every span of the generators, with its form."""
     spans = _matches(df, GENERATORS, GENERATOR_NEEDS).withColumns({f"g_{k}": F.expr(_found(k, k)) for k in GENERATORS})
-    parts = []
-    for form, name in enumerate(GENERATORS):
-        fields = ", ".join(f"'{k}', {v}" for k, v in _features("c", form).items())
-        hit = "exists(base, b -> b.start < c.end AND c.start < b.end)"
-        parts.append(f"transform(g_{name}, c -> named_struct('start', c.start, 'end', c.end, 's', c.s, 'hit', {hit}, {fields}))")
-    return spans.withColumn("cands", F.expr(f"concat({', '.join(parts)})")).drop(*[f"{x}_{k}" for x in "mpg" for k in GENERATORS])
+    parts = [f"transform(g_{name}, c -> named_struct('form', {form}, 'start', c.start, 'end', c.end, 's', c.s))" for form, name in enumerate(GENERATORS)]
+    return spans.withColumn("proposed", F.expr(f"concat({', '.join(parts)})")).drop(*[f"{x}_{k}" for x in "mpg" for k in GENERATORS])
+
+
+HIT = "exists(base, b -> b.start < c.end AND c.start < b.end)"
 
 
 class Forest:
     """Trees of depth two on the aggregated table, and the score above which each form is redacted."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], int, int, int]]):
+    def __init__(self, rows: list[tuple[tuple[int, ...], int, float, int]]):
         """rows: (features, fold, candidates, positives); fold 0 calibrates."""
         fit = [(x, n, p) for x, fold, n, p in rows if fold]
         n, p = sum(r[1] for r in fit), sum(r[2] for r in fit)
@@ -210,11 +211,12 @@ class Forest:
 
     def chosen(self, c: str) -> str:
         """SQL: whether the model redacts a candidate."""
-        tests = [f"({c}.form = {k} AND margin >= {x:.12g}D)" for k, x in enumerate(self.limits) if x < math.inf]
-        if not tests:
+        known = [(k, x) for k, x in enumerate(self.limits) if x < math.inf]
+        if not known:
             return "false"
+        limit = f"CASE {c}.form " + " ".join(f"WHEN {k} THEN {x:.12g}D" for k, x in known) + " END"
         margin = " + ".join([f"{self.start:.12g}D", *(self._sql(t, c) for t in self.trees)])
-        return " OR ".join(t.replace("margin", f"({margin})") for t in tests)
+        return f"coalesce({margin} >= {limit}, false)"
 
 
 #: Sentences to learn from beside the documents: (what stands before, the string in SQL, whether it is personal). # is a digit.
@@ -284,9 +286,10 @@ def _disguised(spans: DataFrame) -> DataFrame:
 
 
 def _counts(spans: DataFrame, wanted: str) -> DataFrame:
-    """Candidates by fold and features, with those that cover a known span."""
-    rows = _with_candidates(spans).select(F.expr("cast(pmod(xxhash64(text), 4) > 0 AS int)").alias("fold"), F.explode("cands").alias("c")).where(wanted)
-    return rows.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.count_if("c.hit").alias("p"))
+    """Candidates (a row each, so that features are plain columns) by fold and features, with those that cover a known span."""
+    rows = _proposed(spans).select("text", "base", F.explode_outer("proposed").alias("c")).where("c IS NOT NULL").withColumn("hit", F.expr(HIT)).where(wanted)
+    rows = rows.select(F.expr("cast(pmod(xxhash64(text), 4) > 0 AS int)").alias("fold"), "hit", *[F.expr(v).alias(k) for k, v in _features("c").items()])
+    return rows.groupBy("fold", *FEATURES).agg(F.count("*").alias("n"), F.count_if("hit").alias("p"))
 
 
 def train(docs: DataFrame) -> Forest:
@@ -295,22 +298,25 @@ def train(docs: DataFrame) -> Forest:
     seen = _with_digits(real)
     known = _with_digits(_disguised(real))
     made = _with_digits(_synthetic(docs.sparkSession))
-    table = _counts(seen, "NOT c.hit").unionByName(_counts(known, "c.hit")).unionByName(_counts(made, "true"))
-    table = table.groupBy("fold", *FEATURES).agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    return Forest([(tuple(r[f] for f in FEATURES), r.fold, r.n, r.p) for r in table.orderBy("fold", *FEATURES).collect()])
+    labelled = _counts(known, "hit").unionByName(_counts(made, "true")).withColumn("u", F.lit(0).cast("long"))
+    table = labelled.unionByName(_counts(seen, "NOT hit").withColumn("u", F.col("n")).withColumn("n", F.lit(0).cast("long")))
+    table = table.groupBy("fold", *FEATURES).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rows = table.orderBy("fold", *FEATURES).collect()  # a row for each combination of features that occurs
+    share = min(UNLABELLED, 0.5 * sum(r.p for r in rows) / max(1, sum(r.u for r in rows)))
+    return Forest([(tuple(r[f] for f in FEATURES), r.fold, r.n + share * r.u, r.p) for r in rows])
 
 
 def _spans(slim: DataFrame, forest: Forest) -> DataFrame:
     """slim (with text) with base, added and spans (base and added), each sorted by kind as listed, then start."""
     named = "CASE WHEN c.form = 0 THEN 'email' WHEN c.octets = 1 THEN 'ip' WHEN c.luhn = 1 THEN 'card' ELSE 'phone' END"
-    picked = f"filter(cands, c -> NOT c.hit AND ({forest.chosen('c')}))"
-    out = _with_candidates(_with_base(slim)).withColumn("picked", F.expr(f"transform({picked}, c -> named_struct('kind', {named}, 'start', c.start, 'end', c.end, 's', c.s, 'form', c.form))"))
+    featured = f"transform(filter(proposed, c -> NOT {HIT}), c -> named_struct('start', c.start, 'end', c.end, 's', c.s, {', '.join(f"'{k}', {v}" for k, v in _features('c').items())}))"
+    out = _proposed(_with_base(slim)).withColumn("picked", F.expr(f"transform(filter({featured}, c -> {forest.chosen('c')}), c -> named_struct('kind', {named}, 'start', c.start, 'end', c.end, 's', c.s, 'form', c.form))"))
     single = "filter(picked, c -> c.form = 0 OR NOT exists(picked, d -> d.form = 0 AND d.start < c.end AND c.start < d.end))"
     added = f"transform({single}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 's', c.s))"
     order = "CASE {0}.kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END"
     keyed = "transform(concat(base, added), c -> named_struct('k', " + order.format("c") + ", 'start', c.start, 'end', c.end, 'kind', c.kind, 's', c.s))"
     out = out.withColumn("added", F.expr(added)).withColumn("spans", F.expr(f"transform(array_sort({keyed}), c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 's', c.s))"))
-    return out.drop("cands", "picked", "digits")
+    return out.drop("proposed", "picked", "digits")
 
 
 def _apart(docs: DataFrame) -> DataFrame:
