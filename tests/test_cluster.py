@@ -18,12 +18,12 @@ def clusters(spark, rows):
 
 def test_identical_titles_merge(spark):
     (e,) = clusters(spark, [(1, "Missile strike hits port", day(0), 2, "r"), (2, "Missile strike hits port", day(0), 3, "r")])
-    assert (e.corroboration, e.severity, e.member_ids) == (2, 3, [1, 2])
+    assert (e.corroboration, e.severity, e.rep_id, e.first_corroboration) == (2, 3, 1, 2)
 
 
 def test_reworded_next_day_merges_and_takes_the_first_day(spark):
     (e,) = clusters(spark, [(1, "Missile strike hits port of Odesa", day(1), 2, "r"), (2, "Missile strike hits the port of Odesa", day(0), 3, "r")])
-    assert e.date == day(0)
+    assert (e.date, e.title, e.corroboration, e.first_corroboration, e.first_severity) == (day(0), "Missile strike hits the port of Odesa", 2, 1, 3)
 
 
 def test_different_far_and_empty_stay_apart(spark):
@@ -51,8 +51,50 @@ def test_greedy_equals_a_loop(spark):
         else:
             leaders.append(r)
             expected[r[0]] = r[0]
-    got = {i: e.rep_id for e in clusters(spark, rows) for i in e.member_ids}
-    assert got == expected
+    members = C.event_members(spark.createDataFrame(rows, ITEM)).collect()
+    at = {(m.region, m.date, m.title): m.rep for m in members}
+    assert {r[0]: at[r[4], r[2], r[1]] for r in rows} == expected
+    full = clusters(spark, rows)
+    assert sum(e.corroboration for e in full) == len(rows) and {e.rep_id for e in full} == set(expected.values())
+
+
+def test_rows_without_a_date_are_close_to_all(spark):
+    rows = [(1, "Same words here", day(0), 1, "r"), (2, "Same words here", day(9), 1, "r"), (3, "Same words here", None, 4, "r"), (4, "Same words here", None, 1, "q"), (5, "Same words here", None, 1, "q")]
+    got = {e.rep_id: (e.corroboration, e.severity) for e in clusters(spark, rows)}
+    assert got == {1: (2, 4), 2: (1, 1), 4: (2, 1)}
+
+
+def test_a_chain_is_no_cluster_and_long_ones_end(spark):
+    titles = ["aa bb cc dd", "bb cc dd ee", "cc dd ee ff"]
+    assert C.token_similarity_of(titles[0], titles[1]) >= 70 > C.token_similarity_of(titles[0], titles[2])
+    got = clusters(spark, [(k, t, day(k), 1, "r") for k, t in enumerate(titles)])
+    assert sorted((e.rep_id, e.corroboration) for e in got) == [(0, 2), (2, 1)]
+    items = spark.range(300).selectExpr("id", "struct(id) as pos")
+    kept = C.first_independent(items, spark.range(299).selectExpr("id as a", "id + 1 as b")).collect()
+    assert {r.id: r.rep for r in kept} == {k: k - k % 2 for k in range(300)}
+
+
+def test_other_scorers(spark):
+    from difflib import SequenceMatcher
+
+    pairs = [("Port hit by strike", "strike BY port hit"), ("abc", "xyz"), ("", "a")]
+    got = [r.s for r in spark.createDataFrame(pairs, "x string, y string").select(C.sequence_ratio("x", "y").alias("s")).collect()]
+    ordered = lambda t: " ".join(sorted(t.lower().split()))
+    assert got == [100 * max(SequenceMatcher(None, x.lower(), y.lower()).ratio(), SequenceMatcher(None, ordered(x), ordered(y)).ratio()) for x, y in pairs]
+    rows = [(1, [1.0, 0.0], day(0), "r"), (2, [0.9, 0.1], day(1), "r"), (3, [0.0, 1.0], day(1), "r"), (4, None, day(1), "r"), (5, [1.0, 0.0], day(5), "r")]
+    found = C.similar_pairs(spark.createDataFrame(rows, "id long, v array<double>, date date, region string"), text="v", similarity=C.cosine, threshold=95.0)
+    assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
+
+
+def test_late_reports_revise_their_component(spark):
+    rng = random.Random(9)
+    words = ["alpha", "bravo", "carbon", "delta", "echo"]
+    rows = [(k, " ".join(rng.choices(words, k=3)), day(rng.choice([0, 1, 2, 5, 6, 9])), 1, rng.choice("rs")) for k in range(50)]
+    old, new = [r for r in rows if r[0] % 7], [r for r in rows if r[0] % 7 == 0]
+    items, late = spark.createDataFrame(old, ITEM), spark.createDataFrame(new, ITEM)
+    got, changed = C.recluster(items, late, C.event_clusters(items))
+    assert sorted(map(tuple, got.select("region", "rep_id", "date", "corroboration").collect())) == sorted(map(tuple, C.event_clusters(items.unionByName(late)).select("region", "rep_id", "date", "corroboration").collect()))
+    assert {(r[4], r[2]) for r in new} <= {(r.region, r.date) for r in changed.collect()}
 
 
 def test_keep_first_equals_a_loop(spark):

@@ -17,7 +17,7 @@ def gz_of(spark, events):
     rows = [("r", TODAY - dt.timedelta(days=ago), s, c) for s, ago, c in events] + [("r", TODAY, None, 0)]
     df = spark.createDataFrame(rows, "region string, date date, severity int, corroboration long")
     w = F.when(F.col("corroboration") > 0, scoring.severity_weight(F.col("severity")) * scoring.corroboration(F.col("corroboration"))).otherwise(0.0)
-    daily = df.groupBy("region", "date").agg(F.sum(w).alias("w"), F.count("*").alias("n_events"), F.sum("corroboration").alias("n_reports"))
+    daily = df.groupBy("region", "date").agg(F.sum(w).alias("w"), F.sum(w).alias("w_first"), F.count("*").alias("n_events"), F.sum("corroboration").alias("n_reports"))
     return X.with_gz(X.rolling_load(daily)).where(F.col("date") == TODAY).first()
 
 
@@ -31,7 +31,7 @@ def test_weights_are_convex():
 
 
 def test_region_list_and_baselines_agree():
-    assert len(dims.REGIONS) == 20 and set(dims.TERMS) == set(dims.REGIONS) == set(dims.KEYWORDS)
+    assert len(dims.REGIONS) == 20 and set(dims.TERMS.values()) == set(dims.REGIONS) == set(dims.KEYWORDS) and len(dims.TERMS) == 141 and len(dims.SECURITY_STEMS) == 81
     assert all(0 <= v[-1] <= 0.5 for v in dims.REGIONS.values())
 
 
@@ -80,6 +80,8 @@ def test_composite_and_exercises(spark):
     ex = spark.createDataFrame([(1, dt.date(2024, 3, 10), dt.date(2024, 3, 12), 80000, "r", "confirmed", 0.5), (2, dt.date(2024, 3, 1), dt.date(2024, 3, 2), 0, "r", None, 0.0)], "id long, start_date date, end_date date, scale int, region string, announcement_status string, rhetoric_score double")
     got = {r.date: r for r in X.composite_history(inc, ex).collect()}[dt.date(2024, 3, 1)]
     assert got.ex_score == 100.0 and got.rh_score == 75.0  # a null status drops out
+    manual = ex.withColumn("announcement_status", F.lit("archived-manual"))
+    assert {r.date: r for r in X.composite_history(inc, manual).collect()}[dt.date(2024, 3, 1)].ex_score == 0.0
     assert got.ei_score == pytest.approx(got.gz_score * 0.45 + 35 + 1, abs=0.11)
 
 
@@ -90,3 +92,82 @@ def test_upper_median_counts_equal_values(spark):
     out = upper_median(spark.createDataFrame(rows, "k string, v int"), "k", "v")
     assert {r.k: r.upper_median for r in out.collect()} == {"a": 5, "b": 3, "c": 8, "d": None}
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_no_lookahead_against_a_day_by_day_model(spark):
+    """The history equals clustering anew, for every day, the reports up to that day."""
+    import random
+
+    from tocsin.operators.cluster import token_similarity_of
+
+    rng = random.Random(4)
+    words = ["alpha", "bravo", "carbon", "delta", "echo", "fox"]
+    start = dt.date(2024, 1, 1)
+    rows = [(k, " ".join(rng.choices(words, k=3)), start + dt.timedelta(days=rng.randrange(40)), rng.randrange(1, 6), "r") for k in range(90)]
+    got = {r.date: r for r in X.with_gz(X.rolling_load(X.daily_weights(spark.createDataFrame(rows, "id long, title string, date date, escalation_level int, region string")))).collect()}
+
+    def events(until):
+        leaders = []
+        for r in sorted((r for r in rows if r[2] <= until), key=lambda r: (r[2], r[0])):
+            for e in leaders:
+                if (r[2] - e["date"]).days <= 1 and token_similarity_of(e["title"], r[1]) >= 70:
+                    e["n"] += 1
+                    e["level"] = max(e["level"], r[3])
+                    break
+            else:
+                leaders.append({"date": r[2], "title": r[1], "n": 1, "level": r[3]})
+        return leaders
+
+    def load(es, on):
+        return sum(dims.SEVERITY[e["level"]] * (1 + 0.15 * math.log(e["n"])) * (1.6 if (on - e["date"]).days <= 7 else 1.0) for e in es if 0 <= (on - e["date"]).days <= 30)
+
+    for k in range(0, 40, 3):
+        on = start + dt.timedelta(days=k)
+        es = events(on)
+        past = sorted(load([e for e in es if e["date"] <= on - dt.timedelta(days=j)], on - dt.timedelta(days=j)) for j in range(1, 91))
+        median = (past[44] + past[45]) / 2
+        kappa = 15.0 if median <= 0 and sum(x > 0 for x in past) < 15 else max(3.0, median / -math.log(0.65))
+        want = load(es, on)
+        assert (got[on].load, got[on].kappa) == (pytest.approx(want), pytest.approx(kappa))
+        assert got[on].gz == pytest.approx(min(1 - math.exp(-want / kappa), 1) if want > 0 else 0)
+
+
+def test_intervals_as_sums_of_differences(spark):
+    import random
+
+    rng = random.Random(6)
+    d0 = dt.date(2024, 1, 1)
+    day = lambda n: d0 + dt.timedelta(days=n)
+    rows = [(k, day(a), day(a + rng.choice([-20, -14, 0, 3, 30])), rng.choice([None, 0, 4000, 90000]), rng.choice("rs"), rng.choice(["confirmed", "archived-manual", None, "projected"]), rng.choice([None, -1.0, 0.25])) for k in range(60) for a in [rng.randrange(50)]]
+    rows += [(99, None, day(3), 1, "r", "confirmed", None), (98, day(3), None, 1, "r", "confirmed", None)]
+    df = spark.createDataFrame(rows, "id long, start_date date, end_date date, scale int, region string, announcement_status string, rhetoric_score double")
+    got = {(r.region, r.date): r for r in X.exercise_parts(df).collect()}
+    asked = spark.createDataFrame([(r, day(n)) for r in "rs" for n in range(-20, 100, 7)], "region string, date date")
+    pairs = {(r.region, r.date, r.id) for r in X.exercise_days(df, asked).collect()}
+    for r in "rs":
+        for n in range(-20, 100):
+            t = day(n)
+            on = [x for x in rows if x[4] == r and x[5] in ("confirmed", "projected") and x[1] and x[2] and x[2] >= t and x[1] <= t + dt.timedelta(days=14)]
+            if not on:
+                assert (r, t) not in got
+                continue
+            tones = [x[6] for x in on if x[6] is not None]
+            assert got[r, t].n_exercises == len(on) and got[r, t].ex == pytest.approx(sum(min((x[3] or 5000) / 80000, 1) for x in on) / len(on))
+            assert got[r, t].rh == (pytest.approx((sum(tones) / len(tones) + 1) / 2) if tones else None)
+            if (n + 20) % 7 == 0:
+                assert {i for q, u, i in pairs if (q, u) == (r, t)} == {x[0] for x in on}
+
+
+def test_daily_job(spark):
+    from tocsin.plans import daily as P
+
+    day = dt.date(2024, 3, 1)
+    reports = spark.createDataFrame([(1, "Shelling in Kyiv", "text", "u1", day, None, None), (2, "Shelling in Kyiv", "text", "u2", day, None, None), (3, "Port struck", "x", "u3", day, "Atlantis", None), (4, "", "", "u4", day, None, None)], "id long, title string, description string, source_url string, date date, region string, category string")
+    reports = reports.withColumns({"escalation_level": F.lit(2), "actors": F.lit(None).cast("array<string>")})
+    verdicts = spark.createDataFrame([(1, '{"category": "military", "escalation_level": 5}'), (3, '{"category": "maritime", "escalation_level": "4", "region": "red sea"}')], "id long, raw string")
+    exercises = spark.createDataFrame([(7, "Drill", day, day, 80000, "Ukraine", "confirmed", None)], "id long, name string, start_date date, end_date date, scale int, region string, announcement_status string, rhetoric_score double").withColumn("exercise_type", F.lit(None).cast("string"))
+    taxonomy = spark.createDataFrame([(7, '{"exercise_type": "FTX", "scale": "Large", "rhetoric_score": 1}')], "id long, raw string")
+    kept = P.classify(P.ingest(P.unclassifiable(reports)), verdicts).collect()
+    assert {(r.id, r.region, r.category, r.escalation_level) for r in kept} == {(1, "Ukraine", "military", 5), (3, "Yemen", "maritime", 4), (4, "Unknown", "unclassifiable", 2)}
+    got = {r.region: r for r in P.daily(reports, verdicts, exercises, taxonomy).where(F.col("date") == day).collect()}
+    assert got["Ukraine"].ex_score == 100.0 and got["Ukraine"].rh_score == 100.0 and got["Yemen"].ex_score == 0.0 and got["Ukraine"].reports_30d == 1

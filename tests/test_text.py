@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tocsin.functions import text as T
@@ -40,18 +41,61 @@ def test_verdicts(spark):
 
 
 def test_rss_and_json(spark, tmp_path):
-    rss = "<rss><channel><item><title>Drone attack near Kyiv</title><link>http://a/1</link><description>&lt;b&gt;Two drones&lt;/b&gt; struck a depot near the city at night.</description><pubDate>Mon, 03 Jun 2024 10:00:00 GMT</pubDate></item><item><title>Old attack</title><link>http://a/2</link><pubDate>Mon, 01 Jan 2018 10:00:00 GMT</pubDate></item></channel></rss>"
-    (tmp_path / "feed.xml").write_text(rss)
-    (row,) = R.rss_items(spark, str(tmp_path / "feed.xml"), "Wire", "2024-06-04").collect()
-    assert (row.region, row.date, row.source_url) == ("Ukraine", dt.date(2024, 6, 3), "http://a/1")
-    (tmp_path / "e.json").write_text(json.dumps({"Result": [{"id": 1, "side_a": "A", "side_b": None, "where_coordinates": "Goma", "country": "DR Congo", "date_start": "2024-06-01", "best": 30}]}))
+    rss = "<rss><channel><item><title>Drone attack near Kyiv</title><link>http://a/1</link><description>&lt;b&gt;Two drones&lt;/b&gt; struck a depot near the city at night.</description><pubDate>Mon, 03 Jun 2024 10:00:00 GMT</pubDate></item><item><title>Old attack</title><link>http://a/2</link><pubDate>Mon, 01 Jan 2018 10:00:00 GMT</pubDate></item><item><title>Attack on Kyiv</title></item></channel></rss>"
+    (tmp_path / "feeds" / "source=Wire").mkdir(parents=True)
+    (tmp_path / "feeds" / "source=Wire" / "feed.xml").write_text(rss)
+    (row,) = R.rss_items(spark, str(tmp_path / "feeds"), "2024-06-04").collect()
+    assert (row.region, row.date, row.source_url, row.source_name, row.escalation_level) == ("Ukraine", dt.date(2024, 6, 3), "http://a/1", "Wire", 2)
+    (tmp_path / "e.json").write_text(json.dumps({"Result": [{"id": 1, "side_a": "A", "side_b": None, "where_description": "Goma", "country": "DR Congo", "date_start": "2024-06-01", "best": 30}]}))
     (row,) = R.conflict_events(spark, str(tmp_path / "e.json"), "2024-06-04").collect()
-    assert (row.region, row.escalation_level, row.actors) == ("DRC", 3, ["A"])
+    assert (row.region, row.escalation_level, row.actors, row.title, row.category) == ("DRC", 3, ["A"], "Armed clash: A vs  in Goma, DR Congo", "proxy")
+
+
+def test_an_empty_registry_is_an_error(spark, tmp_path):
+    (tmp_path / "r.json").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        R.registry(spark, str(tmp_path))
 
 
 def test_html_tables(spark):
-    page = spark.createDataFrame([(1, "u", "<table><tr><th>N<th>D</tr><tr><td>Big drill<td>May</tr></table>")], "page_id long, url string, html string")
-    assert [r.cells for r in R.table_cells(page).collect()] == [["Big drill", "May"]]
+    page = spark.createDataFrame([(1, "u", "<table><tr><th>N<th>D</tr><tr><td>Big &amp; drill<td>May</tr></table>")], "page_id long, url string, html string")
+    assert [r.cells for r in R.table_cells(page).collect()] == [["Big & drill", "May"]]
+
+
+def test_the_three_detectors_differ(spark):
+    cases = [
+        ("Talks in Gaza about south china sea", "Gaza & Middle East", "Gaza & Middle East", "Gaza & Middle East"),
+        ("Clashes in Somalia", "Sahel", "Sahel", "Sahel"),  # 'mali' is looked for before 'somalia' and is part of it
+        ("Ceasefire on the frontline", None, None, None),
+        ("a gang near the viv ansanm base", "Haiti", "Haiti", "Haiti"),
+        ("a gang", None, "Haiti", None),
+        ("drones over svalbard", None, "Arctic", "Arctic"),
+        ("", None, None, None),
+        (None, None, None, None),
+    ]
+    for text, first, loose, strict in cases:
+        t = F.lit(text).cast("string")
+        assert (one(spark, T.detect_region(t)), one(spark, T.detect_loosely(t)), one(spark, T.detect_with_hint(t, F.lit("")))) == (first, loose, strict), text
+    assert one(spark, T.detect_with_hint(F.lit("unrest"), F.lit("Gang"))) == "Haiti" and one(spark, T.detect_with_hint(F.lit("a gang"), F.lit("mss"))) == "Haiti"
+    assert one(spark, T.detect_exercise_region(F.lit("Drill off Norway and Taiwan"))) == "Baltic" and one(spark, T.detect_exercise_region(F.lit("Drill at sea"))) is None
+
+
+def test_exercise_dates_and_troops(spark):
+    today = dt.date(2024, 6, 1)
+    cases = [
+        ("12-15 march 2025", dt.date(2025, 3, 12), dt.date(2025, 3, 15)), ("May 3–9, 2026", dt.date(2026, 5, 3), dt.date(2026, 5, 9)), ("in 1999", dt.date(1999, 1, 1), dt.date(1999, 12, 31)),
+        ("30-31 February 2025", dt.date(2025, 1, 1), dt.date(2025, 12, 31)), ("soon", today, dt.date(2024, 6, 15)), ("0000", today, dt.date(2024, 6, 15)),
+    ]
+    for text, a, b in cases:
+        assert tuple(one(spark, T.exercise_dates(F.lit(text), F.lit(today)))) == (a, b), text
+    for text, n in (("approximately 12,000 in all", 12000), ("over 9,000 came", 9000), ("5,000 NATO staff", 5000), ("5 troops", None), ("12 Troops", 12), ("none", None)):
+        assert one(spark, T.troop_count(F.lit(text))) == n, text
+
+
+def test_brief(spark):
+    long1, long2 = "A first sentence of some length", "a second sentence of some length"
+    for text, want in ((f"{long1}. {long2}. more", f"{long1}. {long2}"), (f"Short. {long2}. third sentence that is long", long2), (f"Short. Too. {long2}", f"Short. Too. {long2}"), (f"No! {long1}! x", f"No! {long1}! x"), ("A. B. C! D", "A. B. C! D"), (None, ""), ("<b>x</b>  y", "x y")):
+        assert one(spark, T.extract_brief(F.lit(text).cast("string"))) == want, text
 
 
 def test_upsert_and_violations(spark):
@@ -69,3 +113,13 @@ def test_stream_takes_each_content_once(spark, tmp_path):
     append_new(spark, landing, target, state)
     append_new(spark, landing, target, state)
     assert spark.read.parquet(target).count() == 2
+
+
+def test_late_rows_are_dropped_beyond_the_watermark(spark, tmp_path):
+    landing, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = lambda *r: spark.createDataFrame(r, "id long, title string, source_url string, ts timestamp").coalesce(1).write.mode("append").parquet(landing)
+    rows((1, "t", "u", dt.datetime(2024, 6, 1)))
+    append_new(spark, landing, target, state)
+    rows((2, "late", "u", dt.datetime(2024, 5, 1)), (3, "too late", "u", dt.datetime(2024, 1, 1)))
+    append_new(spark, landing, target, state)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2]

@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tocsin.functions import dims
 
+BLANK = r"[\t-\r \x1c-\x1f\x85\p{Z}]+"
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out a single time however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _text(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
 
 def clean_html(text: Column) -> Column:
-    """Tags become a space."""
-    return F.regexp_replace(text, "<[^>]+>", " ")
+    """Tags become a space; null becomes empty."""
+    return F.regexp_replace(_text(text), "<[^>]+>", " ")
+
+
+def flat(text: Column) -> Column:
+    """Runs of white space are one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, BLANK, " "))
 
 
 def extract_brief(text: Column, size: int = 280) -> Column:
-    """The first two sentences of over 20 characters, cut to size; else the text cut to size."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    pick = lambda mark: F.slice(F.filter(F.split(flat, mark), lambda s: F.length(F.trim(s)) > 20), 1, 2)
-    by_dot, by_bang = pick(r"\. "), pick("! ")
-    joined = F.when(F.size(by_dot) > 0, F.concat_ws(". ", by_dot)).when(F.size(by_bang) > 0, F.concat_ws(". ", by_bang))
-    return F.substring(F.coalesce(joined, flat), 1, size)
+    """Of the first two sentences those of over 20 characters, cut to size; else the text cut to size.
+
+    Sentences end in '. ', or in '! ' if neither of the first two parts is long enough.
+    """
+
+    def brief(whole: Column) -> Column:
+        def first(mark: str) -> Column:
+            two = F.transform(F.slice(F.split(whole, "[" + mark[0] + "] "), 1, 2), lambda s: F.trim(s))
+            return F.array_join(F.filter(two, lambda s: F.length(s) > 20), mark)
+
+        return F.substring(F.coalesce(F.nullif(first(". "), F.lit("")), F.nullif(first("! "), F.lit("")), whole), 1, size)
+
+    return _once(flat(clean_html(text)), brief)
 
 
 def content_hash(title: Column, url: Column) -> Column:
     """sha256 of url, a bar and the first 100 characters of the title; nulls are empty."""
-    return F.sha2(F.concat(F.coalesce(url, F.lit("")), F.lit("|"), F.substring(F.coalesce(title, F.lit("")), 1, 100)), 256)
+    return F.sha2(F.concat(_text(url), F.lit("|"), F.substring(_text(title), 1, 100)), 256)
 
 
 def lenient_date(value: Column) -> Column:
     """The first ten characters as an ISO date, else null."""
-    return F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")
+    return F.try_to_date(F.substring(value.cast("string"), 1, 10), "yyyy-MM-dd")
 
 
 def dates_close(a: Column, b: Column) -> Column:
@@ -37,10 +62,13 @@ def dates_close(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)) <= 1, F.lit(True))
 
 
-def _first_contained(text: Column, pairs: list[tuple[str, str]]) -> Column:
+def _first_contained(text: Column, pairs: list[tuple[str, object]]) -> Column:
     """The value of the first pair whose key the text contains, else null."""
-    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs])
-    return F.get(F.filter(known, lambda p: F.contains(text, p["k"])), F.lit(0))["v"]
+    (key, value), *rest = pairs
+    out = F.when(F.contains(text, F.lit(key)), value if isinstance(value, Column) else F.lit(value))
+    for key, value in rest:
+        out = out.when(F.contains(text, F.lit(key)), value if isinstance(value, Column) else F.lit(value))
+    return out
 
 
 def _exact(text: Column, mapping: dict[str, str]) -> Column:
@@ -50,43 +78,63 @@ def _exact(text: Column, mapping: dict[str, str]) -> Column:
 
 def canonicalize(value: Column) -> Column:
     """Region name (any case), else exact term, else the longest term contained, else null."""
-    low = F.lower(F.trim(value))
     named = {r.lower(): r for r in dims.REGIONS}
-    return F.coalesce(_exact(low, named), _exact(low, dict(dims.terms())), _first_contained(low, dims.terms()))
+    return _once(F.lower(F.trim(value)), lambda low: F.coalesce(_exact(low, named), _exact(low, dims.TERMS), _first_contained(low, dims.terms())))
 
 
 def resolve(*texts: Column) -> Column:
     """The region of the longest term in the joined texts, else null."""
-    return _first_contained(F.lower(F.concat_ws(" ", *texts)), dims.terms())
+    return _once(F.lower(F.concat_ws(" ", *texts)), lambda low: _first_contained(low, dims.terms()))
+
+
+def _scored(low: Column, keywords: dict[str, list[str]], least: Callable[[Column], Column]) -> Column:
+    """The region with most keywords in the text, the first on ties, among those whose count passes."""
+    scores = []
+    for rank, (region, words) in enumerate(keywords.items()):
+        n = sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0))
+        scores.append(F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(region).alias("region")))
+    return F.array_max(F.filter(F.array(*scores), least))["region"]
 
 
 def score_regions(text: Column, least: int = 2) -> Column:
-    """The region with most keywords in the text (the first on ties) if there are at least so many."""
-    low = F.lower(text)
-    scores = [
-        F.struct(sum((F.contains(low, F.lit(k)).cast("int") for k in joined.split(",")), F.lit(0)).alias("n"), F.lit(-i).alias("rank"), F.lit(region).alias("region"))
-        for i, (region, joined) in enumerate(dims.KEYWORDS.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] >= least, best["region"])
+    """The region with most keywords if there are at least so many."""
+    return _once(F.lower(_text(text)), lambda low: _scored(low, dims.KEYWORDS, lambda s: s["n"] >= least))
 
 
 def detect_region(text: Column) -> Column:
-    """A contained term's region, else by keywords."""
-    return F.coalesce(_first_contained(F.lower(text), dims.terms()), score_regions(text, 2))
+    """The region of the first alias in their own order, else of most keywords if there are two."""
+    return _once(F.lower(_text(text)), lambda low: F.coalesce(_first_contained(low, list(dims.ALIASES.items())), _scored(low, dims.KEYWORDS, lambda s: s["n"] >= 2)))
+
+
+def detect_loosely(text: Column) -> Column:
+    """The region of most keywords of the older list, one is enough."""
+    return _once(F.lower(_text(text)), lambda low: _scored(low, dims.LOOSE_KEYWORDS, lambda s: s["n"] >= 1))
 
 
 def detect_with_hint(text: Column, hint: Column) -> Column:
-    """By keywords of text and hint; one keyword is enough if the hint is itself a keyword."""
-    joined = F.concat_ws(" ", text, hint)
-    all_keywords = F.array(*[F.lit(k) for k, _, _ in dims.keywords()])
-    return F.coalesce(score_regions(joined, 2), F.when(F.array_contains(all_keywords, F.lower(F.trim(hint))), score_regions(joined, 1)))
+    """Aliases in text and hint, else two keywords; one is enough for a region that has the hint among its keywords."""
+    named = F.lower(_text(hint))
+    hinted = F.array_compact(F.array(*[F.when(named.isin(*words), F.lit(region)) for region, words in dims.LOOSE_KEYWORDS.items()]))
+
+    def found(low: Column) -> Column:
+        return F.coalesce(_first_contained(low, list(dims.STRICT_ALIASES.items())), _scored(low, dims.LOOSE_KEYWORDS, lambda s: (s["n"] >= 2) | ((s["n"] == 1) & F.array_contains(hinted, s["region"]))))
+
+    return _once(F.lower(F.concat(_text(text), F.lit(" "), _text(hint))), found)
+
+
+def detect_exercise_region(text: Column) -> Column:
+    """The first region with any of its exercise keywords, else null: a report without one is to be left out."""
+    return _once(F.lower(_text(text)), lambda low: _first_contained(low, [(k, region) for region, words in dims.EXERCISE_KEYWORDS.items() for k in words]))
+
+
+def any_word(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words occurs in the lower-cased text."""
+    return _once(F.lower(_text(text)), lambda low: F.coalesce(_first_contained(low, [(w, True) for w in words]), F.lit(False)))
 
 
 def is_security(title: Column, description: Column) -> Column:
     """Whether a security stem occurs in either."""
-    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
-    return F.exists(F.array(*[F.lit(s) for s in dims.SECURITY_STEMS]), lambda s: F.contains(low, s))
+    return any_word(F.concat(_text(title), F.lit(" "), _text(description)), dims.SECURITY_STEMS)
 
 
 def gate_verdict(verdict: Column) -> Column:
@@ -96,19 +144,26 @@ def gate_verdict(verdict: Column) -> Column:
 
 def source_confidence(source: Column) -> Column:
     """Class of the first source name contained, else Media."""
-    return F.coalesce(_first_contained(F.coalesce(source, F.lit("")), list(dims.SOURCE_CONFIDENCE.items())), F.lit("Media"))
+    return F.coalesce(_first_contained(_text(source), list(dims.SOURCE_CONFIDENCE.items())), F.lit("Media"))
 
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
 def exercise_dates(text: Column, today: Column) -> Column:
-    """struct(start, end): 'd-d Month yyyy', 'Month d-d, yyyy', a bare year, else today and two weeks on."""
-    first = rf"(\d{{1,2}})\s*[-–]\s*(\d{{1,2}})\s+({MONTHS})\s+(\d{{4}})"
-    second = rf"({MONTHS})\s+(\d{{1,2}})\s*[-–]\s*(\d{{1,2}}),?\s+(\d{{4}})"
-    part = lambda p, k: F.regexp_extract(text, p, k)
-    day = lambda p, d, m, y: F.try_to_date(F.concat_ws(" ", part(p, d), part(p, m), part(p, y)), "d MMMM yyyy")
-    year = F.regexp_extract(text, r"\b(20\d{2})\b", 1)
+    """struct(start, end): 'd-d Month yyyy', 'Month d-d, yyyy', any four digits as a year, else today and two weeks on.
+
+    Case doesn't matter. Only the first match of each form counts; if it is no date, the next form is tried.
+    """
+    first = rf"(?i)(\d{{1,2}})[–-](\d{{1,2}})\s+({MONTHS})\s+(\d{{4}})"
+    second = rf"(?i)({MONTHS})\s+(\d{{1,2}})[–-](\d{{1,2}})[,\s]+(\d{{4}})"
+
+    def day(pattern: str, d: int, m: int, y: int) -> Column:
+        part = lambda k: F.regexp_extract(text, pattern, k)
+        month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(part(m), F.lit(3)))) + 2) / 3
+        return F.when(part(y) != "", F.try_to_date(F.concat_ws("-", part(y), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(part(d), 2, "0")), "yyyy-MM-dd"))
+
+    year = F.nullif(F.nullif(F.regexp_extract(text, r"(\d{4})", 1), F.lit("")), F.lit("0000"))
     options = [(day(first, 1, 3, 4), day(first, 2, 3, 4)), (day(second, 2, 1, 4), day(second, 3, 1, 4)), (F.try_to_date(F.concat(year, F.lit("-01-01")), "yyyy-MM-dd"), F.try_to_date(F.concat(year, F.lit("-12-31")), "yyyy-MM-dd"))]
     found = F.struct(today.alias("start"), F.date_add(today, 14).alias("end"))
     for start, end in reversed(options):
@@ -116,11 +171,17 @@ def exercise_dates(text: Column, today: Column) -> Column:
     return found
 
 
+#: Forms of a number of troops, tried in order; a number has two digits or commas at least.
+TROOPS = (
+    r"(\d[\d,]+)\s*(?:troops|soldiers|personnel|participants|service members)",
+    r"(?:more than|over|about|approximately|some)\s*(\d[\d,]+)",
+    r"(\d[\d,]+)\s*(?:NATO|allied|multinational)",
+)
+
+
 def troop_count(text: Column) -> Column:
-    """The number before troops, personnel and the like, commas dropped."""
-    words = "troops|soldiers|personnel|servicemembers|forces|participants"
-    patterns = (rf"(\d[\d,]*)\s*(?:\+\s*)?(?:{words})", rf"(?:{words})\s*(?:of|:)\s*(\d[\d,]*)", rf"(?:more than|over|some|about)\s+(\d[\d,]*)\s+(?:{words})")
-    return F.coalesce(*[F.regexp_replace(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")), ",", "").try_cast("int") for p in patterns])
+    """The first number that stands as one of troops, commas dropped."""
+    return F.coalesce(*[F.regexp_replace(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")), ",", "").try_cast("long") for p in TROOPS])
 
 
 def from_deaths(deaths: Column) -> Column:
@@ -130,22 +191,29 @@ def from_deaths(deaths: Column) -> Column:
 def from_fatalities(event_type: Column, fatalities: Column) -> Column:
     """1, and more for deaths, battles and explosions, up to 5."""
     deaths = F.when(fatalities >= 10, 2).when(fatalities >= 1, 1).otherwise(0)
-    fought = F.lower(event_type).rlike("battle|explosion").cast("int") * 2
-    return F.least(F.greatest(F.lit(1) + deaths + F.coalesce(fought, F.lit(0)), F.lit(1)), F.lit(5))
+    fought = F.when(event_type.isin("Battles", "Explosions/Remote violence"), 2).otherwise(0)
+    return F.least(F.greatest(F.lit(1) + deaths + fought, F.lit(1)), F.lit(5))
 
 
-def verdict_json(raw: Column, schema: str) -> Column:
-    """Parsed verdict without code fences; malformed text gives nulls."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"```(?:json)?", ""), "```", ""))
-    return F.from_json(bare, schema)
+def event_category(event_type: Column) -> Column:
+    """Category of a kind of conflict event, else unknown."""
+    return F.coalesce(_exact(_text(event_type), dims.EVENT_CATEGORIES), F.lit("unknown"))
 
 
-CATEGORIES = ("military", "political", "terrorism", "cyber", "humanitarian", "protest", "proxy", "naval", "nuclear", "border", "unknown", "none")
+def bare_json(raw: Column) -> Column:
+    """An answer without its code fences."""
+    return F.trim(F.replace(F.replace(raw, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+
+
+def verdict_json(raw: Column, schema: str) -> Column:
+    """Parsed verdict without code fences; malformed text gives nulls."""
+    return F.from_json(bare_json(raw), schema)
 
 
 def verdict_category(category: Column) -> Column:
+    """An allowed category that says something, else unknown."""
     low = F.lower(F.trim(category))
-    return F.when(low.isin("none", "unclassifiable"), "unknown").when(low.isin(*CATEGORIES), low).otherwise("unknown")
+    return F.when(low.isin(*[c for c in dims.CATEGORIES if c not in ("none", "unclassifiable")]), low).otherwise("unknown")
 
 
 def verdict_level(level: Column) -> Column:
@@ -159,7 +227,7 @@ def rhetoric_score(score: Column) -> Column:
 
 
 def scale_label(scale: Column) -> Column:
-    return F.when(scale < 5000, "small").when(scale < 20000, "medium").when(scale <= 50000, "large").when(scale > 50000, "major")
+    return F.when(scale < 5000, "Small").when(scale < 20000, "Medium").when(scale <= 50000, "Large").when(scale > 50000, "Strategic")
 
 
 def index_label(score: Column) -> Column:
@@ -167,13 +235,35 @@ def index_label(score: Column) -> Column:
 
 
 def bloc(lead_nation: Column) -> Column:
-    """nato, multilateral or national by substrings of the lead nation."""
-    low = F.lower(F.coalesce(lead_nation, F.lit("")))
-    return F.when(low.contains("nato") | low.contains("shape"), "NATO").when(low.rlike("russia|china"), "RUS-CHN").when(low.rlike("united states|sweden|finland|norway|poland"), "NATIONAL").otherwise("MULTILATERAL")
+    """Badge of an exercise by substrings of its lead nation."""
+    low = F.lower(_text(lead_nation))
+    return F.when(low.contains("nato") | low.contains("shape"), "NATO").when(low.contains("russia") | low.contains("china"), "RUS/CHN").when(low.contains("sweden") | low.contains("finland"), "NATIONAL").otherwise("MULTILATERAL")
+
+
+def in_bloc(lead_nation: Column) -> dict[str, Column]:
+    """The three filters of the exercise list; Finland is in two of them."""
+    low = F.lower(_text(lead_nation))
+    nato, sweden = low.contains("nato") | low.contains("shape"), low.contains("sweden")
+    return {"nato": nato, "multilateral": ~nato & ~sweden, "national": sweden | low.contains("finland")}
+
+
+def rhetoric_band(score: Column, target: Column | None = None) -> Column:
+    """high, medium or muted; where a target is asked for, missing or general deterrence is muted."""
+    band = F.when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("muted")
+    return band if target is None else F.when(F.coalesce(target, F.lit("")).isin("", "General deterrence"), "muted").otherwise(band)
+
+
+def position(name: Column, lat: Column, lng: Column) -> Column:
+    """struct(lat, lng): its own, else by the first name known, else by a word, else the middle of the map."""
+    place = lambda p: F.struct(F.lit(float(p[0])).alias("lat"), F.lit(float(p[1])).alias("lng"))
+    known = [(k, place(p)) for k, p in [*dims.PLACES.items(), *dims.PLACE_WORDS]]
+    own = F.when(lat.isNotNull() & lng.isNotNull(), F.struct(lat.cast("double").alias("lat"), lng.cast("double").alias("lng")))
+    return F.coalesce(own, _first_contained(F.upper(_text(name)), known), place(dims.DEFAULT_PLACE))
 
 
-def rhetoric_band(score: Column) -> Column:
-    return F.when(score.isNull(), "none").when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")
+def participants(listed: Column) -> Column:
+    """Names of a comma-separated list, without the blanks around them."""
+    return F.transform(F.split(F.nullif(listed, F.lit("")), ","), lambda x: F.trim(x))
 
 
 def url_host(url: Column) -> Column:

@@ -8,48 +8,58 @@ earlier neighbour isn't.  Each round is written to the shared folder.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tocsin.functions import text as T
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{top.rstrip('/')}/tocsin/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the cluster's shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """df written to the folder that driver and executors share, and read back."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def first_independent(items: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def first_independent(items: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, rep): rep is id for kept items, else the first kept earlier neighbour.
 
     items: id, pos (unique order). edges: a, b with a before b.
+
+    In each round, items that no undecided one precedes are kept and their later
+    neighbours dropped; the edges of both go. The first item left is always decided,
+    so the rounds end; a long chain takes as many rounds as it has links over two.
     """
-    undecided = written(items.select("id", "pos"), "undecided")
-    kept, dropped = undecided.limit(0).select("id", "pos"), undecided.limit(0).select("id", F.col("id").alias("rep"))
     edges = written(edges.select("a", "b").distinct(), "conflicts")
-    for _ in range(max_rounds):
-        waiting = edges.join(undecided.select(F.col("id").alias("b")), "b", "left_semi").join(undecided.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        led = edges.join(kept.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        new = written(undecided.join(waiting, "id", "left_anti").join(led, "id", "left_anti"), "kept")
-        kept = kept.unionByName(new)
-        hit = edges.join(kept.select(F.col("id").alias("a"), F.col("pos").alias("at")), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "at").alias("rep"))
-        rest = undecided.join(new.select("id"), "id", "left_anti")
-        # an item settles on its first kept neighbour once no earlier undecided one is left before it
-        blocked = edges.join(rest.select(F.col("id").alias("a"), F.col("pos").alias("at")), "a").groupBy(F.col("b").alias("id")).agg(F.min("at").alias("first_open"))
-        settled = rest.join(hit, "id").join(kept.select(F.col("id").alias("rep"), F.col("pos").alias("rep_pos")), "rep").join(blocked, "id", "left").where("first_open is null or rep_pos < first_open").select("id", "rep")
-        settled = written(settled, "settled")
-        dropped = dropped.unionByName(settled)
-        undecided = written(rest.join(settled, "id", "left_anti"), "undecided")
-        if not undecided.take(1):
-            return kept.select("id", F.col("id").alias("rep")).unionByName(dropped)
-    raise RuntimeError(f"no decision within {max_rounds} rounds")
+    left, dropped = edges, None
+    while left.take(1):
+        kept = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        out = written(left.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        dropped = out if dropped is None else dropped.unionByName(out)
+        # an edge into or out of a dropped item decides nothing any more; with those, all edges of the kept ones go
+        left = written(left.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti"), "conflicts")
+    if dropped is None:
+        return items.select("id", F.col("id").alias("rep"))
+    kept = items.join(dropped, "id", "left_anti").select("id", "pos")
+    first = edges.join(kept.select(F.col("id").alias("a"), F.col("pos").alias("at")), "a").join(dropped.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "at").alias("rep"))
+    return kept.select("id", F.col("id").alias("rep")).unionByName(first)
 
 
 @F.pandas_udf(DoubleType())
@@ -82,11 +92,7 @@ def _share(x: str, y: str) -> float:
     return 200 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0
 
 
-def _partial(x: str, y: str) -> float:
-    """Best share of the shorter text with a window of the longer."""
-    short, long = (x, y) if len(x) <= len(y) else (y, x)
-    if not short:
-        return 0.0
+def _best_window(short: str, long: str) -> float:
     n, best = len(short), 0.0
     for k in range(1 - n, len(long)):
         window = long[max(0, k) : k + n]
@@ -95,6 +101,15 @@ def _partial(x: str, y: str) -> float:
     return best
 
 
+def _partial(x: str, y: str) -> float:
+    """Best share of the shorter text with a window of the longer; of equally long ones either may be cut."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not short:
+        return 0.0
+    best = _best_window(short, long)
+    return max(best, _best_window(long, short)) if len(short) == len(long) and best < 100 else best
+
+
 def token_similarity_of(x: str, y: str, enough: float = 70.0) -> float:
     """max of token-sort, token-set (both as written) and partial (lower case); a score from enough on may stop early."""
     a, b = x.split(), y.split()
@@ -129,29 +144,73 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(items: DataFrame, text: str = "title", similarity: Callable[[Column, Column], Column] = token_similarity, threshold: float = 70.0) -> DataFrame:
-    """(a, b, similarity) within a region and a day of each other, a before b by (date, id).
+    """(a, b, similarity) within a region and a day of each other, a before b by (date, id), rows without a date last.
 
     The later item looks at its own day and the one before: an equality join on
-    region and day. Titles are scored once for each distinct pair of titles.
+    region and day. An item without a date is close to every one of its region.
+    Empty titles are similar to nothing. Each distinct pair of texts is scored once.
     """
-    base = items.where(F.col(text).isNotNull() & (F.trim(F.col(text).cast("string")) != "") if text == "title" else F.col(text).isNotNull()).select("id", "region", "date", F.col(text).alias("t"))
-    later = base.select(F.col("id").alias("b"), "region", F.col("date").alias("day_b"), F.col("t").alias("tb"), F.explode(F.array(F.col("date"), F.date_sub("date", 1))).alias("date"))
-    earlier = base.select(F.col("id").alias("a"), "region", "date", F.col("t").alias("ta"))
+    filled = F.col(text).isNotNull() & (F.trim(F.col(text).cast("string")) != "") if dict(items.dtypes)[text] == "string" else F.col(text).isNotNull()
+    base = items.where(filled).select("id", "region", "date", F.col(text).alias("t"))
+    dated, undated = base.where("date is not null"), base.where("date is null")
+    later = dated.select(F.col("id").alias("b"), "region", F.col("date").alias("day_b"), F.col("t").alias("tb"), F.explode(F.array(F.col("date"), F.date_sub("date", 1))).alias("date"))
+    earlier = dated.select(F.col("id").alias("a"), "region", "date", F.col("t").alias("ta"))
     pairs = earlier.join(later, ["region", "date"]).where("date < day_b or (date = day_b and a < b)").select("a", "b", "ta", "tb")
+    open_ended = base.select(F.col("id").alias("a"), "region", F.col("date").alias("day_a"), F.col("t").alias("ta")).join(undated.select(F.col("id").alias("b"), "region", F.lit(None).cast("date").alias("day_b"), F.col("t").alias("tb")), "region")
+    open_ended = open_ended.where(T.dates_close(F.col("day_a"), F.col("day_b")) & F.expr("day_a is not null or a < b")).select("a", "b", "ta", "tb")
+    pairs = pairs.unionByName(open_ended)
     same = pairs.where("ta = tb").select("a", "b", F.lit(100.0).alias("similarity"))
     differ = pairs.where("ta <> tb")
     scored = differ.select("ta", "tb").distinct().withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
     return same.unionByName(differ.join(scored, ["ta", "tb"]).select("a", "b", "similarity"))
 
 
+def event_members(items: DataFrame, **options) -> DataFrame:
+    """region, date, title, n, level, id (least) and rep: the cluster of each distinct title of a region and day.
+
+    Equal titles of a region and day always share their cluster (whatever takes the
+    first takes the others), so they are one item from the start. Empty titles are
+    items of their own.
+    """
+    empty = "(title is null or trim(title) = '')"
+    rows = items.withColumn("own", F.expr(f"if({empty}, id, null)"))
+    nodes = rows.groupBy("region", "date", "title", "own").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.coalesce("escalation_level", F.lit(1))).alias("level")).drop("own")
+    nodes = written(nodes, "titles")
+    reps = first_independent(nodes.select("id", F.struct(F.col("date").isNull().alias("last"), "date", "id").alias("pos")), similar_pairs(nodes, **options))
+    return nodes.join(reps, "id")
+
+
 def event_clusters(items: DataFrame, **options) -> DataFrame:
-    """region, rep_id, date, severity, corroboration, title and member_ids of each greedy cluster."""
-    pairs = similar_pairs(items, **options)
-    ordered = items.select("id", F.struct("date", "id").alias("pos"))
-    reps = first_independent(ordered, pairs)
-    members = items.join(reps, "id")
-    longest = F.max_by("title", F.struct(F.length("title"), -F.datediff("date", F.lit("1970-01-01").cast("date")), -F.col("id")))
-    return members.groupBy("region", F.col("rep").alias("rep_id")).agg(F.min("date").alias("date"), F.max(F.coalesce("escalation_level", F.lit(1))).alias("severity"), F.count("*").alias("corroboration"), longest.alias("title"), F.sort_array(F.collect_list("id")).alias("member_ids"))
+    """region, rep_id, date, severity, corroboration and title of each greedy cluster, and the same two of its first day.
+
+    first_severity and first_corroboration count the members of the event's own day
+    only: what was known of it on that day. A cluster's other members are a day later.
+    """
+    members = event_members(items, **options)
+    day = members.join(members.where("id = rep").select("rep", F.col("date").alias("day")), "rep")
+    longest = F.max_by("title", F.struct(F.length("title"), F.col("date").isNotNull(), -F.unix_date("date"), -F.col("id")))
+    now = F.expr("date <=> day")
+    return day.groupBy("region", F.col("rep").alias("rep_id")).agg(
+        F.min("date").alias("date"), F.max("level").alias("severity"), F.sum("n").alias("corroboration"), longest.alias("title"),
+        F.max(F.when(now, F.col("level"))).alias("first_severity"), F.sum(F.when(now, F.col("n"))).alias("first_corroboration"),
+    )
+
+
+def recluster(items: DataFrame, new: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, days): the events of items and late new reports, and the (region, day) cells that may have changed.
+
+    A cluster spans a day and the next, so runs of days with reports in a region have
+    nothing to do with each other; only runs that a new report falls into (or joins)
+    are clustered again. The index has to be computed anew from each changed day on.
+    """
+    both = items.unionByName(new)
+    days = both.select("region", "date").distinct()
+    over = Window.partitionBy("region").orderBy("date")
+    runs = days.withColumn("run", F.sum(F.coalesce((F.datediff("date", F.lag("date").over(over)) > 1).cast("int"), F.lit(0))).over(over))
+    hit = runs.join(new.select("region", "date").distinct(), ["region", "date"], "left_semi").select("region", "run").distinct()
+    cells = written(runs.join(hit, ["region", "run"], "left_semi").select("region", "date"), "cells")
+    again = event_clusters(both.join(cells, ["region", "date"], "left_semi"))
+    return events.join(cells, ["region", "date"], "left_anti").unionByName(again.select(*events.columns)), cells
 
 
 def keep_first(items: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
@@ -162,7 +221,7 @@ def keep_first(items: DataFrame, keys: list[str], order: str = "id") -> DataFram
     """
     left = written(items.select(order, *keys), "open")
     kept = left.limit(0)
-    for _ in range(1000):
+    while left.take(1):
         first = None
         for k in keys:
             least = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"first_{k}"))
@@ -174,9 +233,7 @@ def keep_first(items: DataFrame, keys: list[str], order: str = "id") -> DataFram
         for k in keys:
             rest = rest.join(new.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
         left = written(rest, "open")
-        if not left.take(1):
-            return items.join(kept.select(order), order, "left_semi")
-    raise RuntimeError("no decision within 1000 rounds")
+    return items.join(kept.select(order), order, "left_semi")
 
 
 def accept_rate(times: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """The escalation index for every region and day in one plan.
 
-Events are weighted once per day; a dense spine of days then carries two rolling
+Reports are clustered into events once, for all days, and weighted per day; a dense spine of days then carries two rolling
 sums, a trailing median and the interval join with exercises.  Windows run over
 one row a region and day, so their input is small whatever the number of reports.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions import dims, scoring
+from tocsin.operators.cluster import event_clusters, written
 
 EPOCH = "1970-01-01"
 
@@ -28,10 +29,16 @@ def events_by_title(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("region", "date", "title").agg(F.max("escalation_level").alias("severity"), F.count("*").alias("corroboration"), F.min("id").alias("rep_id"))
 
 
-def daily_weights(events: DataFrame) -> DataFrame:
-    """region, date, w (severity and corroboration weights summed) and number of events."""
-    w = scoring.severity_weight(F.col("severity")) * scoring.corroboration(F.col("corroboration"))
-    return events.groupBy("region", "date").agg(F.sum(w).alias("w"), F.count("*").alias("n_events"), F.sum("corroboration").alias("n_reports"))
+def daily_weights(incidents: DataFrame) -> DataFrame:
+    """region, date, w and w_first (weights of the day's events, with all members and with those of the day itself), events and reports.
+
+    Events are clusters of similar titles; reports count on their own day.
+    """
+    events = event_clusters(incidents)
+    w = lambda severity, corroboration: F.sum(scoring.severity_weight(F.col(severity)) * scoring.corroboration(F.col(corroboration)))
+    per_day = events.groupBy("region", "date").agg(w("severity", "corroboration").alias("w"), w("first_severity", "first_corroboration").alias("w_first"), F.count("*").alias("n_events"))
+    reports = incidents.groupBy("region", "date").agg(F.count("*").alias("n_reports"))
+    return written(reports.join(per_day, ["region", "date"], "left").na.fill(0, ["w", "w_first", "n_events"]), "daily")
 
 
 def spine(daily: DataFrame, lead_days: int = dims.WINDOW_DAYS + dims.ANCHORS + 1) -> DataFrame:
@@ -43,17 +50,24 @@ def spine(daily: DataFrame, lead_days: int = dims.WINDOW_DAYS + dims.ANCHORS + 1
 
 
 def rolling_load(daily: DataFrame) -> DataFrame:
-    """region, date, load (31 days, the last 8 boosted) and counts over 31 days."""
-    dense = spine(daily).join(daily, ["region", "date"], "left").na.fill(0, ["w", "n_events", "n_reports"]).withColumn("day", _day())
+    """region, date, load, settled and counts over 31 days.
+
+    settled is the day's load (31 days, the last 8 boosted) with all that is known of
+    its events by the next day; load is what could be known on the day: members of
+    the next day are left out of its own events.
+    """
+    dense = spine(daily).join(daily, ["region", "date"], "left").na.fill(0, ["w", "w_first", "n_events", "n_reports"]).withColumn("day", _day())
     long, short = _back(dims.WINDOW_DAYS, 0), _back(dims.RECENT_DAYS, 0)
-    return dense.select("region", "date", "day", (F.sum("w").over(long) + (dims.RECENT_BOOST - 1) * F.sum("w").over(short)).alias("load"), F.sum("n_events").over(long).alias("events_30d"), F.sum("n_reports").over(long).alias("reports_30d"))
+    out = dense.withColumn("settled", F.sum("w").over(long) + (dims.RECENT_BOOST - 1) * F.sum("w").over(short))
+    load = F.when(F.col("w") == F.col("w_first"), F.col("settled")).otherwise(F.col("settled") - dims.RECENT_BOOST * (F.col("w") - F.col("w_first")))
+    return out.select("region", "date", "day", load.alias("load"), "settled", F.sum("n_events").over(long).alias("events_30d"), F.sum("n_reports").over(long).alias("reports_30d"))
 
 
 def with_kappa(load: DataFrame) -> DataFrame:
     """load with the trailing median over the 90 days before, active days and kappa."""
     past = _back(dims.ANCHORS, -1)
-    out = load.withColumn("median_load", F.coalesce(F.percentile("load", 0.5).over(past), F.lit(0.0)))
-    out = out.withColumn("active_days", F.coalesce(F.sum((F.col("load") > 1e-9).cast("int")).over(past), F.lit(0)))
+    out = load.withColumn("median_load", F.coalesce(F.percentile("settled", 0.5).over(past), F.lit(0.0)))
+    out = out.withColumn("active_days", F.coalesce(F.sum((F.col("settled") > 1e-9).cast("int")).over(past), F.lit(0)))
     return out.withColumn("kappa", scoring.kappa(F.col("median_load"), F.col("active_days")))
 
 
@@ -61,25 +75,42 @@ def with_gz(load: DataFrame) -> DataFrame:
     return with_kappa(load).withColumn("gz", scoring.saturation(F.col("load"), F.col("kappa")))
 
 
-def exercise_days(exercises: DataFrame, days: DataFrame) -> DataFrame:
-    """Interval join: each region's day with the exercises running or starting within two weeks.
+def _counted(exercises: DataFrame) -> DataFrame:
+    """Exercises that count, with the first day on which they do; a missing status or date drops out."""
+    return exercises.where("announcement_status <> 'archived-manual' and start_date - interval 14 days <= end_date").withColumn("first_day", F.date_sub("start_date", dims.AHEAD_DAYS))
 
-    An exercise is first spread over the days that it covers, so the join has an
-    equality on region and day and needs no range condition.
+
+def exercise_days(exercises: DataFrame, days: DataFrame, width: int = 64) -> DataFrame:
+    """Interval join: each region's asked days with the exercises running or starting within two weeks.
+
+    Both sides are dealt to bins of days, an exercise to those that it touches, so
+    the join has an equality on region and bin, whatever an exercise's length.
     """
-    spread = exercises.where("announcement_status <> 'archived' and start_date <= end_date").select("region", F.explode(F.sequence(F.date_sub("start_date", dims.AHEAD_DAYS), F.col("end_date"))).alias("date"), "id", "scale", "rhetoric_score")
-    return days.select("region", "date").join(spread, ["region", "date"])
+    bin_of = lambda c: F.floor(_day(c) / width)
+    spread = _counted(exercises).withColumn("bin", F.explode(F.sequence(bin_of("first_day"), bin_of("end_date"))))
+    asked = days.select("region", "date", bin_of("date").alias("bin"))
+    return asked.join(spread.select("region", "bin", "first_day", "end_date", "id", "scale", "rhetoric_score"), ["region", "bin"]).where("date between first_day and end_date").select("region", "date", "id", "scale", "rhetoric_score")
 
 
 def exercise_parts(exercises: DataFrame) -> DataFrame:
-    """region, date, ex (mean capped scale), rh (rescaled mean rhetoric) and count, for days with any."""
-    spread = exercises.where("announcement_status <> 'archived' and start_date <= end_date").select("region", F.explode(F.sequence(F.date_sub("start_date", dims.AHEAD_DAYS), F.col("end_date"))).alias("date"), "scale", "rhetoric_score")
-    return spread.groupBy("region", "date").agg((F.sum(scoring.exercise_scale(F.col("scale"))) / (F.count("*") * float(dims.FULL_SCALE))).alias("ex"), ((F.sum(F.col("rhetoric_score").cast("decimal(10,4)")).cast("double") / F.count("rhetoric_score") + 1) / 2).alias("rh"), F.count("*").alias("n_exercises"))
+    """region, date, ex (mean capped scale), rh (rescaled mean rhetoric) and count, for days with any.
+
+    Two rows an exercise: its figures are added on its first day and taken off after
+    its last; a running sum over the days gives each day's totals.
+    """
+    tone = F.col("rhetoric_score").cast("decimal(10,4)")
+    rows = _counted(exercises).select("region", "first_day", "end_date", scoring.exercise_scale(F.col("scale")).cast("long").alias("size"), F.coalesce(tone, F.lit(0).cast("decimal(10,4)")).alias("tone"), tone.isNotNull().cast("int").alias("toned"))
+    ends = rows.select("region", F.explode(F.array(F.struct(F.col("first_day").alias("date"), F.lit(1).alias("by")), F.struct(F.date_add("end_date", 1).alias("date"), F.lit(-1).alias("by")))).alias("e"), "size", "tone", "toned")
+    changes = ends.groupBy("region", F.col("e.date").alias("date")).agg(*[F.sum(F.expr(x)).alias(name) for name, x in {"n": "e.by", "size": "e.by * size", "tone": "e.by * tone", "toned": "e.by * toned"}.items()])
+    upto = Window.partitionBy("region").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    dense = spine(changes, 0).join(changes, ["region", "date"], "left").na.fill(0, ["n", "size", "toned"]).withColumn("tone", F.coalesce("tone", F.lit(0))).withColumn("day", _day())
+    totals = dense.select("region", "date", *[F.sum(c).over(upto).alias(c) for c in ("n", "size", "tone", "toned")]).where("n > 0")
+    return totals.select("region", "date", (F.col("size") / (F.col("n") * float(dims.FULL_SCALE))).alias("ex"), F.when(F.col("toned") > 0, (F.col("tone").cast("double") / F.col("toned") + 1) / 2).alias("rh"), F.col("n").alias("n_exercises"), F.col("size").alias("total_scale"))
 
 
 def composite_history(incidents: DataFrame, exercises: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
     """The index and its parts for every region and day, without lookahead."""
-    daily = daily_weights(events_by_title(incidents))
+    daily = daily_weights(incidents)
     scored = with_gz(rolling_load(daily)).join(exercise_parts(exercises), ["region", "date"], "left")
     if baselines is not None:
         scored = scored.join(F.broadcast(baselines.select("region", "baseline")), "region", "left")  # one row a region

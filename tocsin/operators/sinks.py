@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tocsin.functions import dims
+
 
 def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of new whose key isn't among existing; the first of equal keys."""
@@ -31,6 +33,50 @@ def violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.withColumn("violated", F.array_compact(F.array(*names)))
 
 
+#: SQL predicates that a row of each table must meet; unknown counts as met, so NOT NULL is spelled out.
+INCIDENT_RULES = {
+    "date": "date IS NOT NULL",
+    "title": "title IS NOT NULL",
+    "category": f"category IN ({', '.join(repr(c) for c in dims.CATEGORIES)})",
+    "escalation_level": "escalation_level BETWEEN 1 AND 5",
+}
+EXERCISE_RULES = {
+    "name": "name IS NOT NULL",
+    "exercise_type": f"exercise_type IN ({', '.join(repr(c) for c in dims.EXERCISE_TYPES)})",
+    "rhetoric_score": "rhetoric_score BETWEEN -1.0 AND 1.0",
+}
+INDEX_RULES = {"region": "region IS NOT NULL", "date": "date IS NOT NULL", "ei_score": "ei_score IS NOT NULL AND ei_score BETWEEN 0 AND 100"}
+CORRELATION_RULES = {"confidence": "confidence BETWEEN 0 AND 1"}
+
+
+def unique_violations(df: DataFrame, keys: dict[str, list[str]], order: str) -> DataFrame:
+    """df (with violated) with the names of unique keys that an earlier row has already; a null key is no key."""
+    out = df
+    for name, columns in keys.items():
+        whole = " and ".join(f"{c} is not null" for c in columns)
+        first = df.where(whole).groupBy(*columns).agg(F.min(order).alias("first_row"))
+        out = out.join(first, columns, "left").withColumn("violated", F.when(F.col("first_row") < F.col(order), F.array_append("violated", F.lit(name))).otherwise(F.col("violated"))).drop("first_row")
+    return out
+
+
+def archive_unregistered(exercises: DataFrame) -> DataFrame:
+    """Exercises that no registry knows get the status archived-manual."""
+    return exercises.withColumn("announcement_status", F.when(F.col("registry_id").isNull(), "archived-manual").otherwise(F.col("announcement_status")))
+
+
+def renamed_with_view(index: DataFrame, old: str, new: str, view: str) -> DataFrame:
+    """The table with its column renamed; a temporary view of the old name has the column under both names."""
+    out = index.withColumnRenamed(old, new)
+    out.withColumn(old, F.col(new)).createOrReplaceTempView(view)
+    return out
+
+
+def purge_preview(rows: DataFrame, ts: str, since: str, order: str, n: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What a purge would take: (one row with the count, the newest n rows)."""
+    hit = rows.where(F.col(ts) >= F.lit(since).cast("timestamp"))
+    return hit.agg(F.count("*").alias("n")), hit.orderBy(F.desc(ts), F.desc(order)).limit(n)
+
+
 def write_back(rows: DataFrame, verdicts: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows with the verdicts' values where there are any."""
     new = verdicts.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tocsin.functions import dims
 from tocsin.functions import text as T
 
 
@@ -38,7 +39,7 @@ def overview(series: DataFrame, today: str, days: int = 30, lag: int = 7) -> Dat
     recent = series.where((F.col("date") >= F.date_sub(day, days)) & (F.col("date") <= day))
     before = F.when(F.col("date") <= F.date_sub(day, lag), F.struct("date", "ei_score"))
     out = recent.groupBy("region").agg(F.max(F.struct("date", "ei_score")).alias("last"), F.max(before).alias("before"), F.array_sort(F.collect_list(F.struct("date", "ei_score"))).alias("h"))
-    return out.select("region", F.col("last.ei_score").alias("latest"), F.round(F.col("last.ei_score") - F.col("before.ei_score"), 4).alias("delta"), F.size("h").cast("long").alias("points"), F.col("h")[0]["ei_score"].alias("oldest"))
+    return out.select("region", F.col("last.ei_score").alias("latest"), F.round(F.col("last.ei_score") - F.col("before.ei_score"), 4).alias("delta"), F.size("h").cast("long").alias("points"), F.col("h").alias("history"))
 
 
 def trend_exact(series: DataFrame, lag: int = 7) -> DataFrame:
@@ -84,6 +85,12 @@ def remaps(rows: DataFrame, old: Column, new: Column, n: int = 20) -> DataFrame:
     return pairs.groupBy("old", "new").count().orderBy(F.desc("count"), "old", "new").limit(n).withColumnRenamed("count", "n")
 
 
+def remap_totals(rows: DataFrame, old: Column, new: Column) -> DataFrame:
+    """How many rows a remap changes, and how many it leaves without a region."""
+    pairs = rows.select(old.alias("old"), new.alias("new"))
+    return pairs.agg(F.count_if(F.expr("new is not null and new <> old")).alias("changed"), F.count_if(F.expr("new is null")).alias("unresolved"), F.count("*").alias("n"))
+
+
 def window_state(exercises: DataFrame, today: str) -> DataFrame:
     """State of each exercise on a day, from its dates; active also two weeks around."""
     day = F.lit(today).cast("date")
@@ -117,12 +124,39 @@ def region_board(region_dim: DataFrame, latest: DataFrame) -> DataFrame:
     return joined.select("region", "kind", "ei_score", T.index_label(F.col("ei_score")).alias("label"), F.coalesce(F.round("ei_score") >= 50, F.lit(False)).alias("critical"))
 
 
-def brief_context(incidents: DataFrame, exercises: DataFrame) -> DataFrame:
-    """Each region's newest ten reports and four exercises; the first eight and three as lines, null without any."""
-    inc = top_per(incidents, "region", [F.desc("date"), F.desc("id")], 10).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "date", "title").alias("line")))).alias("i"))
-    ex = top_per(exercises, "region", [F.desc("start_date"), F.desc("id")], 4).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(" ", "start_date", "name").alias("line")))).alias("e"))
-    lines = lambda c, n: F.array_join(F.transform(F.slice(F.coalesce(c, F.array().cast("array<struct<k:int,line:string>>")), 1, n), lambda s: s["line"]), "; ")
-    return inc.join(ex, "region", "full_outer").select("region", lines(F.col("i"), 8).alias("reports"), lines(F.col("e"), 3).alias("exercises"))
+def brief_context(regions: DataFrame, incidents: DataFrame, exercises: DataFrame) -> DataFrame:
+    """Of each region the newest eight of ten reports and three of four exercises as lines; both null where there is neither.
+
+    Where only one kind is missing, its text says so.
+    """
+
+    def lines(rows: DataFrame, by: list[Column], take: int, show: int, line: Column, name: str) -> DataFrame:
+        top = top_per(rows, "region", by, take).where(f"k <= {show}").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))
+        return top.select("region", F.array_join(F.transform("l", lambda s: s["line"]), "\n").alias(name))
+
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    inc = lines(incidents, [F.desc("date"), F.desc("id")], 10, 8, F.concat(F.lit("- ["), F.coalesce("category", F.lit("?")), F.lit("] "), known("title")), "reports")
+    ex = lines(exercises, [F.desc("start_date"), F.desc("id")], 4, 3, F.concat(F.lit("- "), known("name"), F.lit(" ("), known("signal_target"), F.lit(")")), "exercises")
+    both = regions.join(inc, "region", "left").join(ex, "region", "left")
+    some = F.col("reports").isNotNull() | F.col("exercises").isNotNull()
+    return both.select("region", F.when(some, F.coalesce("reports", F.lit("No recent incidents indexed."))).alias("reports"), F.when(some, F.coalesce("exercises", F.lit("No exercises in current window."))).alias("exercises"))
+
+
+def upcoming(exercises: DataFrame, today: str) -> DataFrame:
+    """Exercises that begin today or later and aren't archived; a missing status drops out."""
+    return exercises.where((F.col("announcement_status") != "archived-manual") & (F.col("start_date") >= F.lit(today).cast("date")))
+
+
+def with_baseline(latest: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Rows with base_score: their region's baseline in percent, the default where there is none."""
+    joined = latest.join(F.broadcast(baselines), "region", "left")  # one row a region
+    return joined.withColumn("base_score", F.round(F.coalesce("baseline", F.lit(dims.DEFAULT_BASELINE)) * 100, 1)).drop("baseline")
+
+
+def by_day(rows: DataFrame, order: str) -> DataFrame:
+    """rows with day (or 'Unknown') and their place in it."""
+    days = rows.withColumn("day", F.coalesce(F.col("date").cast("string"), F.lit("Unknown")))
+    return days.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(order)).cast("long"))
 
 
 def relevant_exercises(exercises: DataFrame, region: str, theatre: str) -> DataFrame:
@@ -145,3 +179,19 @@ def keys_in_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     sides = [x.select(key).distinct().withColumn(name, F.lit(True)) for x, name in ((left, "l"), (right, "r"))]
     both = sides[0].join(sides[1], key, "full_outer").where("l is null or r is null")
     return both.select(key, F.when(F.col("r").isNull(), "left").otherwise("right").alias("only_in"))
+
+
+def newest_links(incidents: DataFrame, exercises: DataFrame, n: int, ahead: int = 14) -> DataFrame:
+    """The newest n pairs of a report and an exercise of its region that starts on its day or within so many days.
+
+    Pairs are counted by day first (counts of either side multiplied), which tells the
+    day from which on there are n of them; only reports from then on are joined.
+    """
+    near = exercises.select(F.col("id").alias("exercise_id"), "region", "start_date", F.explode(F.sequence(F.date_sub("start_date", ahead), F.col("start_date"))).alias("date"))
+    sides = [df.groupBy("region", "date").agg(F.count("*").alias(name)) for df, name in ((incidents, "x"), (near, "y"))]
+    per_day = sides[0].join(sides[1], ["region", "date"]).groupBy("date").agg(F.sum(F.col("x") * F.col("y")).alias("pairs"))
+    upto = per_day.withColumn("upto", F.sum("pairs").over(Window.orderBy(F.desc("date"))))  # one row a day
+    since = upto.agg(F.coalesce(F.max(F.when(F.col("upto") >= n, F.col("date"))), F.min("date")).alias("since"))
+    recent = incidents.join(F.broadcast(since), F.col("date") >= F.col("since"))  # one row
+    linked = recent.select(F.col("id").alias("incident_id"), "region", "date").join(near, ["region", "date"])
+    return linked.orderBy(F.desc("date"), F.desc("incident_id"), F.desc("exercise_id")).limit(n).select("incident_id", "exercise_id", "region", F.datediff("start_date", "date").alias("lag_days"), "date")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tocsin.queries import board, scores, texts, views  # noqa: F401
+from tocsin.queries import board, landed, scores, texts, views  # noqa: F401
 from tocsin.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

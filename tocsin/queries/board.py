@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tocsin.functions import dims
 from tocsin.operators import views as V
 from tocsin.operators.sinks import write_back
-from tocsin.queries.base import EXS, INC, LONG_TODAY, REP, SER, query
+from tocsin.queries.base import EXS, INC, LONG_TODAY, REP, SER, query, values
 from tocsin.sources import bindings as B
 from tocsin.sources.feeds import capped, fan_in
 
@@ -75,27 +76,27 @@ def region_orders(spark, d):
     return _board(spark, d).select("region", place(F.coalesce("ei_score", F.lit(-1.0)).desc(), "region").alias("by_score"), place("name").alias("by_name"), place(F.desc_nulls_last("delta"), "region").alias("by_rise"))
 
 
-ORDERS = {"latest": "start_date DESC, id DESC", "oldest": "start_date, id", "troops": "coalesce(scale, 0) DESC, id DESC", "signal": "coalesce(domain, '') , id"}
+ORDERS = {"latest": "start_date DESC, id DESC", "oldest": "start_date, id", "troops": "coalesce(scale, 0) DESC, id DESC", "signal": "coalesce(rhetoric_score, 0) DESC, id"}
 
 
 @query(f"WITH {EXS} " + " UNION ALL ".join(f"(SELECT '{name}' AS ordering, id, row_number() OVER (ORDER BY {by}) AS k FROM exs ORDER BY {by} LIMIT 20)" for name, by in ORDERS.items()))
 def exercise_orders(spark, d):
     """The first twenty exercises in each of four orders; every order ends in a top-k of its own."""
-    rows = B.exercises(spark, d).select("id", "start_date", "scale", "domain")
+    rows = B.exercises(spark, d).select("id", "start_date", "scale", "rhetoric_score")
     keys = {
         "latest": [F.desc("start_date"), F.desc("id")],
         "oldest": [F.asc("start_date"), F.asc("id")],
         "troops": [F.coalesce("scale", F.lit(0)).desc(), F.desc("id")],
-        "signal": [F.coalesce("domain", F.lit("")).asc(), F.asc("id")],
+        "signal": [F.coalesce("rhetoric_score", F.lit(0.0)).desc(), F.asc("id")],
     }
     parts = [rows.orderBy(*by).limit(20).select(F.lit(name).alias("ordering"), "id", F.row_number().over(Window.orderBy(*by)).cast("long").alias("k")) for name, by in keys.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-@query(f"WITH {EXS} SELECT id FROM exs WHERE announcement_status NOT LIKE 'archived%' AND coalesce(end_date, start_date) >= {TODAY} - 14")
+@query(f"WITH {EXS} SELECT id FROM exs WHERE coalesce(announcement_status, '') <> 'archived-manual' AND coalesce(end_date, start_date) >= {TODAY} - 14")
 def current_exercises(spark, d):
     """Exercises that are neither archived nor ended over two weeks ago."""
-    kept = ~F.col("announcement_status").startswith("archived") & (F.coalesce("end_date", "start_date") >= F.date_sub(F.lit(LONG_TODAY).cast("date"), 14))
+    kept = (F.coalesce("announcement_status", F.lit("")) != "archived-manual") & (F.coalesce("end_date", "start_date") >= F.date_sub(F.lit(LONG_TODAY).cast("date"), 14))
     return B.exercises(spark, d).where(kept).select("id")
 
 
@@ -149,11 +150,16 @@ def ingest_counters(spark, d):
 
 
 
-@query(f"WITH {REP} SELECT id, region, source_url FROM rep WHERE region IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 40)")
+ALL_REGIONS = ["Gaza & Middle East", "Ukraine", "Sudan", "South China Sea", "Taiwan Strait", "Yemen", "Sahel", "Korean Peninsula", "Myanmar", "DRC", "Syria", "Somalia", "Baltic", "Haiti", "Ethiopia", "South Caucasus", "Libya", "Kosovo", "Arctic", "Mozambique"]
+NEARLY = [*ALL_REGIONS, "baltic", "Unknown", "Europe", ""]
+
+
+@query(f"WITH {REP}, n AS (SELECT * FROM {values(list(enumerate(NEARLY)))} n(k, region)) SELECT id, n.region, n.region IN ('Baltic', 'Taiwan Strait', 'Haiti', 'Libya') AS recalibrating FROM rep JOIN n ON k = id % 24 WHERE k < 20")
 def canonical_regions_only(spark, d):
-    """Reports whose region is a known one: membership as a semi join with an aggregated list."""
-    known = B.read(spark, d, "documents").groupBy("source").count().where("count >= 40").select(F.col("source").alias("region"))
-    return B.reports(spark, d).join(known, "region", "left_semi").select("id", "region", "source_url")
+    """Reports whose region is one of the twenty by its exact name, and whether that region has a note on its baseline."""
+    named = B.reports(spark, d).select("id", F.get(F.array(*[F.lit(r) for r in NEARLY]), (F.col("id") % len(NEARLY)).cast("int")).alias("region"))
+    notes = spark.createDataFrame([(r, "baseline not settled") for r in dims.RECALIBRATING], "region string, note string")
+    return named.where(F.col("region").isin(*dims.REGIONS)).join(F.broadcast(notes), "region", "left").select("id", "region", F.col("note").isNotNull().alias("recalibrating"))
 
 
 @query(f"WITH {REP} SELECT region, id FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY id) AS k FROM rep) WHERE k <= 15")
