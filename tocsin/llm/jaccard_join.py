@@ -50,7 +50,7 @@ from tocsin.llm.shingles import distinct, mix, shingles, sort_within, words
 
 WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-SMALL_LIST, SMALL_FAMILY, SALTS = 8, 64, 16
+SMALL_LIST, SMALL_FAMILY, SALTED = 8, 64, 512
 DESCRIBED = "doc_id long, key long, n_shingles long, sig long, parity binary, block int, counts binary"
 
 
@@ -329,9 +329,16 @@ class Computed:
         return self.all.where("linked").select("a", "b")
 
 
+def _spread(families: DataFrame) -> DataFrame:
+    """families with salts (one for every SALTED members, few families have more than one) and salt, so that a large family's members lie in several tasks."""
+    large = families.groupBy("f").agg(F.count("*").alias("many")).where(f"many > {SALTED}").select("f", F.expr(f"cast(least(1 + many div {SALTED}, 1024) AS int)").alias("salts"))
+    out = families.join(large, "f", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return out.withColumn("salt", F.expr("cast(pmod(xxhash64(x), salts) AS int)"))
+
+
 def _salted(small: DataFrame) -> DataFrame:
-    """A few rows of each family, repeated for every salt, so that a large family's members may lie in several tasks."""
-    return small.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    """A few rows of each family, repeated for every salt of theirs."""
+    return small.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
 
 
 FITS = "4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
@@ -342,7 +349,7 @@ APART = "greatest(1 - least(n, n_p) / greatest(n, n_p), if(exact, far_p - far, 0
 def _settle(families: DataFrame, computed: Computed) -> DataFrame:
     """Compute what the first leaders' answers leave open; the components (id, component) of all links.
 
-    families: f (first leader), x, n, far and exact (distance to f, or a bound), salt.
+    families: f (first leader), x, n, far and exact (distance to f, or a bound), salts, salt.
     """
     done = ring = None
     share, turn, labels = 4, 0, None
@@ -350,22 +357,22 @@ def _settle(families: DataFrame, computed: Computed) -> DataFrame:
         turn += 1
         if labels is None:
             labels = connected_components(computed.links(), "a", "b")
-        placed = families.join(labels.withColumnRenamed("id", "x").hint("merge"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-        own = _salted(placed.where("x = f").select("f", F.col("c").alias("main")))
-        placed = placed.join(own.hint("merge"), ["f", "salt"])
-        placed = placed.withColumn("settled", F.lit(None).cast("boolean")) if done is None else placed.join(done.withColumn("settled", F.lit(True)).hint("merge"), ["f", "x"], "left")
+        placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+        own = _salted(placed.where("x = f").select("f", "salts", F.col("c").alias("main")))
+        placed = placed.join(own, ["f", "salt"])
+        placed = placed.withColumn("settled", F.lit(None).cast("boolean")) if done is None else placed.join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
         placed = cut(placed.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
         pending = placed.where("pending")
-        counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least")))
-        chosen = pending.join(counted.hint("merge"), ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
-        leaders = cut(chosen.select("f", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
+        counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least"), F.max("salts").alias("salts")))
+        chosen = pending.join(counted, ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
+        leaders = cut(chosen.select("f", "salts", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
         if ring is None and not leaders.take(1):
             return labels
-        spread = _salted(leaders).hint("merge").join(placed, ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
+        spread = _salted(leaders).join(placed.drop("salts"), ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
         pairs = spread.where(FITS).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         if ring is not None:
             pairs = pairs.unionByName(ring)
-        pairs = cut(pairs.distinct().hint("merge").join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
+        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
         if pairs.take(1) and computed.add(pairs).where("linked").take(1):
             labels = None  # new links: components may have met
         if not leaders.where("big").take(1):
@@ -373,12 +380,12 @@ def _settle(families: DataFrame, computed: Computed) -> DataFrame:
             return connected_components(computed.links(), "a", "b") if labels is None else labels
         led = leaders.select("f", F.col("p").alias("x"))
         near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-        near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")).hint("merge"), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
+        near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
         near = cut(near.select("f", "p", "x", "n", "pending", "other", "at", F.coalesce("linked", F.lit(False)).alias("linked")), "near")
         covered = near.where("linked and pending").groupBy("f", "x").agg(F.min(F.struct("at", "p", "n")).alias("m")).select("f", F.col("m.p").alias("p"), F.col("x").alias("q"), F.col("m.n").alias("n_p"), F.col("m.at").alias("at_q"))
         covered = cut(covered, "covered")
         beyond = near.where("other and not linked").select("f", "p", "x", "n", "at")
-        ring = covered.hint("merge").join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
+        ring = covered.join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
         led = led.unionByName(covered.select("f", F.col("q").alias("x")))
         done = led if done is None else done.unionByName(led)
         share *= 4
@@ -405,7 +412,7 @@ def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, D
     led = computed.add(pairs).where("family = 1")
     families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
     families = families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct())
-    labels = _settle(cut(families.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), "families"), computed)
+    labels = _settle(cut(_spread(families), "families"), computed)
     return described, computed.links(), labels
 
 

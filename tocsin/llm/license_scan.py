@@ -12,7 +12,8 @@ in the template) into regions; each region is aligned with the template word by
 word within a band of ``BAND`` diagonals: match 1, otherwise 0, gaps free (a
 longest common subsequence), which gives the words that the region covers.  A
 region is reported if it covers at least ``MIN_COVERAGE`` of the template, unless
-one of the same template that covers more overlaps it.
+one of the same template that covers more overlaps it, or one of another template that
+covers a larger share of that takes most of it (versions of a license differ by a word).
 
 The templates are public license notices, given below or by the caller; the index
 is made once and has the size of the templates, not of the data.
@@ -149,7 +150,7 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, i
 
 def scan_text(index: Index, words: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(template, words matched, first word, last word) of one text; hits: (place, template, place in template) rows."""
-    out = []
+    found = []
     for t in np.unique(hits[:, 1]):
         mine = hits[hits[:, 1] == t]
         template = index.words[t]
@@ -158,14 +159,15 @@ def scan_text(index: Index, words: np.ndarray, hits: np.ndarray) -> list[tuple[i
             strip = d // (BAND // 2)
             if all(abs(regions.get(k, d + BAND) - d) > BAND // 2 for k in (strip - 1, strip)):
                 regions[strip] = d
-        found = []
         for d in regions.values():
             matched, begin, end = align(words, template, d)
             if matched >= MIN_COVERAGE * len(template):
                 found.append((int(t), matched, begin, end))
-        for f in sorted(found, key=lambda f: (-f[1], f[2])):
-            if not any(g[0] == f[0] and g[2] <= f[3] and f[2] <= g[3] for g in out):
-                out.append(f)
+    out: list[tuple[int, int, int, int]] = []
+    share = lambda f: f[1] / len(index.words[f[0]])
+    for f in sorted(found, key=lambda f: (-share(f), -f[1], f[2], f[0])):
+        if not any(g[2] <= f[3] and f[2] <= g[3] and (g[0] == f[0] or share(g) > share(f) and 2 * (min(f[3], g[3]) - max(f[2], g[2]) + 1) > f[3] - f[2] + 1) for g in out):
+            out.append(f)
     return sorted(out, key=lambda f: (f[2], f[0]))
 
 

@@ -32,13 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import cut, shared_path, slices
+from tocsin.llm.common import cut, released, shared_path, slices
 from tocsin.llm.memo import Memo, ragged
 from tocsin.llm.shingles import LOWER, SPACE, buffers, mix, powers, words
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-FIRST = -(1 << 63)
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], dtype=np.int64)
 FILE = "shard int, ids_before long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
@@ -65,7 +64,7 @@ def _memo(path: str) -> Memo:
             ids.append(np.fromiter((i for x in lists for i in x), dtype=np.int32))
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.zeros((len(starts), 0))
 
-    return Memo(solve, 0, limit=1_500_000)
+    return Memo(solve, 0)
 
 
 KIND = np.zeros(256, dtype=np.uint8)  # 1 ASCII letter, 2 ASCII mark but the apostrophe, 0 other
@@ -149,17 +148,17 @@ def _encoded(path: str, end_id: int, bounds: np.ndarray):
         for big in batches:
             for batch in slices(big, 2048):
                 ids, edges = encode(batch["text"], path, end_id)
-                docs = batch["doc_id"].fill_null(FIRST).to_numpy()
-                shard = np.searchsorted(bounds, docs)
+                docs, missing = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+                shard = np.where(missing, 0, np.searchsorted(bounds, docs))
                 rows = []
                 for s in np.unique(shard):
                     mine = np.flatnonzero(shard == s)
                     part, places = ragged(ids, edges, mine)
                     kind = np.uint16 if part.max() < 65536 else np.uint32
-                    rows.append((int(s), docs[mine].tobytes(), np.diff(places).tobytes(), np.dtype(kind).itemsize, squeeze.compress(part.astype(kind).tobytes())))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.binary())], names=["shard", "docs", "lengths", "width", "ids"])
+                    rows.append((int(s), docs[mine].tobytes(), missing[mine].tobytes(), np.diff(places).tobytes(), np.dtype(kind).itemsize, squeeze.compress(part.astype(kind).tobytes())))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.binary())], names=["shard", "docs", "missing", "lengths", "width", "ids"])
 
-    return run
+    return released(run)
 
 
 def _ids(width: int, blob: bytes) -> np.ndarray:
@@ -182,17 +181,18 @@ def _packed(rank: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
         docs = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in group["docs"]])
+        missing = np.concatenate([np.frombuffer(x.as_py(), dtype=bool) for x in group["missing"]])
         sizes = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in group["lengths"]])
         ids = np.concatenate([_ids(w.as_py(), x.as_py()) for w, x in zip(group["width"], group["ids"], strict=True)])
         edges = np.concatenate([[0], np.cumsum(sizes)])
         crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        order = np.lexsort((crc, docs))
+        order = np.lexsort((crc, docs, ~missing))
         block = (np.cumsum(sizes[order]) - sizes[order]) // BLOCK_IDS
         rows, before = [], 0
         for k in np.unique(block):
             mine = order[block == k]
             part, _ = ragged(ids, edges, mine)
-            rows.append((shard, before, docs[mine], sizes[mine], *pack(rank[part])))
+            rows.append((shard, before, pa.array(docs[mine], mask=missing[mine]), sizes[mine], *pack(rank[part])))
             before += len(part)
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.binary()), pa.array([r[5] for r in rows], pa.binary())], names=[x.split()[0] for x in FILE.split(", ")])
 
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
     shards = max(8, 2 * source.rdd.getNumPartitions())
     cuts = source.select("doc_id").agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / shards) for k in range(1, shards)]), F.lit(10_000))).first()[0]
     bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-    encoded = cut(source.mapInArrow(_encoded(path, end_id, bounds), "shard int, docs binary, lengths binary, width int, ids binary"), "encoded", "none")
+    encoded = cut(source.mapInArrow(_encoded(path, end_id, bounds), "shard int, docs binary, missing binary, lengths binary, width int, ids binary"), "encoded", "none")
     counts = encoded.select("width", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row for each id of the vocabulary
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], dtype=np.int64)
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype=np.uint32)
@@ -227,12 +227,12 @@ def read_token_files(spark: SparkSession, path: str, by_rank: np.ndarray, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, sizes = (batch[c][i].values.to_numpy() for c in ("doc_ids", "lengths"))
+                docs, sizes = batch["doc_ids"][i].values, batch["lengths"][i].values.to_numpy()
                 ids = by_rank[unpack(batch["control"][i].as_py(), batch["data"][i].as_py(), int(sizes.sum()))].astype("<u4")
                 edges = np.concatenate([[0], np.cumsum(sizes)])
                 start = base[batch["shard"][i].as_py()] + batch["ids_before"][i].as_py() + edges[:-1]
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                out = {"doc_id": pa.array(docs, mask=docs == FIRST), "start": pa.array(start), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())}
+                out = {"doc_id": docs, "start": pa.array(start), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch(list(out.values()), names=list(out))
