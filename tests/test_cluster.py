@@ -82,7 +82,7 @@ def test_other_scorers(spark):
     ordered = lambda t: " ".join(sorted(t.lower().split()))
     assert got == [100 * max(SequenceMatcher(None, x.lower(), y.lower()).ratio(), SequenceMatcher(None, ordered(x), ordered(y)).ratio()) for x, y in pairs]
     rows = [(1, [1.0, 0.0], day(0), "r"), (2, [0.9, 0.1], day(1), "r"), (3, [0.0, 1.0], day(1), "r"), (4, None, day(1), "r"), (5, [1.0, 0.0], day(5), "r")]
-    found = C.similar_pairs(spark.createDataFrame(rows, "id long, v array<double>, date date, region string"), text="v", similarity=C.cosine, threshold=95.0)
+    found = C.similar_pairs(spark.createDataFrame(rows, "id long, v array<double>, date date, region string"), text="v", similarity=C.cosine, least=95.0)
     assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
 
 

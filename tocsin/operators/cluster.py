@@ -133,7 +133,7 @@ def token_similarity_of(x: str, y: str, enough: float = 70.0) -> float:
 
 @F.pandas_udf(DoubleType())
 def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Title similarity 0..100; exact below 70, at least the threshold above it."""
+    """Title similarity 0..100; exact below 70, at least 70 above it."""
     return pd.Series([token_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
@@ -143,7 +143,7 @@ def cosine(a: Column, b: Column) -> Column:
     return 100 * dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def similar_pairs(items: DataFrame, text: str = "title", similarity: Callable[[Column, Column], Column] = token_similarity, threshold: float = 70.0) -> DataFrame:
+def similar_pairs(items: DataFrame, text: str = "title", similarity: Callable[[Column, Column], Column] = token_similarity, least: float = 70.0) -> DataFrame:
     """(a, b, similarity) within a region and a day of each other, a before b by (date, id), rows without a date last.
 
     The later item looks at its own day and the one before: an equality join on
@@ -161,7 +161,7 @@ def similar_pairs(items: DataFrame, text: str = "title", similarity: Callable[[C
     pairs = pairs.unionByName(open_ended)
     same = pairs.where("ta = tb").select("a", "b", F.lit(100.0).alias("similarity"))
     differ = pairs.where("ta <> tb")
-    scored = differ.select("ta", "tb").distinct().withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= threshold)
+    scored = differ.select("ta", "tb").distinct().withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least)
     return same.unionByName(differ.join(scored, ["ta", "tb"]).select("a", "b", "similarity"))
 
 
