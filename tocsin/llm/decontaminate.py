@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-A test item is contained in a document when at least ``threshold`` of its
+A test item is contained in a document when at least ``least`` of its
 distinct 5-word shingles are among the document's.  An item is far shorter than
 most documents, so one signature of a whole document would hide it.  Items are
 partitioned by size; for each partition every document is read as windows about
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tocsin.llm.common import cut, released, slices
 from tocsin.llm.shingles import distinct, shingles, words
 
-THRESHOLD = 0.75
+LEAST = 0.75
 PERMUTATIONS = 32
 BLOCK = 16
 LOT_BYTES = 8_000_000
@@ -145,26 +145,26 @@ def _found(items: Items, percent: int, texts: pa.Array) -> list[tuple[int, int,
     return rows
 
 
-def _lots(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
+def _lots(benchmark: DataFrame, least: float) -> Iterator[Items]:
     """The benchmark's items in lots of about LOT_BYTES, one in the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     lots = int(size // LOT_BYTES) + 1
     for lot in range(lots):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot).collect()  # about LOT_BYTES
-        yield Items([r.item_id for r in rows], [r.text for r in rows], round(100 * threshold))
+        yield Items([r.item_id for r in rows], [r.text for r in rows], round(100 * least))
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every test item found in a document."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [cut(source.mapInArrow(_search(lot, round(100 * threshold)), "doc_id long, item_id long, n_item long, n_shared long"), "contained") for lot in _lots(benchmark, threshold)]
+    parts = [cut(source.mapInArrow(_search(lot, round(100 * least)), "doc_id long, item_id long, n_item long, n_shared long"), "contained") for lot in _lots(benchmark, least)]
     return reduce(DataFrame.unionByName, parts).withColumn("containment", F.expr("n_shared / n_item"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without the rows whose own text contains a test item, whatever their ids; all columns stay. No shuffle."""
     out = docs.withColumn("text", F.col("text").cast("string"))
-    for k, lot in enumerate(_lots(benchmark, threshold)):
-        out = (cut(out, "clean") if k else out).mapInArrow(_clean(lot, round(100 * threshold)), out.schema)
+    for k, lot in enumerate(_lots(benchmark, least)):
+        out = (cut(out, "clean") if k else out).mapInArrow(_clean(lot, round(100 * least)), out.schema)
     return out

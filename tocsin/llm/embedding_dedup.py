@@ -5,11 +5,11 @@ the result, its factor the inner product of the code (as a unit vector) with the
 rotated vector.  For another rotated vector q, <code, q> / factor estimates the
 cosine without bias, and its error stays within ``EPSILON * sqrt((1 - f*f) / (f*f
 * (d - 1)))`` but with negligible probability.  Only pairs whose estimate plus
-bound reaches the threshold are computed exactly, in double precision.
+bound reaches the cosine asked for are computed exactly, in double precision.
 
 Pairs are looked for in buckets of rotated sign bits: ``tables`` times ``bits``,
 with bits so that a bucket holds about ``BUCKET`` vectors and tables so that a
-pair at the threshold meets in none with a probability of at most ``MISS``.  Both
+pair of that cosine meets in none with a probability of at most ``MISS``.  Both
 follow from the number of vectors, so work grows as its power 1.15.  Equal
 vectors are one class from the start.  A bucket of over ``BLOCK`` classes is cut
 into blocks, and each pair of blocks is a group of its own, so no task gets a

@@ -53,7 +53,7 @@ LANDMARKS = 256
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 1500, 4_000_000
 MAX_WORDS = 30_000
 BOUNDS = (0.0, 0.5, 1.0)
-THRESHOLD = 0.7
+CUTOFF = 0.7
 FOLDS = 3
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
     """docs' columns with score and predicted; where a name is taken, the added column gets an underscore."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight table of 4 MB
     names = docs.columns
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for big in batches:
             for batch in slices(big, 2048):
                 s = shared.value.scores(batch["text"])
-                yield pa.record_batch([*(batch[c] for c in names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*names, *added])
+                yield pa.record_batch([*(batch[c] for c in names), pa.array(s, pa.float64()), pa.array((s >= cutoff).astype(np.int32), pa.int32())], names=[*names, *added])
 
     source = docs.withColumn("text", F.col("text").cast("string"))
     return source.mapInArrow(released(run), StructType([*source.schema.fields, StructField(added[0], DoubleType()), StructField(added[1], IntegerType())]))
@@ -308,7 +308,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(slim, train(docs, labels)).select("doc_id", F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs without the rows that the model rejects, with their own columns as they were."""
-    scored = score(docs, train(docs, labels), threshold)
+    scored = score(docs, train(docs, labels), cutoff)
     return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
