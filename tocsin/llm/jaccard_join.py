@@ -179,9 +179,10 @@ def _index(levels: np.ndarray, buckets: int):
 
 
 def _probe(group: pa.Table) -> pa.Table:
-    """Pairs worth computing from one bucket of index lists: (a, b, family).
+    """Pairs worth computing from one bucket of index lists: (a, b, family, ahead).
 
-    family is 1 where a leads a list that has b, 0 for a pair of a short list.
+    family is 1 where a leads a list that has b, 0 for a pair of a short list; ahead
+    is then the most elements of b that can follow one that it shares with the list.
     """
     tokens, sets, sizes, blocks = [], [], [], []
     for p, s, n in zip(group["postings"], group["sigs"], group["sizes"], strict=True):
@@ -202,11 +203,12 @@ def _probe(group: pa.Table) -> pa.Table:
     member = np.repeat(lengths, lengths)
     prefix = size - (3 * size + 3) // 4 + 1
     after = size - (block * prefix + 255) // 256 - 1  # most elements that can follow any posting of this block
-    left, right, kind = [], [], []
+    left, right, kind, ahead = [], [], [], []
     big = (member > SMALL_LIST) & (np.arange(len(token)) != np.repeat(starts, lengths))
     left.append(np.repeat(sig[starts], lengths)[big])
     right.append(sig[big])
     kind.append(np.ones(big.sum(), dtype=np.int8))
+    ahead.append(after[big])
     for step in range(1, SMALL_LIST):
         i = np.flatnonzero((member[:-step] <= SMALL_LIST) & (token[step:] == token[:-step])) if len(token) > step else np.zeros(0, np.int64)
         j = i + step
@@ -215,12 +217,13 @@ def _probe(group: pa.Table) -> pa.Table:
         left.append(sig[i[ok]])
         right.append(sig[j[ok]])
         kind.append(np.zeros(ok.sum(), dtype=np.int8))
-    a, b, k = np.concatenate(left), np.concatenate(right), np.concatenate(kind)
-    order = np.lexsort((k, b, a))
-    a, b, k = a[order], b[order], k[order]
+        ahead.append(np.zeros(ok.sum(), dtype=np.int64))
+    a, b, k, most = (np.concatenate(x) for x in (left, right, kind, ahead))
+    order = np.lexsort((most, k, b, a))
+    a, b, k, most = a[order], b[order], k[order], most[order]
     keep = np.ones(len(a), dtype=bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1])
-    return pa.table([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(k[keep].astype(np.int32), pa.int32())], names=["a", "b", "family"])
+    keep[:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k[1:] != k[:-1])  # the last of equal ones has the most elements ahead
+    return pa.table([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64()), pa.array(k[keep].astype(np.int32), pa.int32()), pa.array(most[keep].astype(np.int32), pa.int32())], names=["a", "b", "family", "ahead"])
 
 
 def _emit_sets(bitmap: bytes):
@@ -259,7 +262,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = np.maximum(differ, np.abs(n_a - n_b))
         total = n_a + n_b
         shared = (total - differ) // 2
-        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "key_a", "key_b", "n_a", "n_b")), pa.array(100 * shared >= 75 * (total - shared)), pa.array(1 - shared / (total - shared))], names=["a", "b", "family", "key_a", "key_b", "n_a", "n_b", "open", "far"])
+        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "ahead", "key_a", "key_b", "n_a", "n_b")), pa.array(100 * shared >= 75 * (total - shared)), pa.array(1 - shared / (total - shared))], names=["a", "b", "family", "ahead", "key_a", "key_b", "n_a", "n_b", "open", "far"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,13 +275,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
             shared.append(int((large[at] == small).sum()))
-        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "n_a", "n_b")), pa.array(shared, pa.int64())], names=["a", "b", "family", "n_a", "n_b", "shared"])
+        yield pa.record_batch([*(batch[c] for c in ("a", "b", "family", "ahead", "n_a", "n_b")), pa.array(shared, pa.int64())], names=["a", "b", "family", "ahead", "n_a", "n_b", "shared"])
 
 
 def _screen(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     sides = [lead.select(F.col("sig").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "family", "key_a", "key_b", "n_a", "n_b", "parity_a", "parity_b")
-    return cut(joined.mapInArrow(released(_screened), "a long, b long, family int, key_a long, key_b long, n_a long, n_b long, open boolean, far double"), "screened")
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "family", "ahead", "key_a", "key_b", "n_a", "n_b", "parity_a", "parity_b")
+    return cut(joined.mapInArrow(released(_screened), "a long, b long, family int, ahead int, key_a long, key_b long, n_a long, n_b long, open boolean, far double"), "screened")
 
 
 def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,12 +295,12 @@ def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
     spark.conf.set(key, "256")
     try:
         joined = screened.where("open").join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("left_set")), "a").join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("right_set")), "b")
-        out = joined.select("a", "b", "family", "n_a", "n_b", "left_set", "right_set").mapInArrow(_overlaps, "a long, b long, family int, n_a long, n_b long, shared long")
+        out = joined.select("a", "b", "family", "ahead", "n_a", "n_b", "left_set", "right_set").mapInArrow(released(_overlaps), "a long, b long, family int, ahead int, n_a long, n_b long, shared long")
         out = out.withColumn("whole", F.expr("n_a + n_b - shared"))
-        found = cut(out.select("a", "b", "family", "n_a", "n_b", F.expr("100 * shared >= 75 * whole").alias("linked"), F.expr("1 - shared / whole").alias("far"), F.lit(True).alias("exact")), "pairs")
+        found = cut(out.select("a", "b", "family", "ahead", "n_a", "n_b", F.expr("100 * shared >= 75 * whole").alias("linked"), F.expr("1 - shared / whole").alias("far"), F.lit(True).alias("exact")), "pairs")
     finally:
         spark.conf.set(key, before)
-    ruled_out = screened.where("not open").select("a", "b", "family", "n_a", "n_b", F.lit(False).alias("linked"), "far", F.lit(False).alias("exact"))
+    ruled_out = screened.where("not open").select("a", "b", "family", "ahead", "n_a", "n_b", F.lit(False).alias("linked"), "far", F.lit(False).alias("exact"))
     return found.unionByName(ruled_out)
 
 
@@ -332,7 +335,7 @@ class Computed:
 def _spread(families: DataFrame) -> DataFrame:
     """families with salts (one for every SALTED members, few families have more than one) and salt, so that a large family's members lie in several tasks."""
     large = families.groupBy("f").agg(F.count("*").alias("many")).where(f"many > {SALTED}").select("f", F.expr(f"cast(least(1 + many div {SALTED}, 1024) AS int)").alias("salts"))
-    out = families.join(large, "f", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    out = families.join(cut(large, "large"), "f", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # written first, so its size is known
     return out.withColumn("salt", F.expr("cast(pmod(xxhash64(x), salts) AS int)"))
 
 
@@ -341,38 +344,65 @@ def _salted(small: DataFrame) -> DataFrame:
     return small.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
 
 
-FITS = "4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
+#: Two members share at most the element of their list and what can follow it, which must be enough for a link.
+FITS = "1 + least(ahead, ahead_p) >= (3 * (n + n_p) + 6) div 7 and 4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
 #: What the distance between p and x is at least, from their sizes and their distances to the family's first leader.
 APART = "greatest(1 - least(n, n_p) / greatest(n, n_p), if(exact, far_p - far, 0), if(exact_p, far - far_p, 0))"
 
 
+def _small_family(group: pa.Table) -> pa.Table:
+    """Pairs of the pending members of a family of at most SALTED rows with members of other components; none if too many are pending."""
+    x, n, c, far, ahead = (group[k].to_numpy() for k in ("x", "n", "c", "far", "ahead"))
+    exact, pending = (group[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("exact", "pending"))
+    lead = np.flatnonzero(pending)
+    if len(lead) > SMALL_FAMILY:
+        lead = lead[:0]
+    i, j = np.repeat(lead, len(x)), np.tile(np.arange(len(x)), len(lead))
+    ok = (c[i] != c[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (1 + np.minimum(ahead[i], ahead[j]) >= (3 * (n[i] + n[j]) + 6) // 7)
+    ok &= ~(exact[j] & (far[i] - far[j] > 0.2500001)) & ~(exact[i] & (far[j] - far[i] > 0.2500001)) & (~pending[j] | (i < j))
+    i, j = i[ok], j[ok]
+    return pa.table([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j]))], names=["a", "b"])
+
+
+def _placed(families: DataFrame, labels: DataFrame, done: DataFrame | None) -> DataFrame:
+    """families with c (component) and pending: outside the first leader's component and not settled yet."""
+    out = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    own = _salted(out.where("x = f").select("f", "salts", F.col("c").alias("main")))
+    out = out.join(own, ["f", "salt"])
+    out = out.withColumn("settled", F.lit(None).cast("boolean")) if done is None else out.join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
+    return cut(out.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
+
+
 def _settle(families: DataFrame, computed: Computed) -> DataFrame:
     """Compute what the first leaders' answers leave open; the components (id, component) of all links.
 
-    families: f (first leader), x, n, far and exact (distance to f, or a bound), salts, salt.
+    families: f (first leader), x, n, ahead, far and exact (distance to f, or a bound), salts, salt.
+    Families with few pending members are done at once; the others go on in turns.
     """
-    done = ring = None
-    share, turn, labels = 4, 0, None
+    labels = connected_components(computed.links(), "a", "b")
+    placed = _placed(families, labels, None)
+    ring = placed.where("salts = 1").select("f", "x", "n", "c", "far", "ahead", "exact", "pending").groupBy("f").applyInArrow(_small_family, "a long, b long")
+    many = placed.groupBy("f").agg(F.count_if("pending").alias("many"), F.max("salts").alias("salts"))
+    large = cut(many.where(f"many > {SMALL_FAMILY} or (many > 0 and salts > 1)").select("f"), "large")
+    families, placed = families.join(large, "f", "left_semi"), placed.join(large, "f", "left_semi")
+    done, share, turn = None, 4, 0
     while True:
         turn += 1
-        if labels is None:
-            labels = connected_components(computed.links(), "a", "b")
-        placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-        own = _salted(placed.where("x = f").select("f", "salts", F.col("c").alias("main")))
-        placed = placed.join(own, ["f", "salt"])
-        placed = placed.withColumn("settled", F.lit(None).cast("boolean")) if done is None else placed.join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
-        placed = cut(placed.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
+        if turn > 1:
+            if labels is None:
+                labels = connected_components(computed.links(), "a", "b")
+            placed = _placed(families, labels, done)
         pending = placed.where("pending")
         counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least"), F.max("salts").alias("salts")))
         chosen = pending.join(counted, ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
-        leaders = cut(chosen.select("f", "salts", F.col("x").alias("p"), F.col("n").alias("n_p"), F.col("far").alias("far_p"), F.col("exact").alias("exact_p"), F.col("c").alias("c_p"), F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
+        leaders = cut(chosen.select("f", "salts", *[F.col(c).alias(f"{p}_p" if p else "p") for c, p in (("x", ""), ("n", "n"), ("far", "far"), ("exact", "exact"), ("c", "c"), ("ahead", "ahead"))], F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
         if ring is None and not leaders.take(1):
-            return labels
+            return connected_components(computed.links(), "a", "b") if labels is None else labels
         spread = _salted(leaders).join(placed.drop("salts"), ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
-        pairs = spread.where(FITS).select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
+        pairs = spread.where(f"big and pending or ({FITS})").where("4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
         if ring is not None:
             pairs = pairs.unionByName(ring)
-        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumn("family", F.lit(0)), "open")
+        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
         if pairs.take(1) and computed.add(pairs).where("linked").take(1):
             labels = None  # new links: components may have met
         if not leaders.where("big").take(1):
@@ -404,14 +434,15 @@ def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, D
     buckets = int(max(4, min(1 << 20, total // 2_000_000)))
     wanted = "true" if null_ids else "doc_id is not null"
     index = source.where(wanted).select("text").mapInArrow(released(_index(levels, buckets)), "bucket int, postings binary, sigs binary, sizes binary")
-    found = index.groupBy("bucket").applyInArrow(_probe, "a long, b long, family int")
-    pairs = cut(found.groupBy("a", "b").agg(F.max("family").alias("family")), "candidates")
+    found = index.groupBy("bucket").applyInArrow(_probe, "a long, b long, family int, ahead int")
+    pairs = cut(found.groupBy("a", "b").agg(F.max("family").alias("family"), F.max("ahead").alias("ahead")), "candidates")
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     each = both.where("block is null and sig <> 0").where(wanted).groupBy("sig").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
     computed = Computed(source.where(wanted), cut(each.join(named, "sig"), "named"))
     led = computed.add(pairs).where("family = 1")
-    families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "far", "exact")
-    families = families.unionByName(led.select(F.col("a").alias("f"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.lit(0.0).alias("far"), F.lit(True).alias("exact")).distinct())
+    families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "ahead", "far", "exact")
+    own = led.groupBy(F.col("a").alias("f")).agg(F.first("n_a").alias("n")).select("f", F.col("f").alias("x"), "n", F.col("n").cast("int").alias("ahead"), F.lit(0.0).alias("far"), F.lit(True).alias("exact"))
+    families = families.unionByName(own)
     labels = _settle(cut(_spread(families), "families"), computed)
     return described, computed.links(), labels
 
