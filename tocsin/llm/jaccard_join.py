@@ -16,12 +16,12 @@ when ``100 * |A & B| >= 75 * |A | B|``; the result has each document's component
    off: its first set is the leader, and only leader pairs are computed.  As
    Jaccard distance is a metric, a member's answers follow from those of its
    leader: two members linked with the leader are connected already, and a pair
-   whose distances to the leader differ by over 0.25 cannot link.  Members outside
-   the leader's component lead in turn, all of them if they are at most
-   ``SMALL_FAMILY``, else ever larger shares (by hash).  A member linked with a new
-   leader needn't lead: its partners lie within 0.25 of its own distance, so only
-   that ring is computed.  This goes on until every such member has led or is
-   covered; no pair between components is left out.
+   whose distances to the leader differ by over 0.25 cannot link, nor one where too
+   little can follow the shared element in either.  Only what these rules leave is
+   computed: members outside the leader's component are paired with those of other
+   components if they are at most ``SMALL_FAMILY``, else get a new leader, up to
+   ``MAX_LEADERS``; whatever is loose then is paired off as well.  That last turn
+   grows with the square of what is loose in a list; no pair is left out.
 5. Computing.  Each set has a parity bitmap of about a bit an element (an element
    flips one bit).  The bits in which two bitmaps differ are at most the elements
    that the sets don't share, which rules most pairs out exactly and bounds their
@@ -50,7 +50,7 @@ from tocsin.llm.shingles import distinct, mix, shingles, sort_within, words
 
 WORDS = 5
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-SMALL_LIST, SMALL_FAMILY, SALTED = 8, 64, 512
+SMALL_LIST, SMALL_FAMILY, MAX_LEADERS = 8, 64, 5
 DESCRIBED = "doc_id long, key long, n_shingles long, sig long, parity binary, block int, counts binary"
 
 
@@ -332,93 +332,49 @@ class Computed:
         return self.all.where("linked").select("a", "b")
 
 
-def _spread(families: DataFrame) -> DataFrame:
-    """families with salts (one for every SALTED members, few families have more than one) and salt, so that a large family's members lie in several tasks."""
-    large = families.groupBy("f").agg(F.count("*").alias("many")).where(f"many > {SALTED}").select("f", F.expr(f"cast(least(1 + many div {SALTED}, 1024) AS int)").alias("salts"))
-    out = families.join(cut(large, "large"), "f", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # written first, so its size is known
-    return out.withColumn("salt", F.expr("cast(pmod(xxhash64(x), salts) AS int)"))
-
+#: Two members share at most the element of their list and what can follow it, which must be enough for a link; sizes and distances must allow one.
+FITS = "1 + least(ahead, ahead_p) >= (3 * (n + n_p) + 6) div 7 and 4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
 
-def _salted(small: DataFrame) -> DataFrame:
-    """A few rows of each family, repeated for every salt of theirs."""
-    return small.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
 
+def _next_pairs(families: DataFrame, used: DataFrame, labels: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """What the leaders' answers leave open, for families whose members aren't all connected yet, and the leaders used (f, x) with the new ones.
 
-#: Two members share at most the element of their list and what can follow it, which must be enough for a link.
-FITS = "1 + least(ahead, ahead_p) >= (3 * (n + n_p) + 6) div 7 and 4 * least(n, n_p) >= 3 * greatest(n, n_p) and not (exact and far_p - far > 0.2500001) and not (exact_p and far - far_p > 0.2500001)"
-#: What the distance between p and x is at least, from their sizes and their distances to the family's first leader.
-APART = "greatest(1 - least(n, n_p) / greatest(n, n_p), if(exact, far_p - far, 0), if(exact_p, far - far_p, 0))"
-
-
-def _small_family(group: pa.Table) -> pa.Table:
-    """Pairs of the pending members of a family of at most SALTED rows with members of other components; none if too many are pending."""
-    x, n, c, far, ahead = (group[k].to_numpy() for k in ("x", "n", "c", "far", "ahead"))
-    exact, pending = (group[k].to_numpy(zero_copy_only=False).astype(bool) for k in ("exact", "pending"))
-    lead = np.flatnonzero(pending)
-    if len(lead) > SMALL_FAMILY:
-        lead = lead[:0]
-    i, j = np.repeat(lead, len(x)), np.tile(np.arange(len(x)), len(lead))
-    ok = (c[i] != c[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (1 + np.minimum(ahead[i], ahead[j]) >= (3 * (n[i] + n[j]) + 6) // 7)
-    ok &= ~(exact[j] & (far[i] - far[j] > 0.2500001)) & ~(exact[i] & (far[j] - far[i] > 0.2500001)) & (~pending[j] | (i < j))
-    i, j = i[ok], j[ok]
-    return pa.table([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j]))], names=["a", "b"])
-
-
-def _placed(families: DataFrame, labels: DataFrame, done: DataFrame | None) -> DataFrame:
-    """families with c (component) and pending: outside the first leader's component and not settled yet."""
-    out = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    own = _salted(out.where("x = f").select("f", "salts", F.col("c").alias("main")))
-    out = out.join(own, ["f", "salt"])
-    out = out.withColumn("settled", F.lit(None).cast("boolean")) if done is None else out.join(done.withColumn("settled", F.lit(True)), ["f", "x"], "left")
-    return cut(out.withColumn("pending", F.expr("c <> main and settled is null")).drop("settled", "main"), "placed")
-
-
-def _settle(families: DataFrame, computed: Computed) -> DataFrame:
-    """Compute what the first leaders' answers leave open; the components (id, component) of all links.
-
-    families: f (first leader), x, n, ahead, far and exact (distance to f, or a bound), salts, salt.
-    Families with few pending members are done at once; the others go on in turns.
+    families: f (first leader), x, n, ahead, far and exact (distance to f, or a bound).
+    labels: id and component of what is linked so far.  A
+    family with many members outside its first leader's component gets one of them
+    as a new leader, to be compared with every member of another component; in a
+    smaller one (or at last) each such member is paired with those of other components.
+    No member leads twice, and one whose component has no leader yet comes first.
     """
-    labels = connected_components(computed.links(), "a", "b")
-    placed = _placed(families, labels, None)
-    ring = placed.where("salts = 1").select("f", "x", "n", "c", "far", "ahead", "exact", "pending").groupBy("f").applyInArrow(_small_family, "a long, b long")
-    many = placed.groupBy("f").agg(F.count_if("pending").alias("many"), F.max("salts").alias("salts"))
-    large = cut(many.where(f"many > {SMALL_FAMILY} or (many > 0 and salts > 1)").select("f"), "large")
-    families, placed = families.join(large, "f", "left_semi"), placed.join(large, "f", "left_semi")
-    done, share, turn = None, 4, 0
-    while True:
-        turn += 1
-        if turn > 1:
-            if labels is None:
-                labels = connected_components(computed.links(), "a", "b")
-            placed = _placed(families, labels, done)
-        pending = placed.where("pending")
-        counted = _salted(pending.groupBy("f").agg(F.count("*").alias("many"), F.min("x").alias("least"), F.max("salts").alias("salts")))
-        chosen = pending.join(counted, ["f", "salt"]).where(f"many <= {SMALL_FAMILY} or x = least or pmod(xxhash64(x, {turn}), many) < {share}")
-        leaders = cut(chosen.select("f", "salts", *[F.col(c).alias(f"{p}_p" if p else "p") for c, p in (("x", ""), ("n", "n"), ("far", "far"), ("exact", "exact"), ("c", "c"), ("ahead", "ahead"))], F.expr(f"many > {SMALL_FAMILY}").alias("big")), "leaders")
-        if ring is None and not leaders.take(1):
-            return connected_components(computed.links(), "a", "b") if labels is None else labels
-        spread = _salted(leaders).join(placed.drop("salts"), ["f", "salt"]).where("x <> p and (c <> c_p or (big and pending))")
-        pairs = spread.where(f"big and pending or ({FITS})").where("4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-        if ring is not None:
-            pairs = pairs.unionByName(ring)
-        pairs = cut(pairs.distinct().join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
-        if pairs.take(1) and computed.add(pairs).where("linked").take(1):
-            labels = None  # new links: components may have met
-        if not leaders.where("big").take(1):
-            # all pending members of every family have led, and the last ring is computed
-            return connected_components(computed.links(), "a", "b") if labels is None else labels
-        led = leaders.select("f", F.col("p").alias("x"))
-        near = spread.where("big").withColumn("bound", F.expr(APART)).where("bound <= 0.5000001").select("f", "p", "x", "n", "pending", F.expr("c <> c_p").alias("other"), "bound", F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-        near = near.join(computed.all.select("a", "b", "linked", F.col("far").alias("known")), ["a", "b"], "left").withColumn("at", F.coalesce("known", "bound")).where("at <= 0.5000001")
-        near = cut(near.select("f", "p", "x", "n", "pending", "other", "at", F.coalesce("linked", F.lit(False)).alias("linked")), "near")
-        covered = near.where("linked and pending").groupBy("f", "x").agg(F.min(F.struct("at", "p", "n")).alias("m")).select("f", F.col("m.p").alias("p"), F.col("x").alias("q"), F.col("m.n").alias("n_p"), F.col("m.at").alias("at_q"))
-        covered = cut(covered, "covered")
-        beyond = near.where("other and not linked").select("f", "p", "x", "n", "at")
-        ring = covered.join(beyond, ["f", "p"]).where("q <> x and at - at_q <= 0.2500001 and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.least("q", "x").alias("a"), F.greatest("q", "x").alias("b"))
-        led = led.unionByName(covered.select("f", F.col("q").alias("x")))
-        done = led if done is None else done.unionByName(led)
-        share *= 4
+    placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    placed = placed.join(used.withColumn("led", F.lit(True)), ["f", "x"], "left").withColumn("led", F.col("led").isNotNull())
+    own = placed.where("x = f").select("f", F.col("c").alias("main"))
+    loose = placed.join(own, "f").where("c <> main")
+    parts = loose.groupBy("f", "c").agg(F.count("*").alias("many"), F.min(F.when(~F.col("led"), F.col("x"))).alias("lead"), F.max("led").alias("led"))
+    counted = parts.groupBy("f").agg(F.sum("many").alias("many"), F.coalesce(F.min(F.when(~F.col("led"), F.col("lead"))), F.min("lead")).alias("lead"))
+    seeds = loose.join(counted, "f") if last else loose.join(counted, "f").where(f"many <= {SMALL_FAMILY} or x = lead")
+    seeds = seeds.select("f", F.col("x").alias("p"), *[F.col(k).alias(f"{k}_p") for k in ("n", "ahead", "far", "exact", "c")])
+    pairs = seeds.join(placed, "f").where(f"c <> c_p and {FITS}")
+    new = counted.where("lead is not null").select("f", F.col("lead").alias("x"))
+    return pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), used.unionByName(new)
+
+
+def _settle(families: DataFrame, used: DataFrame, computed: Computed) -> DataFrame:
+    """Compute what the first leaders' answers leave open; the components (id, component) of all links."""
+    for turn in range(1, MAX_LEADERS):
+        labels = connected_components(computed.links(), "a", "b")
+        for last in (False, True) if turn < MAX_LEADERS - 1 else (True,):  # leaders that leave nothing open don't settle what is loose
+            pairs, leaders = _next_pairs(families, used, labels, last)
+            pairs = cut(pairs.join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
+            if pairs.take(1):
+                break
+        else:
+            return labels
+        used = cut(leaders, "leaders")
+        new = computed.add(pairs).where("linked").take(1)
+        if last:
+            break
+    return connected_components(computed.links(), "a", "b") if new else labels
 
 
 def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -443,7 +399,8 @@ def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, D
     families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "ahead", "far", "exact")
     own = led.groupBy(F.col("a").alias("f")).agg(F.first("n_a").alias("n")).select("f", F.col("f").alias("x"), "n", F.col("n").cast("int").alias("ahead"), F.lit(0.0).alias("far"), F.lit(True).alias("exact"))
     families = families.unionByName(own)
-    labels = _settle(cut(_spread(families), "families"), computed)
+    used = own.select("f", "x")
+    labels = _settle(cut(families, "families"), used, computed)
     return described, computed.links(), labels
 
 
