@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, and SQL where it can express them."""
+"""Queries of the thirteen operators over their whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tocsin.llm.common import table
 from tocsin.llm.decontaminate import contained_items
 from tocsin.llm.embedding_dedup import near_duplicates
+from tocsin.llm.hard_negatives import hard_negatives, shifted_labels
 from tocsin.llm.html_text import extract_text
 from tocsin.llm.jaccard_join import jaccard_components
 from tocsin.llm.language_model import lm_scores
 from tocsin.llm.license_scan import scan
+from tocsin.llm.periodic_runs import periodic_runs, with_planted_runs
 from tocsin.llm.pii import pii_digest
 from tocsin.llm.sentencepiece_nbest import nbest_digest
+from tocsin.llm.token_counts import token_counts
 from tocsin.llm.token_files import token_digest
 from tocsin.llm.toxicity import toxicity
 
@@ -57,7 +60,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_html_text, op6_pii, op7_license_scan, op8_toxicity, op9_token_files, op10_language_model)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), collapsed=False)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_html_text, op6_pii, op7_license_scan, op8_toxicity, op9_token_files, op10_language_model, op11_periodic_runs, op12_hard_negatives, op13_token_counts)}
 
 SHINGLES = r"""
 words AS (
@@ -97,4 +112,16 @@ FROM documents LEFT JOIN sizes ON id = doc_id JOIN (SELECT a, min(b) AS componen
     + """, n AS (SELECT id, count(*) AS n_item FROM i GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n_item::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n_item AS containment
 FROM i JOIN d ON d.s = i.s JOIN n ON n.id = i.id GROUP BY d.id, i.id, n_item HAVING 100 * count(*) >= 75 * n_item""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5""",
 }
