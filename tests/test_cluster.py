@@ -3,7 +3,10 @@
 import datetime as dt
 import random
 
+import numpy as np
+
 from tocsin.operators import cluster as C
+from tocsin.operators import fuzzy
 
 ITEM = "id long, title string, date date, escalation_level int, region string"
 
@@ -51,7 +54,7 @@ def test_greedy_equals_a_loop(spark):
         else:
             leaders.append(r)
             expected[r[0]] = r[0]
-    members = C.event_members(spark.createDataFrame(rows, ITEM)).collect()
+    members = C.event_members(C.title_nodes(spark.createDataFrame(rows, ITEM))).collect()
     at = {(m.region, m.date, m.title): m.rep for m in members}
     assert {r[0]: at[r[4], r[2], r[1]] for r in rows} == expected
     full = clusters(spark, rows)
@@ -69,20 +72,75 @@ def test_a_chain_is_no_cluster_and_long_ones_end(spark):
     assert C.token_similarity_of(titles[0], titles[1]) >= 70 > C.token_similarity_of(titles[0], titles[2])
     got = clusters(spark, [(k, t, day(k), 1, "r") for k, t in enumerate(titles)])
     assert sorted((e.rep_id, e.corroboration) for e in got) == [(0, 2), (2, 1)]
-    items = spark.range(300).selectExpr("id", "struct(id) as pos")
-    kept = C.first_independent(items, spark.range(299).selectExpr("id as a", "id + 1 as b")).collect()
-    assert {r.id: r.rep for r in kept} == {k: k - k % 2 for k in range(300)}
+
+
+def test_chain_of_a_thousand_days_is_swept_in_one_pass(spark, monkeypatch):
+    rows = [(k, "the same title every day", day(k), 1 + k % 5, "r") for k in range(1000)] + [(5000 + k, "other words altogether", day(7 * k), 1, "q") for k in range(100)]
+    writes = []
+    monkeypatch.setattr(C, "written", lambda df, name, f=C.written: writes.append(name) or f(df, name))
+    got = clusters(spark, rows)
+    assert sorted((e.rep_id, e.corroboration, e.severity) for e in got if e.region == "r") == [(k, 2, max(1 + k % 5, 1 + (k + 1) % 5)) for k in range(0, 1000, 2)]
+    assert sum(e.region == "q" for e in got) == 100 and writes == ["titles", "pairs"]  # no rounds
+
+
+TITLES = ["port hit by missile strike", "Missile strike hits port of Odesa", "strike", "a a b", "b a", "x y z", "z y x w", "The port, hit again", "talks resume in the capital", "talks in capital resume", "é 漢字 talks", "aaaa", "aaab"]
+
+
+def test_batch_scores_equal_the_plain_scorer():
+    rng = random.Random(6)
+    texts = TITLES + ["".join(rng.choice(["ab", "a", " ", "b", "c d", "X"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts += [" ".join(rng.choices("alpha bravo Carbon delta echo the of in fox port strike".split(), k=rng.randint(1, 14))) for _ in range(60)]
+    texts = [t for t in dict.fromkeys(texts) if t.strip()]
+    x, y = (v.astype(np.int64) for v in np.triu_indices(len(texts), 1))
+    got = fuzzy.title_scores(texts, x, y, 70.0)
+    want = np.array([fuzzy.title_score(texts[i], texts[j]) for i, j in zip(x, y, strict=True)])
+    assert ((got >= 70) == (want >= 70 - 1e-9)).all() and 100 < (want >= 70).sum() < len(x) / 2
+
+
+def test_scores_worked_out_by_hand():
+    share = lambda common, n, m: 200 * common / (n + m)
+    known = {
+        ("abcd", "abcd"): 100.0,
+        ("ab cd", "cd ab"): 100.0,  # equal when sorted
+        ("one two", "one two three"): 100.0,  # one word set holds the other
+        ("aa bb", "cc dd"): share(1, 5, 3),  # only the space is common; "cc ", cut by its end, is the shortest window with it
+        ("ab ab ab", "ab"): 100.0,  # repeated words count once in the word sets
+        ("xx xx xx", "xy xy"): share(3, 5, 4),  # no shared word; x, space, x in the window "xx x", cut by its end
+        ("pq rs pq rs", "rt pz"): share(3, 5, 5),  # no shared word: once repetitions are gone, p, space, r of "pq rs" and "pz rt"
+        ("ab ab cd", "xy"): 0.0,
+        ("kitten", "sitting"): share(4, 6, 6),  # i, t, t, n in the window "sittin"
+    }
+    got = {k: fuzzy.title_score(*k) for k in known}
+    assert {k: round(v, 6) for k, v in got.items()} == {k: round(v, 6) for k, v in known.items()}
+
+
+def test_blocks_of_a_hot_cell_give_all_pairs(spark):
+    rng = random.Random(8)
+    words = "alpha bravo carbon delta echo fox golf hotel".split()
+    rows = [(k, " ".join(rng.choices(words, k=3)), day(rng.choice([0, 0, 0, 1, 3])), rng.choice("rrrq")) for k in range(120)]
+    items = spark.createDataFrame(rows, "id long, title string, date date, region string")
+    want = {(p[0], q[0]) for p in rows for q in rows if p[3] == q[3] and 0 <= (q[2] - p[2]).days <= 1 and (p[2], p[0]) < (q[2], q[0]) and C.token_similarity_of(p[1], q[1]) >= 70}
+    assert {(r.a, r.b) for r in C.similar_pairs(items).collect()} == want
+    same = {(p[0], q[0]) for p in rows for q in rows if p[3] == q[3] and p[0] < q[0] and C.token_similarity_of(p[1], q[1]) >= 70}
+    split = {(p[0], q[0]) for p in rows for q in rows if p[3] == q[3] and p[0] % 3 == 0 < q[0] % 3 and C.token_similarity_of(p[1], q[1]) >= 70}
+    base = items.selectExpr("id", "region", "title as t")
+    parted = base.selectExpr("*", f"if(id % 3 = 0, {fuzzy.LEFT}, {fuzzy.RIGHT}) as part")
+    for block in (7, 1024):  # pairs of blocks are rows, not pairs of titles
+        for given, want in ((base.selectExpr("*", f"{fuzzy.BOTH} as part"), same), (parted, split)):
+            got = [(r.a, r.b) for r in fuzzy.block_join(given, ["region"], block=block).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_other_scorers(spark):
     from difflib import SequenceMatcher
 
-    pairs = [("Port hit by strike", "strike BY port hit"), ("abc", "xyz"), ("", "a")]
-    got = [r.s for r in spark.createDataFrame(pairs, "x string, y string").select(C.sequence_ratio("x", "y").alias("s")).collect()]
+    texts = ["Port hit by strike", "strike BY port hit", "abc", "xyz", "", "a"]
+    x, y = np.array([0, 2, 4]), np.array([1, 3, 5])
     ordered = lambda t: " ".join(sorted(t.lower().split()))
-    assert got == [100 * max(SequenceMatcher(None, x.lower(), y.lower()).ratio(), SequenceMatcher(None, ordered(x), ordered(y)).ratio()) for x, y in pairs]
+    exact = [100 * max(SequenceMatcher(None, texts[i].lower(), texts[j].lower()).ratio(), SequenceMatcher(None, ordered(texts[i]), ordered(texts[j])).ratio()) for i, j in zip(x, y, strict=True)]
+    assert fuzzy.sequence_scores(texts, x, y, 70.0).tolist() == [v if v >= 70 else 0 for v in exact]
     rows = [(1, [1.0, 0.0], day(0), "r"), (2, [0.9, 0.1], day(1), "r"), (3, [0.0, 1.0], day(1), "r"), (4, None, day(1), "r"), (5, [1.0, 0.0], day(5), "r")]
-    found = C.similar_pairs(spark.createDataFrame(rows, "id long, v array<double>, date date, region string"), text="v", similarity=C.cosine, least=95.0)
+    found = C.similar_pairs(spark.createDataFrame(rows, "id long, v array<double>, date date, region string"), text="v", scorer=fuzzy.cosine_scores, least=95.0)
     assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
 
 
@@ -97,6 +155,18 @@ def test_late_reports_revise_their_component(spark):
     assert {(r[4], r[2]) for r in new} <= {(r.region, r.date) for r in changed.collect()}
 
 
+def test_undated_late_reports_arrive(spark):
+    rows = [(1, "Same words here", day(0), 1, "r"), (2, "Other title entirely", day(9), 1, "r"), (3, "Same words here", day(4), 1, "q"), (4, "Something without a date", None, 1, "q"), (5, "Same words there", day(2), 2, "p")]
+    new = [(10, "Same words here", None, 5, "r"), (11, "A new one, undated", None, 3, "r"), (12, "Something without a date", None, 4, "q"), (13, "Same words here", day(3), 2, "q")]
+    items, late = spark.createDataFrame(rows, ITEM), spark.createDataFrame(new, ITEM)
+    got, _ = C.recluster(items, late, C.event_clusters(items))
+    want = C.event_clusters(items.unionByName(late))
+    key = ("region", "rep_id", "date", "severity", "corroboration")
+    assert sorted(map(repr, got.select(*key).collect())) == sorted(map(repr, want.select(*key).collect()))
+    found = {r.rep_id: (r.severity, r.corroboration) for r in got.collect()}
+    assert found[1] == (5, 2) and found[11] == (3, 1) and found[4] == (4, 2) and found[13] == (2, 2)
+
+
 def test_keep_first_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice([None, *"abcdef"]), rng.choice([None, *"uvwxyz"])) for k in range(40)]

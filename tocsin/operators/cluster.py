@@ -1,24 +1,25 @@
-"""Greedy clustering and sequential deduplication as iterated joins.
+"""Greedy clustering in one sweep over similar pairs, and sequential deduplication as iterated aggregates.
 
-Both keep an item if no earlier kept item conflicts with it.  That is the
-lexicographically first independent set of a graph, found in rounds: an item all
-of whose earlier neighbours are settled as not kept is kept, one with a kept
-earlier neighbour isn't.  Each round is written to the shared folder.
+Both keep an item if no earlier kept item conflicts with it.  Titles conflict
+within a region and at most a day apart, so a region's days fall into chains that
+pairs across midnight tie together; each chain is swept once, in order, and what it
+has to know is which titles of the last two days aren't kept.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tocsin.functions import text as T
+from tocsin.operators import fuzzy
+from tocsin.operators.fuzzy import title_score as token_similarity_of
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,179 +39,174 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def first_independent(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, rep): rep is id for kept items, else the first kept earlier neighbour.
-
-    items: id, pos (unique order). edges: a, b with a before b.
+@F.pandas_udf(DoubleType())
+def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Title similarity 0..100 of two columns."""
+    return pd.Series([token_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    In each round, items that no undecided one precedes are kept and their later
-    neighbours dropped; the edges of both go. The first item left is always decided,
-    so the rounds end; a long chain takes as many rounds as it has links over two.
-    """
-    edges = written(edges.select("a", "b").distinct(), "conflicts")
-    left, dropped = edges, None
-    while left.take(1):
-        kept = left.select(F.col("a").alias("id")).distinct().join(left.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        out = written(left.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
-        dropped = out if dropped is None else dropped.unionByName(out)
-        # an edge into or out of a dropped item decides nothing any more; with those, all edges of the kept ones go
-        left = written(left.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti"), "conflicts")
-    if dropped is None:
-        return items.select("id", F.col("id").alias("rep"))
-    kept = items.join(dropped, "id", "left_anti").select("id", "pos")
-    first = edges.join(kept.select(F.col("id").alias("a"), F.col("pos").alias("at")), "a").join(dropped.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min_by("a", "at").alias("rep"))
-    return kept.select("id", F.col("id").alias("rep")).unionByName(first)
 
+def _filled(items: DataFrame, text: str) -> DataFrame:
+    """(id, region, date, t) of the rows that have a text."""
+    filled = F.col(text).isNotNull() & (F.trim(F.col(text)) != "") if dict(items.dtypes)[text] == "string" else F.size(text) > 0
+    return items.where(filled).select(F.col("id").cast("long").alias("id"), "region", "date", F.col(text).alias("t"))
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity 0..100: the better of matching as written (lower case) and with words sorted."""
-
-    def one(x: str, y: str) -> float:
-        x, y = x.lower(), y.lower()
-        plain = SequenceMatcher(None, x, y).ratio()
-        ordered = SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split()))).ratio()
-        return 100 * max(plain, ordered)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def _common(x: str, y: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over x."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(x)) - 1
-    state = full
-    for c in y:
-        met = state & at.get(c, 0)
-        state = (state + met | state - met) & full
-    return len(x) - state.bit_count()
-
-
-def _share(x: str, y: str) -> float:
-    return 200 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0
-
-
-def _best_window(short: str, long: str) -> float:
-    n, best = len(short), 0.0
-    for k in range(1 - n, len(long)):
-        window = long[max(0, k) : k + n]
-        if window and 200 * min(len(window), n) / (len(window) + n) > best:
-            best = max(best, _share(short, window))
-    return best
-
-
-def _partial(x: str, y: str) -> float:
-    """Best share of the shorter text with a window of the longer; of equally long ones either may be cut."""
-    short, long = (x, y) if len(x) <= len(y) else (y, x)
-    if not short:
-        return 0.0
-    best = _best_window(short, long)
-    return max(best, _best_window(long, short)) if len(short) == len(long) and best < 100 else best
-
-
-def token_similarity_of(x: str, y: str, enough: float = 70.0) -> float:
-    """max of token-sort, token-set (both as written) and partial (lower case); a score from enough on may stop early."""
-    a, b = x.split(), y.split()
-    best = _share(" ".join(sorted(a)), " ".join(sorted(b)))
-    both, only_a, only_b = sorted(set(a) & set(b)), sorted(set(a) - set(b)), sorted(set(b) - set(a))
-    if both and best < enough:
-        if not only_a or not only_b:
-            best = 100.0
-        else:
-            core = " ".join(both)
-            left, right = f"{core} {' '.join(only_a)}", f"{core} {' '.join(only_b)}"
-            best = max(best, _share(core, left), _share(core, right), _share(left, right))
-    low_x, low_y = x.lower(), y.lower()
-    if best < enough:
-        short = min(len(low_x), len(low_y))
-        bound = 200 * (n := _common(low_x, low_y)) / (short + n) if short else 0.0
-        if bound >= enough:
-            best = max(best, _partial(low_x, low_y))
-    return best
 
+def dated_pairs(items: DataFrame, text: str = "title", scorer: fuzzy.Scorer = fuzzy.title_scores, least: float = 70.0) -> DataFrame:
+    """(region, day, gap, a, b, similarity) of similar rows of a region: b is of the day, a of the same (gap 0) or of the day before (gap 1)."""
+    base = _filled(items, text).where("date is not null and region is not null")
+    largest = base.groupBy("region", "date").count().agg(F.max("count")).first()[0] or 0
+    today, tomorrow = F.col("date"), F.date_add("date", 1)
+    cell = lambda day, gap, part: F.struct(day.alias("day"), F.lit(gap).alias("gap"), F.lit(part).alias("part"))
+    cells = F.array(cell(today, 0, fuzzy.BOTH), cell(today, 1, fuzzy.RIGHT), cell(tomorrow, 1, fuzzy.LEFT))
+    rows = base.select("id", "t", "region", F.inline(cells))
+    return fuzzy.block_join(rows, ["region", "day", "gap"], scorer, least, largest=2 * largest)
 
-@F.pandas_udf(DoubleType())
-def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Title similarity 0..100; exact below 70, at least 70 above it."""
-    return pd.Series([token_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
+def undated_pairs(items: DataFrame, text: str = "title", scorer: fuzzy.Scorer = fuzzy.title_scores, least: float = 70.0, earlier: DataFrame | None = None) -> DataFrame:
+    """(region, kind, a, b, similarity): similar rows b without a date and a of the region; kind 0: a has one, 1: neither has.
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, times 100."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
-    return 100 * dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    earlier: ids of the rows with a date to look at, all if left out.
+    """
+    base = _filled(items, text).where("region is not null")
+    dated, undated = base.where("date is not null"), base.where("date is null")
+    if earlier is not None:
+        dated = dated.join(earlier.select("id"), "id", "left_semi")
+    kind = lambda df, k, part: df.select("id", "t", "region", F.lit(k).alias("kind"), F.lit(part).alias("part"))
+    rows = kind(dated, 0, fuzzy.LEFT).unionByName(kind(undated, 0, fuzzy.RIGHT)).unionByName(kind(undated, 1, fuzzy.BOTH))
+    return fuzzy.block_join(rows, ["region", "kind"], scorer, least)
 
 
-def similar_pairs(items: DataFrame, text: str = "title", similarity: Callable[[Column, Column], Column] = token_similarity, least: float = 70.0) -> DataFrame:
+def similar_pairs(items: DataFrame, text: str = "title", scorer: fuzzy.Scorer = fuzzy.title_scores, least: float = 70.0) -> DataFrame:
     """(a, b, similarity) within a region and a day of each other, a before b by (date, id), rows without a date last.
 
-    The later item looks at its own day and the one before: an equality join on
-    region and day. An item without a date is close to every one of its region.
-    Empty titles are similar to nothing. Each distinct pair of texts is scored once.
+    A row without a date is close to every one of its region. Empty texts are similar
+    to nothing, rows without a region neither. Pairs of blocks are joined, see ``fuzzy``.
     """
-    filled = F.col(text).isNotNull() & (F.trim(F.col(text).cast("string")) != "") if dict(items.dtypes)[text] == "string" else F.col(text).isNotNull()
-    base = items.where(filled).select("id", "region", "date", F.col(text).alias("t"))
-    dated, undated = base.where("date is not null"), base.where("date is null")
-    later = dated.select(F.col("id").alias("b"), "region", F.col("date").alias("day_b"), F.col("t").alias("tb"), F.explode(F.array(F.col("date"), F.date_sub("date", 1))).alias("date"))
-    earlier = dated.select(F.col("id").alias("a"), "region", "date", F.col("t").alias("ta"))
-    pairs = earlier.join(later, ["region", "date"]).where("date < day_b or (date = day_b and a < b)").select("a", "b", "ta", "tb")
-    open_ended = base.select(F.col("id").alias("a"), "region", F.col("date").alias("day_a"), F.col("t").alias("ta")).join(undated.select(F.col("id").alias("b"), "region", F.lit(None).cast("date").alias("day_b"), F.col("t").alias("tb")), "region")
-    open_ended = open_ended.where(T.dates_close(F.col("day_a"), F.col("day_b")) & F.expr("day_a is not null or a < b")).select("a", "b", "ta", "tb")
-    pairs = pairs.unionByName(open_ended)
-    same = pairs.where("ta = tb").select("a", "b", F.lit(100.0).alias("similarity"))
-    differ = pairs.where("ta <> tb")
-    scored = differ.select("ta", "tb").distinct().withColumn("similarity", similarity(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least)
-    return same.unionByName(differ.join(scored, ["ta", "tb"]).select("a", "b", "similarity"))
+    items = items.where("region is not null")
+    pairs = dated_pairs(items, text, scorer, least).select("a", "b", "similarity")
+    return pairs.unionByName(undated_pairs(items, text, scorer, least).select("a", "b", "similarity"))
+
 
+def sweep(pairs: DataFrame) -> DataFrame:
+    """(id, rep, rep_day) of the rows that aren't kept: rep is the first kept row before one, by (day, id).
 
-def event_members(items: DataFrame, **options) -> DataFrame:
-    """region, date, title, n, level, id (least) and rep: the cluster of each distinct title of a region and day.
+    pairs: region, day (of b), gap, a, b as of dated_pairs. Days that a pair ties to the day before form a chain; each
+    chain is streamed through a task once, in order, whatever its length.
+    """
+    days = pairs.groupBy("region", "day").agg(F.max("gap").alias("tied"))
+    over = Window.partitionBy("region").orderBy("day")
+    goes_on = (F.col("tied") == 1) & (F.datediff("day", F.lag("day").over(over)) == 1)
+    chains = days.withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(over)).select("region", "day", "chain")
+    order = ["region", "chain", "day", "b", F.desc("gap"), "a"]
+    ready = pairs.join(chains, ["region", "day"]).repartition("region", "chain").sortWithinPartitions(*order)
+    ready = ready.select("region", "chain", F.unix_date("day").alias("day"), "gap", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, today, now, before = None, None, set(), set()
+        for batch in batches:
+            ids, reps, days_of = [], [], []
+            for r, c, d, gap, a, b in zip(*[batch[k].to_pylist() for k in range(6)], strict=True):
+                if (r, c) != chain:
+                    chain, today, now, before = (r, c), d, set(), set()
+                elif d != today:
+                    before, now, today = now if d == today + 1 else set(), set(), d
+                if b not in now and a not in (before if gap else now):
+                    now.add(b)
+                    ids.append(b)
+                    reps.append(a)
+                    days_of.append(d - gap)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), pa.array(days_of, pa.int32()).cast(pa.date32())], names=["id", "rep", "rep_day"])
+
+    return ready.mapInArrow(run, "id long, rep long, rep_day date")
+
+
+def _undated_reps(nodes: DataFrame, dropped: DataFrame, **options) -> DataFrame:
+    """(id, rep, rep_day) of the rows without a date that aren't kept: they come last, and look at all kept rows of their region."""
+    kept = nodes.where("date is not null").join(dropped, "id", "left_anti")
+    pairs = written(undated_pairs(nodes, earlier=kept, **options), "undated")
+    first = F.min_by("a", F.struct("date", "a"))
+    taken = written(pairs.where("kind = 0").join(kept.select(F.col("id").alias("a"), "date"), "a").groupBy(F.col("b").alias("id")).agg(first.alias("rep"), F.min("date").alias("rep_day")), "taken")
+    among = pairs.where("kind = 1").join(taken.select(F.col("id").alias("b")), "b", "left_anti").join(taken.select(F.col("id").alias("a")), "a", "left_anti")
+    among = among.select("region", F.lit("1970-01-01").cast("date").alias("day"), F.lit(0).alias("gap"), "a", "b")
+    return taken.unionByName(sweep(among).withColumn("rep_day", F.lit(None).cast("date")))
+
+
+def title_nodes(items: DataFrame) -> DataFrame:
+    """region, date, title, n, level and id (least) of the distinct titles of a region and day, written.
 
     Equal titles of a region and day always share their cluster (whatever takes the
-    first takes the others), so they are one item from the start. Empty titles are
-    items of their own.
+    first takes the others), so they are one item from the start. Empty titles, and
+    rows without a region, are items of their own.
     """
-    empty = "(title is null or trim(title) = '')"
-    rows = items.withColumn("own", F.expr(f"if({empty}, id, null)"))
-    nodes = rows.groupBy("region", "date", "title", "own").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.coalesce("escalation_level", F.lit(1))).alias("level")).drop("own")
-    nodes = written(nodes, "titles")
-    reps = first_independent(nodes.select("id", F.struct(F.col("date").isNull().alias("last"), "date", "id").alias("pos")), similar_pairs(nodes, **options))
-    return nodes.join(reps, "id")
+    own = "if(title is null or trim(title) = '' or region is null, id, null)"
+    rows = items.withColumn("own", F.expr(own))
+    return written(rows.groupBy("region", "date", "title", "own").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.coalesce("escalation_level", F.lit(1))).alias("level")).drop("own"), "titles")
 
 
-def event_clusters(items: DataFrame, **options) -> DataFrame:
+def event_members(nodes: DataFrame, undated: bool | None = None, **options) -> DataFrame:
+    """title_nodes with rep (the item that stands for the cluster) and rep_day (its day).
+
+    undated: whether there are items without a date; looked up if left out.
+    """
+    dropped = sweep(written(dated_pairs(nodes, **options), "pairs"))
+    if undated is None:
+        undated = bool(nodes.where("date is null").take(1))
+    if undated:
+        dropped = written(dropped, "members")
+        dropped = dropped.unionByName(_undated_reps(nodes, dropped, **options))
+    joined = nodes.join(dropped, "id", "left")
+    return joined.withColumn("rep_day", F.when(F.col("rep").isNull(), F.col("date")).otherwise(F.col("rep_day"))).withColumn("rep", F.coalesce("rep", "id"))
+
+
+def events_of(members: DataFrame) -> DataFrame:
     """region, rep_id, date, severity, corroboration and title of each greedy cluster, and the same two of its first day.
 
     first_severity and first_corroboration count the members of the event's own day
     only: what was known of it on that day. A cluster's other members are a day later.
     """
-    members = event_members(items, **options)
-    day = members.join(members.where("id = rep").select("rep", F.col("date").alias("day")), "rep")
     longest = F.max_by("title", F.struct(F.length("title"), F.col("date").isNotNull(), -F.unix_date("date"), -F.col("id")))
-    now = F.expr("date <=> day")
-    return day.groupBy("region", F.col("rep").alias("rep_id")).agg(
+    now = F.expr("date <=> rep_day")
+    return members.groupBy("region", F.col("rep").alias("rep_id")).agg(
         F.min("date").alias("date"), F.max("level").alias("severity"), F.sum("n").alias("corroboration"), longest.alias("title"),
         F.max(F.when(now, F.col("level"))).alias("first_severity"), F.sum(F.when(now, F.col("n"))).alias("first_corroboration"),
     )
 
 
-def recluster(items: DataFrame, new: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, days): the events of items and late new reports, and the (region, day) cells that may have changed.
+def event_clusters(items: DataFrame, **options) -> DataFrame:
+    """The events of reports, see ``events_of``."""
+    return events_of(event_members(title_nodes(items), **options))
+
+
+def changed_cells(items: DataFrame, new: DataFrame) -> DataFrame:
+    """(region, date) of the cells whose clusters new rows may change.
 
     A cluster spans a day and the next, so runs of days with reports in a region have
     nothing to do with each other; only runs that a new report falls into (or joins)
-    are clustered again. The index has to be computed anew from each changed day on.
+    change. Reports without a date belong to any event of their region: where there are
+    some, all cells of a region that gets new reports change.
     """
-    both = items.unionByName(new)
-    days = both.select("region", "date").distinct()
-    over = Window.partitionBy("region").orderBy("date")
+    days = items.select("region", "date").unionByName(new.select("region", "date")).distinct()
+    over = Window.partitionBy("region").orderBy(F.asc_nulls_last("date"))
     runs = days.withColumn("run", F.sum(F.coalesce((F.datediff("date", F.lag("date").over(over)) > 1).cast("int"), F.lit(0))).over(over))
-    hit = runs.join(new.select("region", "date").distinct(), ["region", "date"], "left_semi").select("region", "run").distinct()
-    cells = written(runs.join(hit, ["region", "run"], "left_semi").select("region", "date"), "cells")
-    again = event_clusters(both.join(cells, ["region", "date"], "left_semi"))
-    return events.join(cells, ["region", "date"], "left_anti").unionByName(again.select(*events.columns)), cells
+    runs = runs.withColumn("open", F.max(F.col("date").isNull()).over(Window.partitionBy("region")))
+    runs = runs.withColumn("run", F.when(F.col("open"), 0).otherwise(F.col("run")))
+    hit = runs.join(new.select(F.col("region").alias("r"), F.col("date").alias("d")).distinct(), F.expr("region <=> r and date <=> d"), "left_semi").select(F.col("region").alias("r"), F.col("run").alias("k")).distinct()
+    return runs.join(hit, F.expr("region <=> r and run = k"), "left_semi").select("region", "date")
+
+
+def within_cells(df: DataFrame, cells: DataFrame, how: str) -> DataFrame:
+    """The rows of df in (left_semi) or outside (left_anti) the cells, nulls counting as equal."""
+    return df.join(cells.select(F.col("region").alias("_r"), F.col("date").alias("_d")), F.expr("region <=> _r and date <=> _d"), how)
+
+
+def recluster(items: DataFrame, new: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, cells): the events of items and late new reports, and the (region, date) cells that may have changed.
+
+    Only the changed cells are clustered again. The index has to be revised from each changed day on, see ``index.revised``.
+    """
+    cells = written(changed_cells(items, new), "cells")
+    again = event_clusters(within_cells(items.unionByName(new), cells, "left_semi"))
+    return within_cells(events, cells, "left_anti").unionByName(again.select(*events.columns)), cells
 
 
 def keep_first(items: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
