@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,54 @@ def test_daily_job(spark):
     assert {(r.id, r.region, r.category, r.escalation_level) for r in kept} == {(1, "Ukraine", "military", 5), (3, "Yemen", "maritime", 4), (4, "Unknown", "unclassifiable", 2)}
     got = {r.region: r for r in P.daily(reports, verdicts, exercises, taxonomy).where(F.col("date") == day).collect()}
     assert got["Ukraine"].ex_score == 100.0 and got["Ukraine"].rh_score == 100.0 and got["Yemen"].ex_score == 0.0 and got["Ukraine"].reports_30d == 1
+
+
+def test_nested_ranges_cover_an_interval_once(spark):
+    rng = random.Random(4)
+    rows = [(k, *sorted((rng.randrange(-40000, 40000), rng.randrange(-40000, 40000)))) for k in range(60)] + [(60, 5, 5), (61, 4, 4), (62, 7, 8), (63, 0, 2**15), (64, 9, 3), (65, -3, 12)]
+    got = spark.createDataFrame(rows, "id int, a int, b int").select("id", "a", "b", X.dyadic_ranges(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        days = [d for x in r.r for d in range(x.number << x.level, (x.number + 1) << x.level)]
+        assert sorted(days) == list(range(r.a, r.b + 1)) and len(r.r) <= 2 * max(1, (r.b - r.a + 1).bit_length()), r
+
+
+def test_interval_join_with_intervals_of_decades(spark):
+    rng = random.Random(5)
+    day = lambda n: dt.date(1990, 1, 1) + dt.timedelta(days=n)
+    rows = [(k, rng.choice("rq"), day(a := rng.randrange(9000)), day(a + rng.choice([0, 3, 100, 365 * 50])), 1000 * k, rng.choice([0.5, None]), "confirmed") for k in range(60)] + [(99, "r", day(50), None, 1, 0.1, "confirmed"), (98, "r", day(50), day(60), 1, 0.1, "archived-manual"), (97, "q", day(50), day(49), 1, 0.1, "confirmed"), (96, "q", day(50), day(20), 1, 0.1, "confirmed")]
+    exercises = spark.createDataFrame(rows, "id long, region string, start_date date, end_date date, scale int, rhetoric_score double, announcement_status string")
+    asked = [(r, day(n)) for r in "rq" for n in range(-40, 30000, 97)]
+    got = {(r.region, r.date, r.id) for r in X.exercise_days(exercises, spark.createDataFrame(asked, "region string, date date")).collect()}
+    want = {(r, d, e[0]) for r, d in asked for e in rows if e[1] == r and e[6] != "archived-manual" and e[3] and e[2] - dt.timedelta(days=14) <= d <= e[3]}
+    assert got == want and len(want) > 500
+    assert X.exercise_days(exercises.limit(0), spark.createDataFrame(asked, "region string, date date")).count() == 0
+    key = lambda df: sorted((r.region, r.date, round(r.ex, 9), None if r.rh is None else round(r.rh, 9), r.n_exercises) for r in df.collect())
+    days = spark.createDataFrame(asked, "region string, date date")
+    assert key(X.exercise_parts_on(exercises, days)) == key(X.exercise_parts(exercises).join(days, ["region", "date"], "left_semi"))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_revised_history_equals_a_full_rebuild(spark, seed):
+    rng = random.Random(seed)
+    titles = ["port hit by missile strike", "missile strike hits port", "talks resume", "flood in the south", "south flooded", ""]
+    day = lambda n: None if n is None else dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    one = lambda k, spots, regions: (k, rng.choice(titles), day(rng.choice(spots)), rng.randrange(1, 6), rng.choice(regions))
+    kinds = "id long, title string, date date, escalation_level int, region string"
+    spots = [rng.randrange(300) for _ in range(30)]
+    old = spark.createDataFrame([one(k, [*spots, None], "rs") for k in range(150)], kinds)
+    # before the first day, after the last one, in a region of its own, without a date, and among the others
+    late = spark.createDataFrame([one(1000 + k, where, regions) for k, (where, regions) in enumerate([([-9], "r"), ([320], "s"), ([40], "t"), ([None], "r"), (spots, "rs"), (spots, "r")]) if seed > 1 or k > 2], kinds)
+    exercises = spark.createDataFrame([(1, "r", day(10), day(90), 9000, 0.4, "confirmed"), (2, "t", day(30), day(35), None, None, "projected")], "id long, region string, start_date date, end_date date, scale int, rhetoric_score double, announcement_status string")
+    daily = X.daily_weights(old)
+    got, kept = X.revised(X.composite_history(old, exercises, daily=daily), daily, old, late, exercises)
+    both = old.unionByName(late)
+    row = lambda df: sorted(map(repr, df.collect()))
+    assert row(got) == row(X.composite_history(both, exercises).select(*got.columns))
+    rounded = lambda df: sorted((r.region, r.date, round(r.w, 9), round(r.w_first, 9), r.n_events, r.n_reports) for r in df.collect())
+    assert rounded(kept) == rounded(X.daily_weights(both))
+
+
+def test_undated_reports_do_not_weigh(spark):
+    rows = [(1, "a title of a report", dt.date(2024, 1, 5), 2, "r"), (2, "a title of a report", None, 5, "r")]
+    (r,) = X.daily_weights(spark.createDataFrame(rows, "id long, title string, date date, escalation_level int, region string")).collect()
+    assert (r.w, r.n_events, r.n_reports) == (0.3, 1, 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions import dims, scoring
 from tocsin.operators import cluster as C
+from tocsin.operators import fuzzy
 from tocsin.operators import index as X
 from tocsin.queries.base import EXS, INC, query
 from tocsin.sources import bindings as B
@@ -110,8 +111,39 @@ def ex_rh_components(spark, d):
 BASELINES = "base AS (SELECT * FROM (VALUES " + ", ".join(f"('NATION_{k}', {v[5]})" for k, v in enumerate(dims.REGIONS.values())) + ") b(region, baseline))"
 
 
-@query(f"""WITH RECURSIVE {KAPPA}, {PARTS}, {BASELINES} SELECT gz.region, CAST(gz.date AS VARCHAR) AS date, round(least((round(gz, 6) * 0.45 + coalesce(ex, 0) * 0.35 + coalesce(baseline, 0.05)::DOUBLE * 0.20) * 100, 100), 1) AS ei_score, floor(round(gz, 6) * 100 * 10 + 0.5) / 10.0::DOUBLE AS gz_score, floor(coalesce(ex, 0) * 100 * 10 + 0.5) / 10.0::DOUBLE AS ex_score,
-floor(coalesce(rh, 0.5) * 100 * 10 + 0.5) / 10.0::DOUBLE AS rh_score, round(kappa, 4) AS kappa, reports_30d, events_30d FROM gz LEFT JOIN parts ON gz.region = parts.region AND gz.date = parts.date LEFT JOIN base ON base.region = gz.region""")
+COMPOSITE = f"""WITH RECURSIVE {KAPPA}, {PARTS}, {BASELINES} SELECT gz.region, CAST(gz.date AS VARCHAR) AS date, round(least((round(gz, 6) * 0.45 + coalesce(ex, 0) * 0.35 + coalesce(baseline, 0.05)::DOUBLE * 0.20) * 100, 100), 1) AS ei_score, floor(round(gz, 6) * 100 * 10 + 0.5) / 10.0::DOUBLE AS gz_score, floor(coalesce(ex, 0) * 100 * 10 + 0.5) / 10.0::DOUBLE AS ex_score,
+floor(coalesce(rh, 0.5) * 100 * 10 + 0.5) / 10.0::DOUBLE AS rh_score, round(kappa, 4) AS kappa, reports_30d, events_30d FROM gz LEFT JOIN parts ON gz.region = parts.region AND gz.date = parts.date LEFT JOIN base ON base.region = gz.region"""
+
+
+def _baselines(spark):
+    return spark.createDataFrame([(f"NATION_{k}", v[5]) for k, v in enumerate(dims.REGIONS.values())], "region string, baseline double")
+
+
+@query(COMPOSITE)
 def composite_index_history(spark, d):
-    baselines = spark.createDataFrame([(f"NATION_{k}", v[5]) for k, v in enumerate(dims.REGIONS.values())], "region string, baseline double")
-    return X.composite_history(B.incidents(spark, d), B.exercises(spark, d), baselines)
+    return X.composite_history(B.incidents(spark, d), B.exercises(spark, d), _baselines(spark))
+
+
+@query(COMPOSITE)
+def index_revised_by_late_reports(spark, d):
+    """The index after one report in 500 came late: only the days that these can change are worked out again."""
+    rows, exercises, baselines = B.incidents(spark, d), B.exercises(spark, d), _baselines(spark)
+    old, late = rows.where("id % 500 <> 7"), rows.where("id % 500 = 7")
+    daily = X.daily_weights(old)
+    history = C.written(X.composite_history(old, exercises, baselines, daily), "history")
+    return X.revised(history, daily, old, late, exercises, baselines)[0]
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, label, vec_id % 3 AS day, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND ((p.day = q.day AND p.id < q.id) OR q.day = p.day + 1)
+WHERE 100 * list_inner_product(p.e, q.e) / sqrt(list_inner_product(p.e, p.e) * list_inner_product(q.e, q.e)) >= 20""")
+def similar_by_embedding(spark, d):
+    """Vectors of a label at most a day apart with a cosine of 0.2 or more: the join of titles with another scorer."""
+    rows = B.read(spark, d, "embeddings").selectExpr("vec_id as id", "cast(label as string) as region", "date_add(date'2024-01-01', cast(vec_id % 3 as int)) as date", "embedding")
+    return C.similar_pairs(rows, "embedding", fuzzy.cosine_scores, 20.0).select("a", "b")
+
+
+@query()
+def similar_by_sequence(spark, d):
+    """Pairs of similar report titles by difflib's ratio, the scorer to fall back on; a test compares with a loop."""
+    return C.similar_pairs(B.reports(spark, d), "title", fuzzy.sequence_scores, 70.0)
