@@ -96,7 +96,7 @@ def _with_minimum(edges: DataFrame, salts: int) -> DataFrame:
     """(u, v, m) with m the least v of u; a hub's rows are spread over salts, so no task gets them all."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     spread = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread, ["u", "salt"]).select("u", "v", "m")
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> DataFrame:
@@ -104,8 +104,8 @@ def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> Da
 
     Alternating large-star and small-star steps: the number of rounds is
     logarithmic in the longest path, and every step is a join whose hubs are
-    salted.  Each round is written to the shared folder, so the lineage stays
-    short.  Edges with a null end and loops are ignored; no edges give no rows.
+    salted (and a merge join at any size: many small broadcasts would pile up in the
+    driver).  Each round is written to the shared folder, so the lineage stays short.  Edges with a null end and loops are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()

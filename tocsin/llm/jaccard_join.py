@@ -280,7 +280,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _screen(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     sides = [lead.select(F.col("sig").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "family", "ahead", "key_a", "key_b", "n_a", "n_b", "parity_a", "parity_b")
+    joined = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").select("a", "b", "family", "ahead", "key_a", "key_b", "n_a", "n_b", "parity_a", "parity_b")
     return cut(joined.mapInArrow(released(_screened), "a long, b long, family int, ahead int, key_a long, key_b long, n_a long, n_b long, open boolean, far double"), "screened")
 
 
@@ -294,7 +294,7 @@ def _compute(screened: DataFrame, sets: DataFrame) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "256")
     try:
-        joined = screened.where("open").join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("left_set")), "a").join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("right_set")), "b")
+        joined = screened.where("open").join(sets.select(F.col("sig").alias("a"), F.col("elements").alias("left_set")).hint("merge"), "a").join(sets.select(F.col("sig").alias("b"), F.col("elements").alias("right_set")).hint("merge"), "b")
         out = joined.select("a", "b", "family", "ahead", "n_a", "n_b", "left_set", "right_set").mapInArrow(released(_overlaps), "a long, b long, family int, ahead int, n_a long, n_b long, shared long")
         out = out.withColumn("whole", F.expr("n_a + n_b - shared"))
         found = cut(out.select("a", "b", "family", "ahead", "n_a", "n_b", F.expr("100 * shared >= 75 * whole").alias("linked"), F.expr("1 - shared / whole").alias("far"), F.lit(True).alias("exact")), "pairs")
@@ -317,9 +317,9 @@ class Computed:
         screened = _screen(pairs, self.lead)
         ends = F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("key_a").alias("key")), F.struct(F.col("b").alias("sig"), F.col("key_b").alias("key"))))
         wanted = screened.where("open").select(ends.alias("s")).select("s.*").distinct()
-        wanted = cut(wanted if self.fetched is None else wanted.join(self.fetched, "sig", "left_anti"), "wanted")
+        wanted = cut(wanted if self.fetched is None else wanted.join(self.fetched.hint("merge"), "sig", "left_anti"), "wanted")
         if self.sets is None or wanted.take(1):
-            more = self.spotted.mapInArrow(released(_emit_sets(id_filter(wanted, "key"))), "key long, sig long, elements binary").join(wanted, ["key", "sig"]).select("sig", "elements")
+            more = self.spotted.mapInArrow(released(_emit_sets(id_filter(wanted, "key"))), "key long, sig long, elements binary").join(wanted.hint("merge"), ["key", "sig"]).select("sig", "elements")
             more = cut(more.dropDuplicates(["sig"]), "sets", "none")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
             self.fetched = wanted.select("sig") if self.fetched is None else self.fetched.unionByName(wanted.select("sig"))
@@ -346,15 +346,15 @@ def _next_pairs(families: DataFrame, used: DataFrame, labels: DataFrame, last: b
     smaller one (or at last) each such member is paired with those of other components.
     No member leads twice, and one whose component has no leader yet comes first.
     """
-    placed = families.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
-    placed = placed.join(used.withColumn("led", F.lit(True)), ["f", "x"], "left").withColumn("led", F.col("led").isNotNull())
+    placed = families.join(labels.withColumnRenamed("id", "x").hint("merge"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    placed = placed.join(used.withColumn("led", F.lit(True)).hint("merge"), ["f", "x"], "left").withColumn("led", F.col("led").isNotNull())
     own = placed.where("x = f").select("f", F.col("c").alias("main"))
-    loose = placed.join(own, "f").where("c <> main")
+    loose = placed.join(own.hint("merge"), "f").where("c <> main")
     parts = loose.groupBy("f", "c").agg(F.count("*").alias("many"), F.min(F.when(~F.col("led"), F.col("x"))).alias("lead"), F.max("led").alias("led"))
     counted = parts.groupBy("f").agg(F.sum("many").alias("many"), F.coalesce(F.min(F.when(~F.col("led"), F.col("lead"))), F.min("lead")).alias("lead"))
-    seeds = loose.join(counted, "f") if last else loose.join(counted, "f").where(f"many <= {SMALL_FAMILY} or x = lead")
+    seeds = loose.join(counted.hint("merge"), "f") if last else loose.join(counted.hint("merge"), "f").where(f"many <= {SMALL_FAMILY} or x = lead")
     seeds = seeds.select("f", F.col("x").alias("p"), *[F.col(k).alias(f"{k}_p") for k in ("n", "ahead", "far", "exact", "c")])
-    pairs = seeds.join(placed, "f").where(f"c <> c_p and {FITS}")
+    pairs = seeds.join(placed.hint("merge"), "f").where(f"c <> c_p and {FITS}")
     new = counted.where("lead is not null").select("f", F.col("lead").alias("x"))
     return pairs.select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b")).distinct(), used.unionByName(new)
 
@@ -365,7 +365,7 @@ def _settle(families: DataFrame, used: DataFrame, computed: Computed) -> DataFra
         labels = connected_components(computed.links(), "a", "b")
         for last in (False, True) if turn < MAX_LEADERS - 1 else (True,):  # leaders that leave nothing open don't settle what is loose
             pairs, leaders = _next_pairs(families, used, labels, last)
-            pairs = cut(pairs.join(computed.all.select("a", "b"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
+            pairs = cut(pairs.join(computed.all.select("a", "b").hint("merge"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
             if pairs.take(1):
                 break
         else:
@@ -394,7 +394,7 @@ def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, D
     pairs = cut(found.groupBy("a", "b").agg(F.max("family").alias("family"), F.max("ahead").alias("ahead")), "candidates")
     named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     each = both.where("block is null and sig <> 0").where(wanted).groupBy("sig").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
-    computed = Computed(source.where(wanted), cut(each.join(named, "sig"), "named"))
+    computed = Computed(source.where(wanted), cut(each.join(named.hint("merge"), "sig"), "named"))
     led = computed.add(pairs).where("family = 1")
     families = led.select(F.col("a").alias("f"), F.col("b").alias("x"), F.col("n_b").alias("n"), "ahead", "far", "exact")
     own = led.groupBy(F.col("a").alias("f")).agg(F.first("n_a").alias("n")).select("f", F.col("f").alias("x"), "n", F.col("n").cast("int").alias("ahead"), F.lit(0.0).alias("far"), F.lit(True).alias("exact"))
