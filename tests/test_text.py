@@ -120,6 +120,19 @@ def test_late_rows_are_dropped_beyond_the_watermark(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "id long, title string, source_url string, ts timestamp").coalesce(1).write.mode("append").parquet(landing)
     rows((1, "t", "u", dt.datetime(2024, 6, 1)))
     append_new(spark, landing, target, state)
-    rows((2, "late", "u", dt.datetime(2024, 5, 1)), (3, "too late", "u", dt.datetime(2024, 1, 1)))
+    rows((2, "late", "u2", dt.datetime(2024, 5, 1)), (3, "too late", "u3", dt.datetime(2024, 1, 1)), (4, "other", "u", dt.datetime(2024, 6, 1)))
     append_new(spark, landing, target, state)
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_one_pass_over_keys_equals_a_search_for_each(spark):
+    keys = ["niger", "nigeria", "a", "ab", "abc", "bc", "u.s.", "u+", "c (d)", "é漢", "north sea", "sea", "x*"]
+    pairs = [(k, f"v{n}") for n, k in enumerate(keys)]
+    texts = [None, "", "in nigeria now", "xxab", "zbc", "the u.s. at", "uxs.", "u+v", "c (d) e", "é漢字", "north seab", "x*", "xx", "north", *keys]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.first, r.any) for r in rows.select("t", T._first_contained(F.col("t"), pairs).alias("first"), T.any_word(F.col("t"), tuple(keys)).alias("any")).collect()}
+    assert got == {t: (next((v for k, v in pairs if t and k in t), None), bool(t) and any(k in t for k in keys)) for t in texts}
+    words = {"R1": ["niger", "ab", "sea"], "R2": ["nigeria", "abc", "bc", "x*"], "R3": ["a", "ab"]}
+    scored = rows.select("t", T._scored(F.col("t"), words, lambda s: s["n"] >= 1).alias("r")).collect()
+    counts = {t: {r: sum(k in t for k in ks) for r, ks in words.items()} for t in texts if t is not None}
+    assert {r.t: r.r for r in scored if r.t is not None} == {t: max(c, key=lambda r: (c[r], -list(words).index(r))) if max(c.values()) else None for t, c in counts.items()}

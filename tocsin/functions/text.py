@@ -62,13 +62,57 @@ def dates_close(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)) <= 1, F.lit(True))
 
 
+def one_pass(keys: list[str]) -> str:
+    """A pattern that stands for all keys at once: their prefix tree, so a text is gone through once, however many keys there are.
+
+    It matches the longest key at a place; the keys that are beginnings of that one are there as well.
+    """
+    tree: dict = {}
+    for key in keys:
+        node = tree
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        branches = []
+        for c, below in sorted(node.items()):
+            if c:
+                branches.append((c if c.isalnum() else "\\" + c) + written(below))
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return inner + ("?" if "" in node else "")
+
+    return written(tree)
+
+
+def _met(text: Column, keys: list[str]) -> Column:
+    """The distinct longest keys at the places of the text; null for a null text."""
+    firsts = "".join(sorted({k[0] if k[0].isalnum() else "\\" + k[0] for k in keys}))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{firsts}])(?=({one_pass(keys)}))"), F.lit(1)))
+
+
+def _looked_up(met: Column, values: dict[str, object], kind: str) -> Column:
+    """The value of each met key."""
+    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind) if not isinstance(v, list) else F.array(*[F.lit(i) for i in v]).cast(kind))])
+    return F.transform(met, lambda k: F.element_at(table, k))
+
+
+def _beginnings(keys: list[str]) -> dict[str, list[str]]:
+    """For each key the keys that it begins with, itself included."""
+    known = set(keys)
+    return {k: [k[:n] for n in range(1, len(k) + 1) if k[:n] in known] for k in known}
+
+
 def _first_contained(text: Column, pairs: list[tuple[str, object]]) -> Column:
     """The value of the first pair whose key the text contains, else null."""
-    (key, value), *rest = pairs
-    out = F.when(F.contains(text, F.lit(key)), value if isinstance(value, Column) else F.lit(value))
-    for key, value in rest:
-        out = out.when(F.contains(text, F.lit(key)), value if isinstance(value, Column) else F.lit(value))
-    return out
+    rank: dict[str, int] = {}
+    for n, (key, _) in enumerate(pairs):
+        rank.setdefault(key, n)
+    best = {k: min(rank[x] for x in below) for k, below in _beginnings(list(rank)).items()}
+    place = F.array_min(_looked_up(_met(text, list(rank)), best, "int"))
+    return F.get(F.array(*[F.lit(v) for _, v in pairs]), place)
 
 
 def _exact(text: Column, mapping: dict[str, str]) -> Column:
@@ -89,11 +133,23 @@ def resolve(*texts: Column) -> Column:
 
 def _scored(low: Column, keywords: dict[str, list[str]], least: Callable[[Column], Column]) -> Column:
     """The region with most keywords in the text, the first on ties, among those whose count passes."""
-    scores = []
-    for rank, (region, words) in enumerate(keywords.items()):
-        n = sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0))
-        scores.append(F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(region).alias("region")))
-    return F.array_max(F.filter(F.array(*scores), least))["region"]
+    numbered = [(word, rank) for rank, words in enumerate(keywords.values()) for word in words]
+    of_word: dict[str, list[int]] = {}
+    for n, (word, _) in enumerate(numbered):
+        of_word.setdefault(word, []).append(n)
+    below = {k: [n for x in begin for n in of_word[x]] for k, begin in _beginnings(list(of_word)).items()}
+    hits = F.array_distinct(F.flatten(_looked_up(_met(low, list(of_word)), below, "array<int>")))
+    ends, at = [], 0
+    for words in keywords.values():
+        ends.append((at, at + len(words)))
+        at += len(words)
+
+    def best(found: Column) -> Column:
+        among = lambda a, b: F.size(F.filter(found, lambda n: (n >= a) & (n < b)))
+        scores = [F.struct(among(*end).alias("n"), F.lit(-rank).alias("rank"), F.lit(region).alias("region")) for rank, (region, end) in enumerate(zip(keywords, ends, strict=True))]
+        return F.array_max(F.filter(F.array(*scores), least))["region"]
+
+    return _once(hits, best)
 
 
 def score_regions(text: Column, least: int = 2) -> Column:
@@ -129,7 +185,7 @@ def detect_exercise_region(text: Column) -> Column:
 
 def any_word(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words occurs in the lower-cased text."""
-    return _once(F.lower(_text(text)), lambda low: F.coalesce(_first_contained(low, [(w, True) for w in words]), F.lit(False)))
+    return F.lower(_text(text)).rlike(one_pass(list(words)))
 
 
 def is_security(title: Column, description: Column) -> Column:

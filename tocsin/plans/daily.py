@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tocsin.functions import dims
 from tocsin.functions import text as T
-from tocsin.operators.cluster import keep_first
 from tocsin.operators.index import composite_history
+from tocsin.operators.insert import insert_new
 from tocsin.operators.sinks import write_back
 
 ANSWER = "category string, escalation_level string, region string, actors array<string>, summary string"
@@ -27,11 +27,9 @@ def unclassifiable(reports: DataFrame, size: int = 600) -> DataFrame:
     return write_back(reports, empty, "id", ["category"])
 
 
-def ingest(reports: DataFrame) -> DataFrame:
-    """First of each content, address and (title, day), in order of id, with a canonical region or 'Unknown'."""
-    keyed = reports.withColumn("content_hash", T.content_hash(F.col("title"), F.col("source_url"))).withColumn("title_day", F.when(F.trim("title") != "", F.concat_ws("|", F.trim("title"), F.coalesce(F.col("date").cast("string"), F.lit("")))))
-    kept = keep_first(keyed, ["content_hash", "title_day", "source_url"])
-    return kept.drop("title_day").withColumn("region", F.coalesce(T.canonicalize(F.col("region")), T.resolve(F.col("title"), F.col("description")), F.lit("Unknown")))
+def ingest(reports: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """First of each content, address and (title, day), in order of id, that the table hasn't got, with a canonical region or 'Unknown'."""
+    return insert_new(reports, table)
 
 
 def classify(reports: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tocsin.functions import dims
 from tocsin.functions import text as T
 from tocsin.operators import cluster as C
+from tocsin.operators import insert as N
 from tocsin.operators import sinks as S
 from tocsin.operators import views as V
 from tocsin.plans import daily as P
@@ -139,6 +140,20 @@ def multikey_dedup(spark, d):
     return C.keep_first(rows, ["content_hash", "title_day", "source_url"]).select("id")
 
 
+@query(f"""WITH {REP}, b AS (SELECT id, 'T' || id // 6 AS title, 'u' || id // 2 AS url, date FROM rep),
+e AS (SELECT CASE id % 30 WHEN 20 THEN 'other' || id ELSE title END AS title, CASE id % 30 WHEN 10 THEN 'other' || id ELSE url END AS url, CASE id % 30 WHEN 20 THEN date - 400 ELSE date END AS date FROM b WHERE id % 10 = 0)
+SELECT min(id) AS id FROM b WHERE NOT EXISTS (FROM e WHERE e.url = b.url AND e.title = b.title) AND NOT EXISTS (FROM e WHERE e.title = b.title AND e.date = b.date) AND NOT EXISTS (FROM e WHERE e.url = b.url) GROUP BY title, date""")
+def inserted_into_table(spark, d):
+    """Reports that a table by days hasn't got: it has some by content, some by title and day, some by address only."""
+    rows = B.reports(spark, d).selectExpr("id", "concat('T', id div 6) as title", "concat('u', id div 2) as source_url", "date", "region")
+    k = F.col("id") % 30
+    held = rows.where("id % 10 = 0").withColumns({"title": F.when(k == 20, F.concat(F.lit("other"), "id")).otherwise(F.col("title")), "source_url": F.when(k == 10, F.concat(F.lit("other"), "id")).otherwise(F.col("source_url")), "date": F.when(k == 20, F.date_sub("date", 400)).otherwise(F.col("date"))})
+    held = held.withColumn("content_hash", T.content_hash(F.col("title"), F.col("source_url")))
+    path = C.shared_path(spark, "reports")
+    held.write.partitionBy("date").parquet(path)
+    return N.insert_new(rows, spark.read.schema(held.schema).parquet(path)).select("id")
+
+
 @query(f"WITH {SER} SELECT region, CAST(date AS VARCHAR) AS date, CASE WHEN date >= DATE '2024-01-20' THEN round(ei_score + 1, 4) ELSE ei_score END AS ei_score FROM ser")
 def upsert_latest_wins(spark, d):
     old = B.index_series(spark, d)
