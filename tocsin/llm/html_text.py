@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,6 +148,8 @@ def parse(source: str) -> Node:
 def unseen(node: Node) -> bool:
     """Whether the whole subtree is invisible, whatever is in it."""
     a = node.attributes
+    if node.tag == "rp" or node.tag == "dialog" and "open" not in a:
+        return True
     return node.tag in UNSEEN or node.foreign and node.tag in FOREIGN_UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and NO_DISPLAY.search(a["style"]))
 
 
@@ -237,8 +241,15 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"\s*-?\d{1,9}\s*", text) else default
 
 
+def shown_children(node: Node) -> list:
+    """All children, of details that aren't open only the first summary."""
+    if node.tag != "details" or "open" in node.attributes:
+        return node.children
+    return [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+
+
 def render(node: Node, out: Writer, keep: bool = False) -> None:
-    for child in node.children:
+    for child in shown_children(node):
         if isinstance(child, str):
             out.text(child, keep)
             continue
@@ -359,13 +370,13 @@ def table_rows(node: Node) -> list[str]:
             if wide == 1:
                 widths[column] = max(widths.get(column, 0), *(len(x) for x in lines))
     out = [x for x in captions if x]
+    known = sorted(widths)
+    reach = [0, *accumulate(widths[c] + 2 for c in known)]
     for placed in grid:
         for k in range(max(len(lines) for _, _, lines in placed)):
-            line, at = "", 0
-            starts: dict[int, int] = {}
+            line = ""
             for column, _, lines in placed:
-                at = sum(widths.get(c, 0) + 2 for c in range(column) if c in widths)
-                starts[column] = at
+                at = reach[bisect_left(known, column)]
                 if k < len(lines) and lines[k]:
                     if line and len(line) >= at:
                         line = line + "  " + lines[k]

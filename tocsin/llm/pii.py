@@ -50,10 +50,13 @@ BASE = {
 }
 NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.') AND digits", "card": "digits", "phone": "contains(text, '+') AND digits"}
 GENERATORS = {
-    "address": r"[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++",
+    "address": r"[A-Za-z0-9._%+-]++(?:\x20?@{1,2}+\x20?|\x20?[(\[{<]\x20?(?i:at)\x20?[)\]}>]\x20?|\x20AT\x20)[A-Za-z0-9-]++(?:(?:[.,]|\x20?[(\[{<]\x20?(?i:dot)\x20?[)\]}>]\x20?|\x20(?i:dot)\x20)[A-Za-z0-9-]++)++",
+    "spelled": r"[A-Za-z0-9._%+-]++\x20(?i:at)\x20[A-Za-z0-9-]++(?:(?:\x20(?i:dot)\x20|\.)[A-Za-z0-9-]++)++",
     "number": r"\+?\(?[0-9](?:[\x20().:/\[\]-]{0,3}+[0-9]){4}+(?:[\x20().:/\[\]-]{0,3}+[0-9])*+",
 }
-GENERATOR_NEEDS = {"address": "contains(text, '@') OR contains(text, '(at)') OR contains(text, '[at]')", "number": "digits"}
+GENERATOR_NEEDS = {"address": "contains(text, '@') OR contains(text, ' AT ') OR text RLIKE '(?i)[(\\\\[{<] ?at ?[)\\\\]}>]'", "spelled": "text RLIKE '(?i) at [A-Za-z0-9-]+( dot |[.][A-Za-z0-9-])'", "number": "digits"}
+#: The generator of numbers, the last; those before it are of addresses.
+NUMBER = len(GENERATORS) - 1
 CONTEXT = "mail|contact|call|tel|phone|fax|mobile|card|visa|credit|ip|host|server|address"
 FEATURES = ("form", "n_digits", "n_marks", "n_groups", "octets", "luhn", "dated", "brackets", "context", "edge_left", "edge_right")
 ROUNDS, SHRINK, DEPTH, MIN_PRECISION, MIN_SUPPORT, SYNTHETIC, UNLABELLED = 24, 0.5, 3, 0.9, 20, 3000, 0.1
@@ -113,7 +116,7 @@ def _with_base(docs: DataFrame) -> DataFrame:
 def _features(c: str) -> dict[str, str]:
     """SQL of a candidate's features; each has few values."""
     digits = f"length({_digits(f'{c}.s')})"
-    plain = f"regexp_replace({c}.s, '[^0-9.]', '')"
+    plain = f"regexp_replace(if({c}.s LIKE '%.%', {c}.s, replace({c}.s, '-', '.')), '[^0-9.]', '')"
     before = f"substring(text, greatest({c}.start - 15, 1), least({c}.start, 16))"
     return {
         "form": f"{c}.form",
@@ -224,6 +227,18 @@ EXAMPLES = (
     ("write to ", "ann### (at) example (dot) org", True),
     ("or ", "first.last[at]mail##[dot]example[dot]com", True),
     ("mail: ", "box-## (at) host.example.net", True),
+    ("mail ", "dr.who##{at}site#{dot}org", True),
+    ("via ", "lee## <AT> corp.example.com", True),
+    ("or by ", "pat## @ web#.example.org", True),
+    ("to ", "ada## AT lab.example.edu", True),
+    ("is ", "max##@@news.example.com", True),
+    ("ask ", "eve##@shop,example,com", True),
+    ("to ", "joe## at firm dot com", True),
+    ("by ", "sue at uni## dot example dot edu", True),
+    ("look ", "prices at example##.com", False),
+    ("sold ", "shares at market.example", False),
+    ("ends ", "meeting at noon.Then", False),
+    ("see ", "offices at 4#.main", False),
     ("call ", "(###) ###-####", True),
     ("from ", "(###) ### ####", True),
     ("phone: ", "###.###.####", True),
@@ -233,6 +248,12 @@ EXAMPLES = (
     ("reach me under ", "1 (###) ###-####", True),
     ("host ", "1#[.]2#[.]3#[.]#", True),
     ("server ", "1##(.)##(.)1##(.)##", True),
+    ("host ", "1##-2#-1#-1##", True),
+    ("server ", "10 . # . ## . 1#", True),
+    ("ssn ", "###-##-####", False),
+    ("years ", "20##-20## 20##-20##", False),
+    ("card ", "9### #### #### ####", False),
+    ("between ", "19##-20##", False),
     ("on ", "20##-01-1#", False),
     ("at ", "20##-10-2# 1#:2#:3#", False),
     ("of ", "1#.0#.20##", False),
@@ -308,10 +329,10 @@ def train(docs: DataFrame) -> Forest:
 
 def _spans(slim: DataFrame, forest: Forest) -> DataFrame:
     """slim (with text) with base, added and spans (base and added), each sorted by kind as listed, then start."""
-    named = "CASE WHEN c.form = 0 THEN 'email' WHEN c.octets = 1 THEN 'ip' WHEN c.luhn = 1 THEN 'card' ELSE 'phone' END"
+    named = f"CASE WHEN c.form < {NUMBER} THEN 'email' WHEN c.octets = 1 THEN 'ip' WHEN c.luhn = 1 THEN 'card' ELSE 'phone' END"
     featured = f"transform(filter(proposed, c -> NOT {HIT}), c -> named_struct('start', c.start, 'end', c.end, 's', c.s, {', '.join(f"'{k}', {v}" for k, v in _features('c').items())}))"
     out = _proposed(_with_base(slim)).withColumn("picked", F.expr(f"transform(filter({featured}, c -> {forest.chosen('c')}), c -> named_struct('kind', {named}, 'start', c.start, 'end', c.end, 's', c.s, 'form', c.form))"))
-    single = "filter(picked, c -> c.form = 0 OR NOT exists(picked, d -> d.form = 0 AND d.start < c.end AND c.start < d.end))"
+    single = f"filter(picked, c -> c.form = 0 OR NOT exists(picked, d -> d.form < c.form AND d.start < c.end AND c.start < d.end))"
     added = f"transform({single}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 's', c.s))"
     order = "CASE {0}.kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END"
     keyed = "transform(concat(base, added), c -> named_struct('k', " + order.format("c") + ", 'start', c.start, 'end', c.end, 'kind', c.kind, 's', c.s))"

@@ -41,6 +41,8 @@ from tocsin.llm.shingles import BASE, buffers, hashed_runs, mix, powers
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 LONGEST_BATCHED = 64
+#: Bytes of text whose lattice is held at once.
+SLICE = 1 << 20
 NBEST = 4
 
 
@@ -336,7 +338,7 @@ DIGEST = "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores
 def _digest(model: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, 1024):
+            for batch in slices(big, 1024, most=SLICE):
                 e = Encoded(batch["text"], model)
                 text, places = e.decoded()
                 crc, scores, counts, same = [], [], [], []
@@ -370,7 +372,7 @@ def encode_nbest(docs: DataFrame, n: int = NBEST, model: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, 512):
+            for batch in slices(big, 512, most=SLICE):
                 e = Encoded(batch["text"], model)
                 rows = [(batch["doc_id"][i].as_py(), k, s, e.path(i, c)) for i in range(batch.num_rows) for k, (s, c) in enumerate(e.nbest(i, n))]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "rank", "score", "ids"])
@@ -406,7 +408,7 @@ def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in slices(big, 1024):
+            for batch in slices(big, 1024, most=SLICE):
                 e = Encoded(batch["text"], model)
                 data, places = e.decoded()
                 valid = batch["text"].is_valid().to_pylist()

@@ -3,7 +3,7 @@
 The tokenizer splits at white space, and between ASCII letters and ASCII marks
 other than the apostrophe, so a text's ids are those of its runs between such
 places; each distinct run is encoded once by the tokenizers library and
-remembered.  (Where a batch has ``<|``, as special tokens begin, only white space
+remembered (runs that differ in capitals are one only if the tokenizer lowers them).  (Where a batch has ``<|``, as special tokens begin, only white space
 splits.)  ``end_id`` is appended to every document.
 
 Format.  Ids are replaced by their rank among all ids of the corpus (most
@@ -72,7 +72,17 @@ KIND[[*range(65, 91), *range(97, 123)]] = 1
 KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
 
 
-def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _byte_map(path: str) -> np.ndarray:
+    """How bytes are told apart: as the tokenizer does, which may take capital ASCII letters for small ones."""
+    from tokenizers import Tokenizer
+
+    normalizer = Tokenizer.from_file(path).normalizer
+    folds = normalizer is not None and normalizer.normalize_str("THE") == "the"
+    return LOWER if folds else np.arange(256, dtype=np.uint8)
+
+
+def runs(texts: pa.Array, alike: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, hash, start, end) of the runs of a batch, and the offsets of the texts."""
     data, offsets = buffers(texts)
     if b"<|" in data.tobytes():
@@ -89,7 +99,7 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     reach = np.append(starts[1:], len(data))
     place = np.arange(len(data), dtype=np.int64)
     place[starts[0] :] -= np.repeat(starts, reach - starts)
-    terms = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
+    terms = (alike[data].astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
     terms[~inside] = 0
     sizes = np.add.reduceat(inside, starts, dtype=np.int64)
     return data, mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64)), starts, starts + sizes, np.searchsorted(starts, offsets)
@@ -97,7 +107,7 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch of texts, each with the end id, and the offsets of the texts."""
-    data, hashes, starts, ends, offsets = runs(texts)
+    data, hashes, starts, ends, offsets = runs(texts, _byte_map(path))
     keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
     store = _memo(path)
     rows = store.rows_of(keys, data, starts[one], ends[one])
