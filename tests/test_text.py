@@ -136,3 +136,27 @@ def test_one_pass_over_keys_equals_a_search_for_each(spark):
     scored = rows.select("t", T._scored(F.col("t"), words, lambda s: s["n"] >= 1).alias("r")).collect()
     counts = {t: {r: sum(k in t for k in ks) for r, ks in words.items()} for t in texts if t is not None}
     assert {r.t: r.r for r in scored if r.t is not None} == {t: max(c, key=lambda r: (c[r], -list(words).index(r))) if max(c.values()) else None for t, c in counts.items()}
+
+
+def test_each_landed_feed_gives_its_first_items(spark, tmp_path):
+    (tmp_path / "source=Wire").mkdir()
+    for name in ("a", "b"):
+        items = "".join(f"<item><title>{name}{k}</title><link>http://{name}/{k}</link></item>" for k in range(50))
+        (tmp_path / "source=Wire" / f"{name}.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")  # a file is read in parts
+    try:
+        got = [r.title for r in R.feed_items(spark, str(tmp_path), 30).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted(f"{name}{k}" for name in "ab" for k in range(30))
+
+
+def test_broken_payloads_go_to_quarantine_and_are_counted(spark, tmp_path):
+    good = json.dumps({"Result": [{"id": 1, "side_a": "A", "where_description": "Goma", "country": "DR Congo", "date_start": "2024-06-01", "best": 30}]})
+    (tmp_path / "e.json").write_text(good + "\n" + good[:40] + "\n" + '{"Result": 7}' + "\n")
+    assert R.conflict_events(spark, str(tmp_path), "2024-06-04").count() == 1
+    assert sorted(r.record for r in R.quarantine(spark, R.DEATHS, str(tmp_path)).collect()) == sorted([good[:40], '{"Result": 7}'])
+    reports = R.conflict_events(spark, str(tmp_path), "2024-06-04")
+    new, metrics = R.observed(reports.unionByName(reports.withColumn("source_url", F.lit("known"))), "run", spark.createDataFrame([("known",)], "source_url string"))
+    assert new.count() == 1
+    assert metrics.get == {"seen": 2, "skipped": 1, "flagged": 0}

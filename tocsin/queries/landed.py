@@ -329,3 +329,24 @@ def inserted_by_source(spark, d):
     """What each source of a run adds, the first to bring an address having it, and the total."""
     rows = _payload(spark, d).select("id", (F.col("id") % 400).alias("key"))
     return R.counted_fan_in({"first": rows.where("id % 3 = 0"), "second": rows, "none": rows.limit(0)}, ["key"], rows.where("key < 50"))
+
+
+def _broken(spark, d) -> str:
+    """Payloads of one event each, by source; every thirteenth is cut off in the middle."""
+    rows = _payload(spark, d)
+    line = F.to_json(F.struct(F.array(F.struct(F.col("id").cast("int").alias("id"), F.col("t").alias("conflict_name"), F.col("day").cast("string").alias("date_start"))).alias("Result")))
+    path = shared_path(spark, "broken")
+    rows.select("source", F.when(F.col("id") % 13 == 0, F.concat(F.substring(line, 1, 30), F.lit("#"), F.col("id"))).otherwise(line).alias("value")).write.partitionBy("source").text(path)
+    return path
+
+
+@query(f"WITH {PAY} SELECT source, count(*) AS payloads, count(*) FILTER (id % 13 = 0) AS errors FROM pay GROUP BY source")
+def payload_errors(spark, d):
+    """Payloads of each source and how many of them can't be read."""
+    return R.payload_counts(spark, R.DEATHS, _broken(spark, d), "source")
+
+
+@query(f"WITH {PAY} SELECT CAST(id AS VARCHAR) AS id FROM pay WHERE id % 13 = 0")
+def quarantined_payloads(spark, d):
+    """The payloads that can't be read, by the number at their end."""
+    return R.quarantine(spark, R.DEATHS, _broken(spark, d)).select(F.substring_index("record", "#", -1).alias("id"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions import dims
@@ -67,9 +67,50 @@ def capped(rows: DataFrame, group: str, order: str, cap: int) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str, cap: int) -> DataFrame:
-    """source, title, link, description and pubDate of each feed's first cap items, in feed order."""
-    rows = spark.read.format("xml").option("rowTag", "item").schema(RSS).load(path).withColumn("n", F.monotonically_increasing_id())
-    return capped(rows, "source", "n", cap).drop("n")
+    """source, title, link, description and pubDate of the first cap items of each landed feed (a file), in the order of the file."""
+    rows = spark.read.format("xml").option("rowTag", "item").schema(RSS).load(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))  # rises with the place in a file, whichever task reads which part
+    return capped(rows.withColumns({"feed": F.col("_metadata.file_path"), "place": place}), "feed", "place", cap).drop("feed", "place")
+
+
+BROKEN = "_corrupt_record"
+
+
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """Each line of the files as a payload: its fields, the columns that the path tells, the file, and the line itself where it can't be read."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    told = [c for c in lines.columns if c != "value"]
+    parsed = F.from_json("value", f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return lines.select(parsed.alias("p"), *told, F.col("_metadata.file_path").alias("file")).select("p.*", *told, "file")
+
+
+def payloads(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """JSON payloads that can be read; the others are in quarantine."""
+    return _read(spark, schema, path).where(F.col(BROKEN).isNull()).drop(BROKEN, "file")
+
+
+def quarantine(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """file and record of the payloads that can't be read."""
+    return _read(spark, schema, path).where(F.col(BROKEN).isNotNull()).select("file", F.col(BROKEN).alias("record"))
+
+
+def payload_counts(spark: SparkSession, schema: str, path: str, by: str) -> DataFrame:
+    """by, payloads, errors: how many payloads of each value of a column (or partition) there are, and how many can't be read, in one pass."""
+    return _read(spark, schema, path).groupBy(by).agg(F.count("*").alias("payloads"), F.count(BROKEN).alias("errors"))
+
+
+def observed(reports: DataFrame, name: str, known: DataFrame | None = None, keys: tuple[str, ...] = ("source_url",)) -> tuple[DataFrame, Observation]:
+    """(reports to insert, metrics of them): seen, skipped (known already) and flagged (level 4 and over), counted while the rows go by.
+
+    The metrics are there when the reports have been written, at no pass of their own.
+    """
+    metrics = Observation(name)
+    if known is not None:
+        marked = reports.join(known.select(*keys).distinct().withColumn("known", F.lit(True)), list(keys), "left")
+    else:
+        marked = reports.withColumn("known", F.lit(None).cast("boolean"))
+    counted = marked.observe(metrics, F.count("*").alias("seen"), F.count("known").alias("skipped"), F.count_if((F.col("escalation_level") >= 4) & F.col("known").isNull()).alias("flagged"))
+    return counted.where("known is null").drop("known"), metrics
 
 
 def rss_items(
@@ -113,7 +154,7 @@ def _regions_of(spark: SparkSession, countries: dict[str, list[str]], most: int
 
 def humanitarian_reports(spark: SparkSession, path: str, today: str, verdicts: DataFrame | None = None) -> DataFrame:
     """Reports asked for by country (country=...): the region is that of the country, of which each region asks for two."""
-    f = spark.read.schema(HUMANITARIAN).json(path).select("country", F.explode("data.fields").alias("f")).join(F.broadcast(_regions_of(spark, dims.REPORT_COUNTRIES, 2)), "country")
+    f = payloads(spark, HUMANITARIAN, path).select("country", F.explode("data.fields").alias("f")).join(F.broadcast(_regions_of(spark, dims.REPORT_COUNTRIES, 2)), "country")
     rows = f.select(F.col("f.title").alias("title"), T.clean_html(F.col("f.body")).alias("body"), F.col("f.url.canonical").alias("source_url"), T.lenient_date(F.col("f.date.created")).alias("date"), F.concat(F.coalesce(F.get("f.source", 0)["name"], F.lit("ReliefWeb")), F.lit(" (OCHA)")).alias("source_name"), "region")
     rows = gated(rows.where(_has("title", "source_url")), F.col("title"), F.col("body"), verdicts)
     return _report(rows.withColumn("description", T.extract_brief(F.col("body"))), F.concat("title", F.lit(". "), F.substring("body", 1, 300)))
@@ -121,7 +162,7 @@ def humanitarian_reports(spark: SparkSession, path: str, today: str, verdicts: D
 
 def situation_reports(spark: SparkSession, path: str, today: str) -> DataFrame:
     """Situation reports: region by the loose detector from title and country; no gate."""
-    f = spark.read.schema(HUMANITARIAN).json(path).select(F.explode("data.fields").alias("f"))
+    f = payloads(spark, HUMANITARIAN, path).select(F.explode("data.fields").alias("f"))
     rows = f.select(F.col("f.title").alias("title"), F.col("f.url.canonical").alias("source_url"), F.coalesce(T.lenient_date(F.col("f.date.created")), _day(today)).alias("date"), F.coalesce("f.primary_country.name", F.lit("")).alias("country"))
     rows = rows.where(_has("title", "source_url")).withColumns({"region": T.detect_loosely(F.concat_ws(" ", "title", "country")), "description": F.concat(F.lit("OCHA Situation Report — "), "country"), "source_name": F.lit("UNOCHA Situation Report")})
     return _report(rows, F.substring("title", 1, 400))
@@ -129,7 +170,7 @@ def situation_reports(spark: SparkSession, path: str, today: str) -> DataFrame:
 
 def newspaper_reports(spark: SparkSession, path: str, today: str, verdicts: DataFrame | None = None) -> DataFrame:
     """Search results of a newspaper (region=...): the region is the one asked for."""
-    f = spark.read.schema(NEWSPAPER).json(path).select("region", F.explode("response.results").alias("f"))
+    f = payloads(spark, NEWSPAPER, path).select("region", F.explode("response.results").alias("f"))
     rows = f.select(F.col("f.webTitle").alias("title"), F.coalesce("f.fields.trailText", F.lit("")).alias("body"), F.col("f.webUrl").alias("source_url"), F.coalesce(T.lenient_date(F.col("f.webPublicationDate")), _day(today)).alias("date"), F.lit("The Guardian").alias("source_name"), "region")
     rows = gated(rows.where(_has("title", "source_url")), F.col("title"), F.col("body"), verdicts)
     return _report(rows.withColumn("description", T.extract_brief(F.col("body"))), F.substring(F.concat("title", F.lit(". "), "body"), 1, 400))
@@ -138,14 +179,14 @@ def newspaper_reports(spark: SparkSession, path: str, today: str, verdicts: Data
 def news_reports(spark: SparkSession, path: str, today: str, days: int = 7) -> DataFrame:
     """World news: the first eight digits as the date, else today; region from the title alone; no gate."""
     day = _day(today)
-    f = spark.read.schema(NEWS).json(path).select(F.explode("articles").alias("f")).select("f.*").where(_has("title", "url"))
+    f = payloads(spark, NEWS, path).select(F.explode("articles").alias("f")).select("f.*").where(_has("title", "url"))
     rows = f.select("title", F.substring(_or_empty("seendate"), 1, 280).alias("description"), F.coalesce(F.try_to_date(F.substring("seendate", 1, 8), "yyyyMMdd"), day).alias("date"), F.col("url").alias("source_url"), F.concat(F.lit("GDELT ("), _or_empty("domain"), F.lit(")")).alias("source_name"), T.detect_region(F.col("title")).alias("region"))
     return _report(rows.where(F.col("date") >= F.date_sub(day, days)), F.substring("title", 1, 400))
 
 
 def conflict_events(spark: SparkSession, path: str, today: str, days: int = 180) -> DataFrame:
     """Events of paged conflict JSON: title from a template, level from deaths, both sides as actors; no gate."""
-    e = spark.read.schema(DEATHS).json(path).select(F.explode("Result").alias("e")).select("e.*")
+    e = payloads(spark, DEATHS, path).select(F.explode("Result").alias("e")).select("e.*")
     e = e.withColumns({c: _or_empty(c) for c in ("conflict_name", "side_a", "side_b", "country")}).withColumn("place", F.coalesce(F.nullif("where_description", F.lit("")), "adm_1", F.lit(""))).withColumn("deaths", F.coalesce("best", F.lit(0)))
     title = F.format_string("%s: %s vs %s in %s, %s", F.coalesce(F.nullif("conflict_name", F.lit("")), F.lit("Armed clash")), "side_a", "side_b", "place", "country")
     rows = e.withColumns({"title": title, "description": F.format_string("%d deaths. UCDP verified.", "deaths"), "date": T.lenient_date(F.col("date_start")), "source_url": F.concat(F.lit("https://ucdp.uu.se/event/"), F.coalesce(F.col("id").cast("string"), F.lit(""))), "source_name": F.lit("UCDP (Uppsala University)")})
@@ -156,7 +197,7 @@ def conflict_events(spark: SparkSession, path: str, today: str, days: int = 180)
 def fatality_events(spark: SparkSession, path: str, today: str, days: int = 35) -> DataFrame:
     """Events asked for by region (region=...), of the last days: category by type, level from deaths and type, an address from what is known."""
     day = _day(today)
-    e = spark.read.schema(FATALITIES).json(path).select("region", F.explode("data").alias("e")).select("region", "e.*")
+    e = payloads(spark, FATALITIES, path).select("region", F.explode("data").alias("e")).select("region", "e.*")
     e = e.withColumns({c: _or_empty(c) for c in ("event_type", "actor1", "actor2", "country", "location", "notes")}).withColumns({"date": F.coalesce(T.lenient_date(F.col("event_date")), day), "deaths": F.coalesce(F.col("fatalities").try_cast("int"), F.lit(0))})
     title = F.format_string("%s in %s, %s", F.coalesce(F.nullif("sub_event_type", F.lit("")), "event_type"), "location", "country")
     url = F.concat(F.lit("https://acleddata.com/data/?country="), F.replace("country", F.lit(" "), F.lit("+")), F.lit("#"), _or_empty("event_date"), F.lit("-"), F.replace("location", F.lit(" "), F.lit("")))
