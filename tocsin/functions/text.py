@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tocsin.functions import dims
 
@@ -62,57 +65,42 @@ def dates_close(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)) <= 1, F.lit(True))
 
 
-def one_pass(keys: list[str]) -> str:
-    """A pattern that stands for all keys at once: their prefix tree, so a text is gone through once, however many keys there are.
+@lru_cache(maxsize=32)
+def _automaton(keys: tuple[str, ...]):
+    """All keys as one automaton: a text is gone through once, however many there are."""
+    import ahocorasick
 
-    It matches the longest key at a place; the keys that are beginnings of that one are there as well.
-    """
-    tree: dict = {}
-    for key in keys:
-        node = tree
-        for c in key:
-            node = node.setdefault(c, {})
-        node[""] = {}
-
-    def written(node: dict) -> str:
-        branches = []
-        for c, below in sorted(node.items()):
-            if c:
-                branches.append((c if c.isalnum() else "\\" + c) + written(below))
-        if not branches:
-            return ""
-        inner = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
-        return inner + ("?" if "" in node else "")
-
-    return written(tree)
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for n, key in enumerate(keys):
+        if key not in out:  # the first of equal ones
+            out.add_word(key, n)
+    out.make_automaton()
+    return out
 
 
-def _met(text: Column, keys: list[str]) -> Column:
-    """The distinct longest keys at the places of the text; null for a null text."""
-    firsts = "".join(sorted({k[0] if k[0].isalnum() else "\\" + k[0] for k in keys}))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{firsts}])(?=({one_pass(keys)}))"), F.lit(1)))
+def _first_key(keys: tuple[str, ...]):
+    @F.pandas_udf(IntegerType())
+    def first(texts: pd.Series) -> pd.Series:
+        find = _automaton(keys).iter
+        return pd.Series([min((n for _, n in find(t)), default=None) if t else None for t in texts], dtype="Int32")
 
+    return first
 
-def _looked_up(met: Column, values: dict[str, object], kind: str) -> Column:
-    """The value of each met key."""
-    table = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind) if not isinstance(v, list) else F.array(*[F.lit(i) for i in v]).cast(kind))])
-    return F.transform(met, lambda k: F.element_at(table, k))
 
+def _all_keys(keys: tuple[str, ...]):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def found(texts: pd.Series) -> pd.Series:
+        find = _automaton(keys).iter
+        return pd.Series([sorted({n for _, n in find(t)}) if t else [] for t in texts], dtype=object)
 
-def _beginnings(keys: list[str]) -> dict[str, list[str]]:
-    """For each key the keys that it begins with, itself included."""
-    known = set(keys)
-    return {k: [k[:n] for n in range(1, len(k) + 1) if k[:n] in known] for k in known}
+    return found
 
 
 def _first_contained(text: Column, pairs: list[tuple[str, object]]) -> Column:
-    """The value of the first pair whose key the text contains, else null."""
-    rank: dict[str, int] = {}
-    for n, (key, _) in enumerate(pairs):
-        rank.setdefault(key, n)
-    best = {k: min(rank[x] for x in below) for k, below in _beginnings(list(rank)).items()}
-    place = F.array_min(_looked_up(_met(text, list(rank)), best, "int"))
-    return F.get(F.array(*[F.lit(v) for _, v in pairs]), place)
+    """The value of the first pair whose key the text contains, else null. (In no lambda: the search runs on Arrow batches.)"""
+    keys = tuple(dict.fromkeys(k for k, _ in pairs))
+    value = dict(reversed(pairs))
+    return F.get(F.array(*[F.lit(value[k]) for k in keys]), _first_key(keys)(text))
 
 
 def _exact(text: Column, mapping: dict[str, str]) -> Column:
@@ -123,69 +111,60 @@ def _exact(text: Column, mapping: dict[str, str]) -> Column:
 def canonicalize(value: Column) -> Column:
     """Region name (any case), else exact term, else the longest term contained, else null."""
     named = {r.lower(): r for r in dims.REGIONS}
-    return _once(F.lower(F.trim(value)), lambda low: F.coalesce(_exact(low, named), _exact(low, dims.TERMS), _first_contained(low, dims.terms())))
+    low = F.lower(F.trim(value))
+    return F.coalesce(_exact(low, named), _exact(low, dims.TERMS), _first_contained(low, dims.terms()))
 
 
 def resolve(*texts: Column) -> Column:
     """The region of the longest term in the joined texts, else null."""
-    return _once(F.lower(F.concat_ws(" ", *texts)), lambda low: _first_contained(low, dims.terms()))
+    return _first_contained(F.lower(F.concat_ws(" ", *texts)), dims.terms())
 
 
 def _scored(low: Column, keywords: dict[str, list[str]], least: Callable[[Column], Column]) -> Column:
     """The region with most keywords in the text, the first on ties, among those whose count passes."""
-    numbered = [(word, rank) for rank, words in enumerate(keywords.values()) for word in words]
-    of_word: dict[str, list[int]] = {}
-    for n, (word, _) in enumerate(numbered):
-        of_word.setdefault(word, []).append(n)
-    below = {k: [n for x in begin for n in of_word[x]] for k, begin in _beginnings(list(of_word)).items()}
-    hits = F.array_distinct(F.flatten(_looked_up(_met(low, list(of_word)), below, "array<int>")))
-    ends, at = [], 0
-    for words in keywords.values():
-        ends.append((at, at + len(words)))
-        at += len(words)
+    keys = tuple(dict.fromkeys(k for words in keywords.values() for k in words))
+    place = {k: n for n, k in enumerate(keys)}
 
     def best(found: Column) -> Column:
-        among = lambda a, b: F.size(F.filter(found, lambda n: (n >= a) & (n < b)))
-        scores = [F.struct(among(*end).alias("n"), F.lit(-rank).alias("rank"), F.lit(region).alias("region")) for rank, (region, end) in enumerate(zip(keywords, ends, strict=True))]
+        among = lambda words: F.size(F.array_intersect(found, F.array(*[F.lit(place[k]) for k in words])))
+        scores = [F.struct(among(words).alias("n"), F.lit(-rank).alias("rank"), F.lit(region).alias("region")) for rank, (region, words) in enumerate(keywords.items())]
         return F.array_max(F.filter(F.array(*scores), least))["region"]
 
-    return _once(hits, best)
+    return _once(_all_keys(keys)(low), best)
 
 
 def score_regions(text: Column, least: int = 2) -> Column:
     """The region with most keywords if there are at least so many."""
-    return _once(F.lower(_text(text)), lambda low: _scored(low, dims.KEYWORDS, lambda s: s["n"] >= least))
+    return _scored(F.lower(_text(text)), dims.KEYWORDS, lambda s: s["n"] >= least)
 
 
 def detect_region(text: Column) -> Column:
     """The region of the first alias in their own order, else of most keywords if there are two."""
-    return _once(F.lower(_text(text)), lambda low: F.coalesce(_first_contained(low, list(dims.ALIASES.items())), _scored(low, dims.KEYWORDS, lambda s: s["n"] >= 2)))
+    low = F.lower(_text(text))
+    return F.coalesce(_first_contained(low, list(dims.ALIASES.items())), _scored(low, dims.KEYWORDS, lambda s: s["n"] >= 2))
 
 
 def detect_loosely(text: Column) -> Column:
     """The region of most keywords of the older list, one is enough."""
-    return _once(F.lower(_text(text)), lambda low: _scored(low, dims.LOOSE_KEYWORDS, lambda s: s["n"] >= 1))
+    return _scored(F.lower(_text(text)), dims.LOOSE_KEYWORDS, lambda s: s["n"] >= 1)
 
 
 def detect_with_hint(text: Column, hint: Column) -> Column:
     """Aliases in text and hint, else two keywords; one is enough for a region that has the hint among its keywords."""
     named = F.lower(_text(hint))
     hinted = F.array_compact(F.array(*[F.when(named.isin(*words), F.lit(region)) for region, words in dims.LOOSE_KEYWORDS.items()]))
-
-    def found(low: Column) -> Column:
-        return F.coalesce(_first_contained(low, list(dims.STRICT_ALIASES.items())), _scored(low, dims.LOOSE_KEYWORDS, lambda s: (s["n"] >= 2) | ((s["n"] == 1) & F.array_contains(hinted, s["region"]))))
-
-    return _once(F.lower(F.concat(_text(text), F.lit(" "), _text(hint))), found)
+    low = F.lower(F.concat(_text(text), F.lit(" "), _text(hint)))
+    return F.coalesce(_first_contained(low, list(dims.STRICT_ALIASES.items())), _scored(low, dims.LOOSE_KEYWORDS, lambda s: (s["n"] >= 2) | ((s["n"] == 1) & F.array_contains(hinted, s["region"]))))
 
 
 def detect_exercise_region(text: Column) -> Column:
     """The first region with any of its exercise keywords, else null: a report without one is to be left out."""
-    return _once(F.lower(_text(text)), lambda low: _first_contained(low, [(k, region) for region, words in dims.EXERCISE_KEYWORDS.items() for k in words]))
+    return _first_contained(F.lower(_text(text)), [(k, region) for region, words in dims.EXERCISE_KEYWORDS.items() for k in words])
 
 
 def any_word(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words occurs in the lower-cased text."""
-    return F.lower(_text(text)).rlike(one_pass(list(words)))
+    return _first_key(tuple(words))(F.lower(_text(text))).isNotNull()
 
 
 def is_security(title: Column, description: Column) -> Column:
