@@ -2,8 +2,8 @@
 
 Kernel.  A word (with a space on either side) is the vector of its three-byte
 subsequences that span at most five bytes; one of span s weighs ``DECAY**(s-3)``,
-so ``idioot`` and ``idxiot`` keep much of what ``idiot`` has.  ASCII punctuation
-in a word is skipped, as in ``i-d-i-o-t``.  The kernel of
+so ``idioot`` keeps much of what ``idiot`` has; a strange letter in the middle, as in
+``idxiot``, costs most of it.  ASCII punctuation in a word is skipped, as in ``i-d-i-o-t``.  The kernel of
 two words is the cosine of their vectors.
 
 Training.  Labelled documents give labelled sentences of words: all words of a
