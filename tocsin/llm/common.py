@@ -45,6 +45,15 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver drop its garbage, and with it the shuffle files and broadcasts of plans that nobody holds any more.
+
+    For long series of small jobs: their plans would fill the driver's heap to its end before it collects by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
     """run for mapInArrow; when a task ends, what its worker has remembered is dropped and free memory goes back to the system.
 
@@ -115,6 +124,7 @@ def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> Da
         large = _with_minimum(both, salts).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = _with_minimum(large, salts)
         now = cut(star.select("u", F.col("m").alias("v")).unionByName(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        tidy(spark)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             break

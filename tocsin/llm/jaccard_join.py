@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import connected_components, cut, id_filter, released, slices
+from tocsin.llm.common import connected_components, cut, id_filter, released, slices, tidy
 from tocsin.llm.shingles import distinct, mix, shingles, sort_within, words
 
 WORDS = 5
@@ -324,6 +324,7 @@ class Computed:
             self.sets = more if self.sets is None else self.sets.unionByName(more)
             self.fetched = wanted.select("sig") if self.fetched is None else self.fetched.unionByName(wanted.select("sig"))
         tested = _compute(screened, self.sets)
+        tidy(self.lead.sparkSession)
         named = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked", "far", "exact")
         self.all = named if self.all is None else self.all.unionByName(named)
         return tested
