@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 
@@ -144,6 +145,22 @@ def test_other_scorers(spark):
     assert [(r.a, r.b) for r in found.collect()] == [(1, 2)]
 
 
+def test_difflib_sees_few_pairs(monkeypatch):
+    rng = random.Random(2)
+    words = ["alpha", "bravo", "ÄÖ", "x", "the", "the", "carbon"]
+    texts = ["", " ", "a", "漢字 a", "İstanbul ist", "the " * 80] + [" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(60)] + ["".join(rng.choices("abcdefghij klmnopqrstuvwxyz", k=100)) for _ in range(60)]
+    x, y = np.triu_indices(len(texts), 1)
+    ordered = lambda t: " ".join(sorted(t.lower().split()))
+    want = np.array([100 * max(SequenceMatcher(None, texts[i].lower(), texts[j].lower()).ratio(), SequenceMatcher(None, ordered(texts[i]), ordered(texts[j])).ratio()) for i, j in zip(x, y, strict=True)])
+    for least in (40.0, 70.0, 100.0):
+        assert np.array_equal(fuzzy.sequence_scores(texts, x, y, least), np.where(want >= least, want, 0))
+    seen = []
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *a: seen.append(a) or SequenceMatcher(*a))
+    far = x >= 66  # characters at random: like quantities, other orders
+    fuzzy.sequence_scores(texts, x[far], y[far], 70.0)
+    assert far.sum() == 1770 and len(seen) < 20
+
+
 def test_late_reports_revise_their_component(spark):
     rng = random.Random(9)
     words = ["alpha", "bravo", "carbon", "delta", "echo"]
