@@ -49,7 +49,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again, with n_pieces, score and ids_crc32 of its best segmentation added."""
+    """Every text encoded and decoded again from its n best segmentations: their scores, and n_pieces, score and ids_crc32 of the best one, are added."""
     return encode_and_decode(docs)
 
 

@@ -1,11 +1,14 @@
 """The corpus pipeline's stages: defined cases, columns, and results against brute force."""
 
 import re
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import shingle_set, text
+from tocsin.llm import sentencepiece_nbest
 
 EXTRA = ("score", "predicted", "digits", "base", "spans", "added", "picked", "m_email", "row", "key", "sig", "label", "stays", "own_id", "n_pieces", "ids_crc32", "c", "bucket")
 ITEM = " ".join(text(77, 30).split())
@@ -121,6 +124,19 @@ def test_sentencepiece_stage(spark, docs, sf_dir):
     assert all(got[k].text == r[1] and (got[k].n_pieces_ > 0) == bool(r[1]) for k, r in enumerate(rows()))
 
 
+def test_sentencepiece_stage_searches_the_n_best(spark, docs, sf_dir):
+    got = {r.source: r for r in STAGES["sentencepiece"](spark, docs, sf_dir).collect()}
+    n_best = {}
+    for r in sentencepiece_nbest.encode_nbest(docs.selectExpr("cast(substr(source, 2) as long) as doc_id", "text")).collect():
+        n_best.setdefault(r.doc_id, []).append((r["rank"], r.score, r.ids))
+    assert len(got) == len(n_best) and any(len(r.nbest_scores) == 4 for r in got.values())
+    for k, paths in n_best.items():
+        paths.sort(key=lambda p: p[0])
+        mine = got[f"{docs.first().source[0]}{k}"]
+        assert mine.nbest_scores == [s for _, s, _ in paths] and mine.score_ == paths[0][1]
+        assert mine.n_pieces_ == len(paths[0][2]) and mine.ids_crc32_ == zlib.crc32(np.array(paths[0][2], dtype="<u4").tobytes())
+
+
 def test_run_is_the_stages_in_order(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

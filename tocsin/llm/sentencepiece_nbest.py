@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tocsin.llm.common import free_name, released, slices
 from tocsin.llm.memo import Memo, ragged
@@ -397,26 +397,35 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, f"{kept}, text string")
 
 
-def encode_and_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """docs with each text decoded from its best segmentation, and that segmentation's n_pieces, score and ids_crc32.
+def encode_and_decode(docs: DataFrame, model: str | None = None, n: int = NBEST) -> DataFrame:
+    """docs with each text decoded from the best of its n best segmentations, with that one's n_pieces, score and ids_crc32.
 
+    The segmentations come from the backward search, as in ``encode_nbest``; nbest_scores holds their scores, best first.
     All columns stay; an added one whose name is taken gets an underscore. A null text stays null.
     """
     model = model or default_model()
     names = docs.columns
-    added = [free_name(c, names) for c in ("n_pieces", "score", "ids_crc32")]
+    nbest, *added = [free_name(c, names) for c in ("nbest_scores", "n_pieces", "score", "ids_crc32")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
         for big in batches:
             for batch in slices(big, 1024, most=SLICE):
                 e = Encoded(batch["text"], model)
-                data, places = e.decoded()
                 valid = batch["text"].is_valid().to_pylist()
-                text = [data[a + 1 : b].tobytes().decode("utf-8", "replace") if ok else None for a, b, ok in zip(places[:-1], places[1:], valid, strict=True)]
-                crc = [zlib.crc32(e.ids[a:b].astype("<u4").tobytes()) for a, b in zip(e.bounds[:-1], e.bounds[1:], strict=True)]
+                text, sizes, crc, scores = [], [], [], []
+                for i, ok in enumerate(valid):
+                    paths = e.nbest(i, n)
+                    ids = e.path(i, paths[0][1])
+                    data, _ = ragged(p.flat, p.edges, ids)
+                    text.append(data[1:].tobytes().decode("utf-8", "replace") if ok else None)
+                    sizes.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    scores.append([s for s, _ in paths])
                 kept = [pa.array(text, pa.string()) if c == "text" else batch[c] for c in names]
-                yield pa.record_batch([*kept, pa.array(np.diff(e.bounds), pa.int64()), pa.array(e.best, pa.float64()), pa.array(crc, pa.int64())], names=[*names, *added])
+                best = [s[0] for s in scores]
+                yield pa.record_batch([*kept, pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.array(crc, pa.int64())], names=[*names, nbest, *added])
 
     source = docs.withColumn("text", F.col("text").cast("string"))
-    out = StructType([*source.schema.fields, StructField(added[0], LongType()), StructField(added[1], DoubleType()), StructField(added[2], LongType())])
+    out = StructType([*source.schema.fields, StructField(nbest, ArrayType(DoubleType())), StructField(added[0], LongType()), StructField(added[1], DoubleType()), StructField(added[2], LongType())])
     return source.mapInArrow(released(run, forget), out)
