@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tocsin.queries import ORACLE_SQL, QUERIES
+from tocsin.queries import ORACLE_SQL, QUERIES, landed
 
 
 def by_sql(name, tables):
@@ -19,3 +19,14 @@ def test_seeds_are_counted_where_none_is_new(spark, tmp_path, rows):
     got = QUERIES["seeded_exercises"](spark, str(tmp_path))
     assert got.dtypes == [("origin", "string"), ("n", "bigint")]
     assert sorted(map(tuple, got.collect())) == by_sql("seeded_exercises", {"part": f"{tmp_path}/part.parquet"})
+
+
+def test_a_large_feed_is_no_single_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landed, "PAGE", 40)
+    rows = [(k, f"Report of shelling near Kyiv, number {k}. It was long enough to be a sentence.", f"S{k % 2}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    feeds = landed._feeds(spark, landed._payload(spark, str(tmp_path)))
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(feeds).count() == 20
+    for name in ("trusted_items", "trusted_counts", "regional_feeds"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == by_sql(name, {"documents": f"{tmp_path}/documents.parquet"})

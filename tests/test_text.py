@@ -151,6 +151,21 @@ def test_each_landed_feed_gives_its_first_items(spark, tmp_path):
     assert sorted(got) == sorted(f"{name}{k}" for name in "ab" for k in range(30))
 
 
+def test_a_feed_in_pages_gives_its_first_items(spark, tmp_path):
+    for page, size in ((2, 50), (10, 50), (0, 10)):
+        folder = tmp_path / "source=Wire" / f"page={page}"
+        folder.mkdir(parents=True)
+        folder.joinpath("a.xml").write_text("<rss><channel>" + "".join(f"<item><title>{page}-{k}</title></item>" for k in range(size)) + "</channel></rss>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        rows = R.feed_items(spark, str(tmp_path), 30)
+        got = [r.title for r in rows.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == sorted([f"0-{k}" for k in range(10)] + [f"2-{k}" for k in range(20)])
+    assert set(rows.columns) == {"title", "link", "description", "pubDate", "source"}
+
+
 def test_broken_payloads_go_to_quarantine_and_are_counted(spark, tmp_path):
     good = json.dumps({"Result": [{"id": 1, "side_a": "A", "where_description": "Goma", "country": "DR Congo", "date_start": "2024-06-01", "best": 30}]})
     (tmp_path / "e.json").write_text(good + "\n" + good[:40] + "\n" + '{"Result": 7}' + "\n")
