@@ -3,11 +3,14 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from tocsin.functions import text as T
 from tocsin.operators import sinks as S
+from tocsin.operators import views as V
 from tocsin.sources import feeds as R
 from tocsin.streaming.ingest import append_new
 
@@ -138,6 +141,35 @@ def test_one_pass_over_keys_equals_a_search_for_each(spark):
     assert {r.t: r.r for r in scored if r.t is not None} == {t: max(c, key=lambda r: (c[r], -list(words).index(r))) if max(c.values()) else None for t, c in counts.items()}
 
 
+def test_of_a_batch_little_is_strings_at_once(monkeypatch):
+    texts = pa.array(["x" * 700_000, None, "", "y" * 700_000, "é" * 2_000_000, "z"], pa.string())
+    whole, sizes = list(T._in_parts(texts)), []
+    assert whole == texts.to_pylist() and list(T._in_parts(texts.slice(3))) == whole[3:] and list(T._in_parts(texts.slice(0, 0))) == []
+
+    length = pc.binary_length
+
+    class Part:
+        def __init__(self, a):
+            self.a = a
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, at, n):
+            sizes.append(self.a.slice(at, n).nbytes)
+            return self.a.slice(at, n)
+
+    monkeypatch.setattr(T.pc, "binary_length", lambda t: length(t.a))
+    assert list(T._in_parts(Part(texts))) == whole and len(sizes) == 4
+
+
+def test_a_remap_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("a", "in kyiv"), ("Ukraine", "near kyiv"), (None, "kyiv"), ("a", "nowhere"), ("a", "kyiv again")], "old string, t string")
+    out = V.remaps(rows, F.col("old"), T.resolve(F.col("t")))
+    assert [tuple(r) for r in out.collect()] == [("a", "Ukraine", 2), ("a", "(unresolved)", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_each_landed_feed_gives_its_first_items(spark, tmp_path):
     (tmp_path / "source=Wire").mkdir()
     for name in ("a", "b"):

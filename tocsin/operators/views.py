@@ -81,8 +81,9 @@ def cross_verified(rows: DataFrame, today: str, days: int = 7) -> DataFrame:
 
 
 def remaps(rows: DataFrame, old: Column, new: Column, n: int = 20) -> DataFrame:
-    pairs = rows.select(old.alias("old"), F.coalesce(new, F.lit("(unresolved)")).alias("new")).where("old <> new")
-    return pairs.groupBy("old", "new").count().orderBy(F.desc("count"), "old", "new").limit(n).withColumnRenamed("count", "n")
+    pairs = rows.select(old.alias("old"), F.coalesce(new, F.lit("(unresolved)")).alias("new"))
+    counts = pairs.groupBy("old", "new").agg(F.count_if(F.expr("old <> new")).alias("n"))  # counted first: a filter before it would work new out twice
+    return counts.where("n > 0").orderBy(F.desc("n"), "old", "new").limit(n)
 
 
 def remap_totals(rows: DataFrame, old: Column, new: Column) -> DataFrame:
