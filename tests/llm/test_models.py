@@ -124,6 +124,19 @@ def test_language_model_equals_the_plain_one(spark):
     assert got[0] / len(new[0]) > got[2] / len(new[2])
 
 
+def test_first_weights_come_from_all_training_texts(spark):
+    texts = [text(k, 40) for k in range(60)] + ["long " * 40_000, "", None]
+    rows = spark.createDataFrame([(t, True) for t in texts] + [(text(7, 900), False)], "text string, learn boolean")
+    code = language_model.Code(np.full(256, 3))
+    zero, one = language_model.learned_tables(rows, code)
+    got = language_model.learned_weights(rows.repartition(5), code, zero, one)
+    assert got == pytest.approx(language_model.first_weights(code, zero, one, texts), abs=0.003)
+    assert abs(got - language_model.first_weights(code, zero, one, texts[:-3])).max() > 0.02  # a long one counts too
+    assert (language_model.learned_weights(rows.where("not learn"), code, zero, one) == language_model.START).all()
+    big = language_model.packed(np.array([5, 1 << 20], np.uint32), np.array([7, 1 << 18], np.uint32))
+    assert big.tolist() == [5 << 16 | 7, (1 << 15) << 16 | 1 << 13]
+
+
 def test_probabilities_of_the_next_byte_add_up(spark):
     rows = spark.createDataFrame([(text(k, 40), True) for k in range(20)], "text string, learn boolean")
     code = language_model.Code(np.full(256, 3))

@@ -12,8 +12,8 @@ slots, the most frequent ones each in a place of its own.  A predictor answers w
 log odds of its counts.
 Mixing.  The answers are added with weights, one set for each gate (how much the
 longest context and the word pair have been seen), and squashed.  A document begins
-with weights learned on a sample of training text (``SAMPLE_BYTES``, least hash of the
-id first; each byte is predicted without its own occurrence), and from there on its
+with weights learned on all training texts (one Newton step by moments that are summed
+over all their bytes, each predicted without its own occurrence), and from there on its
 weights take a step after every block of its bytes, by the gradient of what they got
 wrong.  Blocks grow from 128 bytes to 8192, so a long text takes few steps.
 Refinement.  A last stage maps the mixed probability to how often such predictions
@@ -45,7 +45,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import crc_bucket, cut, give_back, released, slices
@@ -67,7 +67,6 @@ PRIOR, SCALE = 0.4, 4.0
 FIRST_BLOCK, DOUBLINGS = 128, 6
 RATE, INERTIA, START = 0.35, 32.0, 0.3
 LEVELS, TOP, TRUST = 33, 10.0, 24.0
-SAMPLE_BYTES = 1_500_000
 WINDOW_BYTES, SLICE_BYTES = 1 << 16, 1 << 18
 COMMON = 65_536
 
@@ -315,24 +314,70 @@ def _in_blocks(s: Stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield order[a:b], owner[order[a:b]]
 
 
+LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+
+
+def packed(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Both counts of a slot in 32 bits; those that pass 16 bits are halved together until they fit."""
+    big, shift = np.maximum(zero, one), np.zeros(len(zero), dtype=np.uint32)
+    while ((big >> shift) > 0xFFFF).any():
+        shift += (big >> shift) > 0xFFFF
+    return zero >> shift << np.uint32(16) | one >> shift
+
+
+def moments(code: Code, table: np.ndarray, s: Stream) -> np.ndarray:
+    """[gate, predictor + 1, predictor]: curvature and, last, gradient of the log likelihood at the even weights, over all bytes, each predicted without its own occurrence."""
+    out = np.zeros((GATES, PREDICTORS + 1, PREDICTORS))
+    s.place_segments()
+    owner = np.repeat(np.arange(len(s.texts) - 1, dtype=np.int32), np.diff(s.texts))
+    for a in range(0, len(s.data), WINDOW_BYTES):
+        at = np.arange(a, min(a + WINDOW_BYTES, len(s.data)))
+        slots, bits, _ = code.decisions(s.data[at], s.contexts(at, owner[at]))
+        answers, seen = np.empty((PREDICTORS, len(bits)), dtype=np.float32), {}
+        for k, x in enumerate(slots):
+            both = table.take(x).astype(np.int64)
+            n0, n1 = np.maximum((both >> 16) - (bits == 0), 0), np.maximum((both & 0xFFFF) - (bits == 1), 0)
+            np.clip(LOGS.take(n1) - LOGS.take(n0), -31 / SCALE, 31 / SCALE, out=answers[k])
+            if k in (LONGEST, PAIR):
+                seen[k] = _seen(n0 + n1)
+        p = 1 / (1 + np.exp(-np.clip(np.float32(START) * answers.sum(axis=0), -TOP, TOP)))
+        wrong, curve, gate = (bits - p).astype(np.float64), (p * (1 - p)).astype(np.float64), seen[LONGEST] * 3 + seen[PAIR]
+        for g in range(GATES):
+            mine = np.flatnonzero(gate == g)
+            x = answers[:, mine].astype(np.float64)  # of repeated text the answers hardly differ, which single precision would blur
+            out[g, :-1] += (x * curve[mine]) @ x.T
+            out[g, -1] += x @ wrong[mine]
+    return out
+
+
+def weights_of(sums: np.ndarray) -> np.ndarray:
+    """[gate, predictor]: the even weights after one Newton step by the moments of all texts (rounded: sums may differ in their last places)."""
+    steps = [np.linalg.solve(m[:-1] + INERTIA * np.eye(PREDICTORS), m[-1]) for m in sums]
+    return np.round(np.clip(START + np.array(steps), -1.0, 2.0), 3)
+
+
 def first_weights(code: Code, zero: np.ndarray, one: np.ndarray, texts: list[str]) -> np.ndarray:
-    """[gate, predictor]: weights after a sample of training texts, each byte predicted without its own occurrence."""
-    weights = np.full((GATES, PREDICTORS), START)
-    for text in texts:
-        s = Stream(pa.array([text], pa.large_string()))
-        s.place_segments()
-        mixer = Mixer(1, weights)
-        for at, owner in _in_blocks(s):
-            slots, bits, per = code.decisions(s.data[at], s.contexts(at, owner))
-            answers, counts = [], []
-            for x in slots:
-                n0, n1 = np.maximum(zero[x].astype(np.float32) - (bits == 0), 0), np.maximum(one[x].astype(np.float32) - (bits == 1), 0)
-                answers.append(np.clip(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))), np.float32(-31 / SCALE), np.float32(31 / SCALE)))
-                counts.append(n0 + n1)
-            mixer.block(np.repeat(owner, per), answers, _seen(counts[LONGEST]) * 3 + _seen(counts[PAIR]), bits)
-            mixer.step()
-        weights += (mixer.weights.T - weights) / 4
-    return weights
+    """[gate, predictor]: the weights that texts teach, see ``learned_weights``, which does this for a table."""
+    return weights_of(moments(code, packed(zero, one), Stream(pa.array(texts, pa.large_string()))))
+
+
+def learned_weights(source: DataFrame, code: Code, zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """[gate, predictor]: the weights that all training texts teach; tasks send 270 sums each, which Spark adds up."""
+    shared = source.sparkSession.sparkContext.broadcast(packed(zero, one))  # 26 MB, whatever the corpus
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GATES * (PREDICTORS + 1) * PREDICTORS)
+        for big in batches:
+            for batch in slices(big.filter(big["learn"]), CHUNK, most=1 << 20):
+                total += moments(code, shared.value, Stream(batch["text"])).ravel()
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "value"])
+
+    rows = source.select("text", "learn").mapInArrow(released(run), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    shared.destroy()
+    sums = np.zeros(GATES * (PREDICTORS + 1) * PREDICTORS)
+    for r in rows:
+        sums[r.cell] = r.value
+    return weights_of(sums.reshape(GATES, PREDICTORS + 1, PREDICTORS))
 
 
 class Mixture:
@@ -446,13 +491,6 @@ def learned_tables(source: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarra
     return both[0::2], both[1::2]
 
 
-def _sample(source: DataFrame) -> list[str]:
-    """Training texts of SAMPLE_BYTES in all, least hash of the id first; one longer than a twentieth of that isn't taken."""
-    rows = source.where("learn and text is not null").where(F.octet_length("text").between(1, SAMPLE_BYTES // 20)).select("text", F.xxhash64("doc_id").alias("lot"), F.octet_length("text").alias("size")).orderBy("lot", "text").limit(2000)
-    order = Window.orderBy("lot", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return [r.text for r in rows.withColumn("used", F.sum("size").over(order)).where(F.col("used") <= SAMPLE_BYTES).orderBy("lot", "text").collect()]
-
-
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     spark = docs.sparkSession
@@ -469,7 +507,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         byte_counts[r.byte] = r.n
     code = Code(byte_counts)
     zero, one = learned_tables(source, code)
-    mixture = Mixture(code, zero, one, first_weights(code, zero, one, _sample(source)))
+    mixture = Mixture(code, zero, one, learned_weights(source, code, zero, one))
     del zero, one
     give_back()
     floor = max(1, -(-tokens // COMMON))
