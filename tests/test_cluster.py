@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 
 from tocsin.operators import cluster as C
-from tocsin.operators import fuzzy
+from tocsin.operators import fuzzy, screen
 
 ITEM = "id long, title string, date date, escalation_level int, region string"
 
@@ -208,3 +208,67 @@ def test_rate_gate_equals_a_loop(spark):
         state[key] = recent + [t] * expected[k]
     got = C.accept_rate(spark.createDataFrame(rows, "id long, k long, ts timestamp"), "k", "ts", "id", 2, 3600)
     assert {r.id: r.accepted for r in got.collect()} == expected
+
+
+def _mixed_titles(rng, many):
+    """Titles of one length, shorter and longer ones, near copies, cut ones, repeated words, other letters."""
+    words = [w[:1].upper() + w[1:] if k % 5 == 0 else w for k, w in enumerate("navy ship coast patrol über éclair missile test drill zone border crossing strait fleet sub the of in and at".split())]
+    out = []
+    for k in range(many):
+        t = " ".join(words[i] for i in rng.integers(len(words), size=30))[:60]
+        if k % 4 == 1:
+            t = out[int(rng.integers(len(out)))]
+            cut = int(rng.integers(1, 25))
+            t = (t[cut:] + " " + t[::-1][:cut])[:60] if k % 8 == 1 else (t[::-1][:cut] + t)[:60]
+        if k % 9 == 0:
+            t = t[: int(rng.integers(1, 60))]
+        if k % 31 == 0:
+            t = t + " " + t[:50] + " " + t  # over two words of a lane
+        if k % 11 == 0:
+            t = " ".join(t.split()[:3] * 3)
+        out.append(t.ljust(60, "x") if k % 9 and len(t) < 60 and k % 11 else t)
+    return list(dict.fromkeys(t for t in out if t.strip()))
+
+
+def test_bounds_lose_no_pair():
+    rng = np.random.default_rng(17)
+    titles = _mixed_titles(rng, 420)
+    xs, ys = titles[: len(titles) // 2], titles[len(titles) // 2 :]
+    i, j = np.divmod(np.arange(len(xs) * len(ys)), len(ys))
+    for scorer, bounds, leasts in ((fuzzy.title_scores, screen.title_candidates, (55.0, 70.0, 85.0)), (fuzzy.sequence_scores, screen.sequence_candidates, (70.0,))):
+        for least in leasts:
+            want = scorer(titles, i, j + len(xs), least)
+            a, b, kinds = bounds(xs, ys, least)
+            got = np.zeros(len(want))
+            extra = {"kinds": kinds} if scorer is fuzzy.title_scores else {}
+            got[a * len(ys) + b] = scorer(titles, a, b + len(xs), least, **extra)
+            assert (want > 0).sum() > 100 and np.array_equal(got, want), (scorer, least, np.flatnonzero(got != want)[:5])
+            assert len(a) < 0.9 * len(want)
+
+
+def test_screened_blocks_give_the_plain_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    titles = _mixed_titles(rng, 130) * 3  # each three times
+    rows = [(k, t, "r", 2) for k, t in enumerate(titles)]
+    sides = [(k, t, "r", k % 2) for k, t in enumerate(titles)]
+    for data in (rows, sides):
+        given = spark.createDataFrame(data, "id long, t string, region string, part int")
+        got = {}
+        for least_side, block in ((10**9, 1024), (8, 4096), (8, 100)):
+            monkeypatch.setattr(fuzzy, "SCREENED", least_side)
+            monkeypatch.setattr(fuzzy, "PAIRS", 1 << 20 if least_side > 8 else 1 << 12)
+            # workers import the module anew, so the tasks' function is run here
+            run = fuzzy._scored(["region"], fuzzy.title_scores, 70.0)
+            dealt = []
+            monkeypatch.setattr(type(given), "mapInArrow", lambda df, f, schema: dealt.append(df) or df)
+            fuzzy.block_join(given, ["region"], block=block)
+            monkeypatch.undo()
+            monkeypatch.setattr(fuzzy, "SCREENED", least_side)
+            monkeypatch.setattr(fuzzy, "PAIRS", 1 << 20 if least_side > 8 else 1 << 12)
+            batches = dealt[0].coalesce(1).sortWithinPartitions("region", "i", "j", "part").toArrow().to_batches()
+            found = [(x["a"], x["b"], x["similarity"]) for out in run(iter(batches)) for x in out.to_pylist()]
+            assert len(found) == len(set(found))
+            got[least_side, block] = sorted(found)
+            monkeypatch.undo()
+        assert len(got[10**9, 1024]) > 1000
+        assert got[8, 4096] == got[10**9, 1024] and got[8, 100] == got[10**9, 1024]
