@@ -223,3 +223,19 @@ def test_undated_reports_do_not_weigh(spark):
     rows = [(1, "a title of a report", dt.date(2024, 1, 5), 2, "r"), (2, "a title of a report", None, 5, "r")]
     (r,) = X.daily_weights(spark.createDataFrame(rows, "id long, title string, date date, escalation_level int, region string")).collect()
     assert (r.w, r.n_events, r.n_reports) == (0.3, 1, 1)
+
+
+def test_revision_makes_no_row_for_each_exercise_and_day(spark, monkeypatch):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    kinds = "id long, title string, date date, escalation_level int, region string"
+    old, late = spark.createDataFrame([(1, "a", day(0), 2, "r"), (2, "b", day(9), 3, "r")], kinds), spark.createDataFrame([(3, "c", day(5), 4, "r")], kinds)
+    exercises = spark.createDataFrame([(k, "r", day(k - 900), day(k + 900), 9000 * k, 0.4, "confirmed") for k in range(5)], "id long, region string, start_date date, end_date date, scale int, rhetoric_score double, announcement_status string")
+
+    def joined(*_):
+        raise AssertionError("days and exercises are joined")
+
+    monkeypatch.setattr(X, "exercise_days", joined)
+    daily = X.daily_weights(old)
+    got, _ = X.revised(X.composite_history(old, exercises, daily=daily), daily, old, late, exercises)
+    row = lambda df: sorted(map(repr, df.collect()))
+    assert row(got) == row(X.composite_history(old.unionByName(late), exercises).select(*got.columns))

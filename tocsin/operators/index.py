@@ -192,5 +192,5 @@ def revised(history: DataFrame, daily: DataFrame, incidents: DataFrame, late: Da
     hit = written(around(cells, 0, REACH).unionByName(gained).distinct().join(days, ["region", "date"], "left_semi"), "days")
     needed = around(cells, -REACH, REACH).unionByName(around(gained, -REACH, 0)).distinct().join(days, ["region", "date"], "left_semi")
     gz = with_gz(rolling_load(daily, needed)).join(hit, ["region", "date"], "left_semi")
-    again = _composite(gz, exercise_parts_on(exercises, hit), baselines)
+    again = _composite(gz, exercise_parts(exercises), baselines)  # a running sum: two rows an exercise, however many days are hit
     return history.join(hit, ["region", "date"], "left_anti").unionByName(again.select(*history.columns)), daily
