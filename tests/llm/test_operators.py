@@ -272,3 +272,20 @@ def test_language_model(docs, none):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(x in counts for x in w) + 1, total)
         assert r.base_score == pytest.approx(base) and r.score < 0 and np.isfinite(r.score)
     assert len(got) == len(fixture()) and language_model.lm_scores(none).count() == 0
+
+
+def test_more_edges_go_through_the_tied_components_only(spark, monkeypatch):
+    from tocsin.llm import common
+
+    rng = np.random.default_rng(8)
+    first = [tuple(map(int, rng.integers(60, size=2))) for _ in range(25)]
+    more = [tuple(map(int, rng.integers(60, 90, size=2))) for _ in range(6)] + [tuple(map(int, rng.integers(90, size=2))) for _ in range(8)] + [(3, None), (7, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rows = lambda df: sorted((r.id, r.component) for r in df.collect())
+    labels = common.connected_components(frame(first), "a", "b")
+    assert rows(common.merged_components(labels, frame(more), "a", "b")) == rows(common.connected_components(frame(first + more), "a", "b"))
+    rounds = []
+    plain = common._with_minimum
+    monkeypatch.setattr(common, "_with_minimum", lambda *x: rounds.append(1) or plain(*x))
+    assert rows(common.connected_components(frame([(5, 1), (6, 1), (9, 7)]), "a", "b")) == [(1, 1), (5, 1), (6, 1), (7, 7), (9, 7)] and not rounds
+    assert rows(common.connected_components(frame([(5, 1), (6, 5)]), "a", "b")) == [(1, 1), (5, 1), (6, 1)] and rounds

@@ -50,7 +50,7 @@ def tidy(spark: SparkSession) -> None:
 
     For long series of small jobs: their plans would fill the driver's heap to its end before it collects by itself.
     """
-    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -108,30 +108,45 @@ def _with_minimum(edges: DataFrame, salts: int) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then v is the least id of its component."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    degrees = edges.select(ends.alias("e")).select("e.*").groupBy("x").agg((F.sum("up") + F.when(F.sum("up") > 0, F.max("down")).otherwise(0)).alias("ups"))
+    return (degrees.agg(F.max("ups")).first()[0] or 0) <= 1
+
+
 def connected_components(edges: DataFrame, a: str, b: str, salts: int = 4) -> DataFrame:
     """(id, component) for every id that an edge names; component is its least reachable id.
 
     Alternating large-star and small-star steps: the number of rounds is
     logarithmic in the longest path, and every step is a join whose hubs are
     salted (and a merge join at any size: many small broadcasts would pile up in the
-    driver).  Each round is written to the shared folder, so the lineage stays short.  Edges with a null end and loops are ignored; no edges give no rows.
+    driver).  Each round is written to the shared folder, so the lineage stays short; edges that are stars
+    already take none.  Edges with a null end and loops are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, seen = cut(now, "edges"), None
-    while True:
+    now = cut(now, "edges")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, salts).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = _with_minimum(large, salts)
         now = cut(star.select("u", F.col("m").alias("v")).unionByName(star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         tidy(spark)
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == seen:
-            break
-        seen = state
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def merged_components(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """labels (id, component) of connected_components after more edges: only components that these tie are gone through again."""
+    ends = edges
+    for x in (a, b):
+        ends = ends.join(labels.select(F.col("id").alias(x), F.col("component").alias(f"{x}_of")).hint("merge"), x, "left")
+    ends = ends.select(F.coalesce(f"{a}_of", a).alias("a"), F.coalesce(f"{b}_of", b).alias("b"))
+    tied = connected_components(ends, "a", "b")
+    moved = labels.join(tied.select(F.col("id").alias("component"), F.col("component").alias("now")).hint("merge"), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return cut(moved.unionByName(tied.join(labels.select("id").hint("merge"), "id", "left_anti").select("id", "component")), "labels")
+
+
 def id_filter(ids: DataFrame, column: str, bits: int = 23) -> bytes:
     """A bitmap of 2**bits bits (1 MB by default, whatever the input) with the bit of each id's hash set.
 

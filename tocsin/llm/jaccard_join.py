@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import connected_components, cut, id_filter, released, slices, tidy
+from tocsin.llm.common import connected_components, cut, id_filter, merged_components, released, slices, tidy
 from tocsin.llm.shingles import distinct, mix, shingles, sort_within, words
 
 WORDS = 5
@@ -362,8 +362,8 @@ def _next_pairs(families: DataFrame, used: DataFrame, labels: DataFrame, last: b
 
 def _settle(families: DataFrame, used: DataFrame, computed: Computed) -> DataFrame:
     """Compute what the first leaders' answers leave open; the components (id, component) of all links."""
+    labels = connected_components(computed.links(), "a", "b")
     for turn in range(1, MAX_LEADERS):
-        labels = connected_components(computed.links(), "a", "b")
         for last in (False, True) if turn < MAX_LEADERS - 1 else (True,):  # leaders that leave nothing open don't settle what is loose
             pairs, leaders = _next_pairs(families, used, labels, last)
             pairs = cut(pairs.join(computed.all.select("a", "b").hint("merge"), ["a", "b"], "left_anti").withColumns({"family": F.lit(0), "ahead": F.lit(0)}), "open")
@@ -372,10 +372,12 @@ def _settle(families: DataFrame, used: DataFrame, computed: Computed) -> DataFra
         else:
             return labels
         used = cut(leaders, "leaders")
-        new = computed.add(pairs).where("linked").take(1)
+        new = computed.add(pairs).where("linked")
+        if new.take(1):
+            labels = merged_components(labels, new, "a", "b")
         if last:
             break
-    return connected_components(computed.links(), "a", "b") if new else labels
+    return labels
 
 
 def jaccard_links(docs: DataFrame, null_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
