@@ -325,9 +325,29 @@ def packed(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return zero >> shift << np.uint32(16) | one >> shift
 
 
-def moments(code: Code, table: np.ndarray, s: Stream) -> np.ndarray:
+class Unseen:
+    """What a slot answers to each of its own occurrences, which is left out of its counts: place 2 * slot + branch."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.answers, self.seen = table, None, None
+
+    def spread(self) -> None:
+        """The log odds (53 MB) and how much is seen (13 MB), made once where they are used; only the table of packed counts is sent."""
+        if self.answers is None:
+            self.answers, self.seen = np.empty((len(self.table), 2), dtype=np.float32), np.empty((len(self.table), 2), dtype=np.int8)
+            for a in range(0, len(self.table), 1 << 20):
+                part = slice(a, a + (1 << 20))
+                n0, n1 = (self.table[part] >> np.uint32(16)).astype(np.int32), (self.table[part] & np.uint32(0xFFFF)).astype(np.int32)
+                for branch, x, y in ((0, np.maximum(n0 - 1, 0), n1), (1, n0, np.maximum(n1 - 1, 0))):
+                    np.clip(LOGS.take(y) - LOGS.take(x), -31 / SCALE, 31 / SCALE, out=self.answers[part, branch])
+                    self.seen[part, branch] = _seen(x + y)
+            self.answers, self.seen = self.answers.ravel(), self.seen.ravel()
+
+
+def moments(code: Code, table: Unseen, s: Stream) -> np.ndarray:
     """[gate, predictor + 1, predictor]: curvature and, last, gradient of the log likelihood at the even weights, over all bytes, each predicted without its own occurrence."""
     out = np.zeros((GATES, PREDICTORS + 1, PREDICTORS))
+    table.spread()
     s.place_segments()
     owner = np.repeat(np.arange(len(s.texts) - 1, dtype=np.int32), np.diff(s.texts))
     for a in range(0, len(s.data), WINDOW_BYTES):
@@ -335,18 +355,27 @@ def moments(code: Code, table: np.ndarray, s: Stream) -> np.ndarray:
         slots, bits, _ = code.decisions(s.data[at], s.contexts(at, owner[at]))
         answers, seen = np.empty((PREDICTORS, len(bits)), dtype=np.float32), {}
         for k, x in enumerate(slots):
-            both = table.take(x).astype(np.int64)
-            n0, n1 = np.maximum((both >> 16) - (bits == 0), 0), np.maximum((both & 0xFFFF) - (bits == 1), 0)
-            np.clip(LOGS.take(n1) - LOGS.take(n0), -31 / SCALE, 31 / SCALE, out=answers[k])
+            x *= 2
+            x += bits
+            table.answers.take(x, out=answers[k], mode="clip")
             if k in (LONGEST, PAIR):
-                seen[k] = _seen(n0 + n1)
+                seen[k] = table.seen.take(x, mode="clip")
         p = 1 / (1 + np.exp(-np.clip(np.float32(START) * answers.sum(axis=0), -TOP, TOP)))
-        wrong, curve, gate = (bits - p).astype(np.float64), (p * (1 - p)).astype(np.float64), seen[LONGEST] * 3 + seen[PAIR]
+        gate = seen[LONGEST] * np.int8(3) + seen[PAIR]
+        order = np.argsort(gate, kind="stable")
+        edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+        answers = answers.take(order, axis=1, mode="clip").astype(np.float64)  # of repeated text the answers hardly differ, which single precision would blur
+        wrong, curve = (bits - p)[order].astype(np.float64), (p * (1 - p))[order].astype(np.float64)
         for g in range(GATES):
-            mine = np.flatnonzero(gate == g)
-            x = answers[:, mine].astype(np.float64)  # of repeated text the answers hardly differ, which single precision would blur
-            out[g, :-1] += (x * curve[mine]) @ x.T
-            out[g, -1] += x @ wrong[mine]
+            mine = slice(edges[g], edges[g + 1])
+            x = answers[:, mine]
+            for i in range(PREDICTORS):  # products of long rows are faster than one of narrow matrices
+                row = x[i] * curve[mine]
+                for j in range(i + 1):
+                    out[g, i, j] += row @ x[j]
+                out[g, -1, i] += x[i] @ wrong[mine]
+    for i in range(PREDICTORS):
+        out[:, :i, i] = out[:, i, :i]
     return out
 
 
@@ -358,12 +387,12 @@ def weights_of(sums: np.ndarray) -> np.ndarray:
 
 def first_weights(code: Code, zero: np.ndarray, one: np.ndarray, texts: list[str]) -> np.ndarray:
     """[gate, predictor]: the weights that texts teach, see ``learned_weights``, which does this for a table."""
-    return weights_of(moments(code, packed(zero, one), Stream(pa.array(texts, pa.large_string()))))
+    return weights_of(moments(code, Unseen(packed(zero, one)), Stream(pa.array(texts, pa.large_string()))))
 
 
 def learned_weights(source: DataFrame, code: Code, zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     """[gate, predictor]: the weights that all training texts teach; tasks send 270 sums each, which Spark adds up."""
-    shared = source.sparkSession.sparkContext.broadcast(packed(zero, one))  # 26 MB, whatever the corpus
+    shared = source.sparkSession.sparkContext.broadcast(Unseen(packed(zero, one)))  # 26 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GATES * (PREDICTORS + 1) * PREDICTORS)
