@@ -1,8 +1,10 @@
 """Language-model scores by online logistic context mixing over hashed contexts.
 
 Text is lower-cased (A-Z), ended by a byte that no UTF-8 text has, and predicted byte
-by byte.  A byte is a few binary decisions along a Huffman code built from the bytes
-of all training documents.
+by byte.  A byte is a few binary decisions along a Huffman code built from all training
+documents.  There is a code for each frequent pair of the two bytes before it in its
+segment (a word and the white space after it) and one for all others, so a byte takes
+3.0 decisions where one code for all bytes takes 4.4; every predictor knows those two bytes.
 
 Predictors.  Five contexts of a byte (the last 2, 4 and 6 bytes of the stream, words
 and spaces alike; the word so far; the word so far and the whole word before) are
@@ -49,7 +51,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import crc_bucket, cut, give_back, released, slices
-from tocsin.llm.memo import ragged
 from tocsin.llm.shingles import LOWER, SPACE, hashed_runs, mix, powers
 
 FOLDS, HELD_OUT = 7, 2
@@ -58,6 +59,8 @@ CHUNK = 2048
 ORDERS = (2, 4, 6)
 BITS = (18, 20, 21, 20, 21)  # of the three orders, the word so far, and the pair of words
 GROUP, OWN = 64, 48
+ROW_BITS, ROW_BLOCKS = 12, 16
+ROWS = 1 << ROW_BITS
 SIZES = np.array([1 << b for b in BITS], dtype=np.int64)
 SHIFT = np.concatenate([[0], np.cumsum(SIZES)])
 PREDICTORS, GATES = len(BITS), 9
@@ -67,7 +70,7 @@ PRIOR, SCALE = 0.4, 4.0
 FIRST_BLOCK, DOUBLINGS = 128, 6
 RATE, INERTIA, START = 0.35, 32.0, 0.3
 LEVELS, TOP, TRUST = 33, 10.0, 24.0
-WINDOW_BYTES, SLICE_BYTES = 1 << 16, 1 << 18
+WINDOW_BYTES, SLICE_BYTES = 1 << 15, 1 << 18
 COMMON = 65_536
 
 
@@ -79,6 +82,10 @@ def _unzip(x, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), dtype=dtype)
 
 
+def _doubled(k: int, context: np.ndarray) -> np.ndarray:
+    return ((context >> np.uint64(64 - BITS[k])).astype(np.int32) + np.int32(SHIFT[k])) * np.int32(2)
+
+
 class Stream:
     """The bytes of a batch of texts, each closed by END, and its segments: a word and the one white-space byte (or the end) after it."""
 
@@ -108,6 +115,35 @@ class Stream:
         self.before = np.append(np.uint64(0), mix(self.word[:-1] + np.uint64(0xABCD))) if len(self.word) else self.word
         self.before[self.segments[:-1]] = 0  # a text's first word has none before it
 
+    def bases(self) -> list[np.ndarray]:
+        """For each predictor twice the slot where each byte's context begins: with a step it gives 2 * slot + branch.
+
+        The same as by ``contexts``, but window by window; only a text's first bytes are looked at one by one.
+        """
+        n = len(self.data)
+        out = [np.empty(n, dtype=np.int32) for _ in BITS]
+        plus = np.concatenate([np.zeros(ORDERS[-1], np.uint16), self.data.astype(np.uint16) + np.uint16(1)])
+        begun = self.running.take(self.starts) + self.starts.astype(np.uint64) * np.uint64(0x9E3779B9)
+        for a in range(0, n, WINDOW_BYTES):
+            b = min(a + WINDOW_BYTES, n)
+            known, segment = np.zeros(b - a, dtype=np.uint64), self.segment[a:b].astype(np.int64)
+            for k in range(1, ORDERS[-1] + 1):
+                known *= np.uint64(257)
+                known += plus[ORDERS[-1] + a - k : ORDERS[-1] + b - k]
+                if k in ORDERS:
+                    i = ORDERS.index(k)
+                    out[i][a:b] = _doubled(i, mix(known + np.uint64(k)))
+            so_far = self.running[a:b] + np.arange(a, b, dtype=np.uint64) * np.uint64(0x9E3779B9)
+            so_far -= begun.take(segment, mode="clip")
+            out[-2][a:b] = _doubled(PREDICTORS - 2, mix(so_far + np.uint64(7)))
+            so_far += self.before.take(segment, mode="clip")
+            out[-1][a:b] = _doubled(PREDICTORS - 1, mix(so_far + np.uint64(8)))
+        owner = np.repeat(np.arange(len(self.texts) - 1), np.minimum(np.diff(self.texts), ORDERS[-1]))
+        at = np.arange(len(owner)) - np.searchsorted(owner, owner) + self.texts[owner]
+        for i, x in enumerate(self.contexts(at, owner)[: len(ORDERS)]):
+            out[i][at] = _doubled(i, x)
+        return out
+
     def contexts(self, at: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
         """Hashed contexts of the bytes at these places; owner: the text of each."""
         place = at - self.texts[owner]
@@ -124,54 +160,96 @@ class Stream:
         return out
 
 
+def _rows_of(s: Stream) -> np.ndarray:
+    """The row of counts of each byte: by the two bytes before it in its segment (fewer at its start), hashed."""
+    one, two = np.zeros(len(s.data), dtype=np.uint32), np.zeros(len(s.data), dtype=np.uint32)
+    one[1:], two[2:] = s.data[:-1], s.data[:-2]
+    one[s.starts], two[s.starts] = 0, 0
+    two[s.starts[s.starts + 1 < len(two)] + 1] = 0
+    two *= np.uint32(257)
+    two += one
+    two *= np.uint32(0x9E3779B1)
+    two >>= np.uint32(32 - ROW_BITS)
+    return two.astype(np.int32)
+
+
 class Code:
-    """A Huffman code over bytes: for each byte its decisions as nodes and branches."""
+    """Huffman codes over bytes: for each byte its decisions as nodes and branches.
+
+    counts: of the 256 bytes, or such a row for each row of ``_rows_of``.  A row that makes up at least 1/ROWS of
+    all bytes has a code of its own, the others share one.
+    """
 
     def __init__(self, counts: np.ndarray):
+        counts = np.atleast_2d(counts)
+        self.of = None
+        if len(counts) > 1:
+            many = counts.sum(axis=1)
+            own = np.flatnonzero((many > 0) & (many * ROWS >= many.sum()))
+            self.of = np.zeros(len(counts), dtype=np.int32)
+            self.of[own] = np.arange(1, len(own) + 1)
+            counts = np.concatenate([counts[self.of == 0].sum(axis=0)[None], counts[own]])
+        nodes, bits, sizes = zip(*(self._tree(x) for x in counts), strict=True)
+        self.edges = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.sizes = np.diff(self.edges)
+        self.nodes, self.bits = np.concatenate(nodes).astype(np.int16), np.concatenate(bits).astype(np.int8)
+        rank = 254 - self.nodes  # nodes were made from the rarest up
+        self.steps_of = (2 * np.where(rank < OWN, rank, OWN + rank % (GROUP - OWN)) + self.bits).astype(np.int8)
+
+    @staticmethod
+    def _tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, branches, number of them for each byte) of one code, from the root."""
         heap = [(int(n) + 1, k, k) for k, n in enumerate(counts)]
         heapq.heapify(heap)
-        parent, branch = np.zeros(511, dtype=np.int64), np.zeros(511, dtype=np.int8)
+        parent, branch = [0] * 511, np.zeros(511, dtype=np.int8)
         for node in range(256, 511):
             (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
             parent[a], parent[b], branch[b] = node, node, 1
             heapq.heappush(heap, (n + m, node, node))
-        nodes, bits = [], []
-        for k in range(256):
-            path = []
-            while k != 510:
-                path.append((int(parent[k]) - 256, int(branch[k])))
-                k = int(parent[k])
-            nodes.append([x for x, _ in path[::-1]])
-            bits.append([x for _, x in path[::-1]])
-        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
-        self.nodes, self.bits = np.concatenate(nodes).astype(np.int32), np.concatenate(bits).astype(np.int8)
-        rank = 254 - self.nodes  # nodes were made from the rarest up
-        self.places = np.where(rank < OWN, rank, OWN + rank % (GROUP - OWN)).astype(np.int32)
-
-    def decisions(self, chars: np.ndarray, contexts: list[np.ndarray]):
+        parent, at, leaf, nodes, bits = np.array(parent), np.arange(256), np.arange(256), [], []
+        leaves = []
+        while len(at):
+            nodes.append(parent[at] - 256)
+            bits.append(branch[at])
+            leaves.append(leaf)
+            at, leaf = parent[at], leaf[parent[at] != 510]
+            at = at[at != 510]
+        leaves, up = np.concatenate(leaves), np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+        order = np.lexsort((-up, leaves))
+        return np.concatenate(nodes)[order], np.concatenate(bits)[order], np.bincount(leaves, minlength=256)
+
+    def symbols(self, s: Stream) -> np.ndarray:
+        """The bytes of a stream, with the number of their code in the bits above."""
+        return s.data if self.of is None else self.of.take(_rows_of(s), mode="clip") * np.int32(256) + s.data
+
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(2 * place + branch of each decision, the byte that it is of, decisions of each byte)."""
+        symbols = symbols.astype(np.int64)
+        per, first = self.sizes.take(symbols, mode="clip"), self.edges.take(symbols, mode="clip")
+        first -= np.cumsum(per) - per
+        who = np.repeat(np.arange(len(per)), per)
+        at = first.take(who, mode="clip")
+        at += np.arange(len(who))
+        return self.steps_of.take(at, mode="clip").astype(np.int64), who, per
+
+    def decisions(self, symbols: np.ndarray, contexts: list[np.ndarray]):
         """(slots of each predictor, branch, decisions of each byte)."""
-        chars = chars.astype(np.int64)
-        places, at = ragged(self.places, self.edges, chars)
-        bits, _ = ragged(self.bits, self.edges, chars)
-        per = np.diff(at)
-        slots = []
-        for k, context in enumerate(contexts):
-            base = (context >> np.uint64(64 - BITS[k])).astype(np.int32) + np.int32(SHIFT[k])
-            slots.append(np.repeat(base, per) ^ places)  # within the base's group, in an order of the context's own
-        return slots, bits, per
+        steps, who, per = self.steps(symbols)
+        slots = [(_doubled(k, x).take(who, mode="clip") ^ steps) >> 1 for k, x in enumerate(contexts)]  # within the context's group, in an order of its own
+        return slots, (steps & 1).astype(np.int8), per
 
 
 def _gathered(buckets: int):
-    """Distinct training words of each chunk with their counts, by bucket of the word; and (bucket -1) the bytes' counts of the task."""
+    """Distinct training words of each chunk with their counts, by bucket of the word; and (bucket -1 and below, in ROW_BLOCKS blocks) the task's counts of bytes by row."""
     names = ["bucket", "words", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.uint64)
+        total = np.zeros(256 * ROWS, dtype=np.uint32)  # of one task, whose bytes are fewer than 2**32
         for big in batches:
             big = big.filter(big["learn"])
             for batch in slices(big, CHUNK):
                 s = Stream(batch["text"])
-                total += np.bincount(s.data, minlength=256).astype(np.uint64)
+                np.add.at(total, _rows_of(s) * np.int64(256) + s.data, np.uint32(1))
                 words, counts = np.unique(s.word[s.is_word], return_counts=True)
                 bucket = ((words >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -182,7 +260,8 @@ def _gathered(buckets: int):
                     rows.append((int(k), words[mine].tobytes(), _zip(counts[mine].astype(np.uint64))))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2))], names=names)
         if total.any():
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([_zip(total)], pa.binary())], names=names)
+            parts = [_zip(x.astype(np.uint64)) for x in np.split(total, ROW_BLOCKS)]
+            yield pa.record_batch([pa.array(-1 - np.arange(ROW_BLOCKS), pa.int32()), pa.array([b""] * ROW_BLOCKS, pa.binary()), pa.array(parts, pa.binary())], names=names)
 
     return released(run)
 
@@ -199,12 +278,6 @@ def _vocabulary(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(row, [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["bucket", "words", "counts", "tokens", "distinct"])
 
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch["counts"]:
-            yield pa.record_batch([pa.array(range(256), pa.int32()), pa.array(_unzip(x, np.uint64).astype(np.int64))], names=["byte", "n"])
-
-
 def _word_counts(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes of a bucket and their counts."""
     return np.frombuffer(batch["words"][i].as_py(), dtype=np.uint64), _unzip(batch["counts"][i], np.uint64).astype(np.int64)
@@ -220,14 +293,17 @@ def _branches(code: Code):
             for batch in slices(big, CHUNK, most=1 << 20):
                 s = Stream(batch["text"])
                 s.place_segments()
-                owner = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(s.texts))
-                for a in range(0, len(s.data), WINDOW_BYTES):
-                    at = np.arange(a, min(a + WINDOW_BYTES, len(s.data)))
-                    slots, bits, _ = code.decisions(s.data[at], s.contexts(at, owner[at]))
-                    for k in range(PREDICTORS):
-                        slots[k] *= 2
-                        slots[k] += bits
-                        np.add.at(total, slots[k], np.uint32(1))
+                symbols = code.symbols(s).astype(np.uint64)
+                for x in s.bases():  # equal bytes in equal contexts are counted at once, and memory is gone through in order
+                    x = x.astype(np.uint64) << np.uint64(32)
+                    x |= symbols
+                    x.sort()
+                    heads = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                    many, x = np.diff(np.append(heads, len(x))).astype(np.uint32), x[heads]
+                    for a in range(0, len(x), WINDOW_BYTES):
+                        part = x[a : a + WINDOW_BYTES]
+                        steps, who, _ = code.steps(part & np.uint64(0xFFFFFFFF))
+                        np.add.at(total, (part >> np.uint64(32)).astype(np.int64).take(who, mode="clip") ^ steps, many[a : a + WINDOW_BYTES].take(who, mode="clip"))
         if total.any():
             parts = [_zip(x.astype(np.uint64)) for x in np.array_split(total, BLOCKS)]
             yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
@@ -242,6 +318,12 @@ def _added(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([_zip(total)], pa.binary())], names=["block", "part"])
 
 
+def _all_added(parts: DataFrame) -> DataFrame:
+    """One row for each block, added up in two steps."""
+    lots = parts.withColumn("lot", F.pmod(F.xxhash64("part"), F.lit(16))).groupBy("block", "lot").applyInArrow(_added, "block int, part binary")
+    return lots.groupBy("block").applyInArrow(_added, "block int, part binary")
+
+
 def _seen(n: np.ndarray) -> np.ndarray:
     return np.where(n < 1, 0, np.where(n < 8, 1, 2)).astype(np.int8)
 
@@ -254,45 +336,57 @@ class Mixer:
         self.weights = np.tile(weights.T.astype(np.float32), texts)  # [predictor, text * GATES + gate]
         center = 1 / (1 + np.exp(-np.linspace(-TOP, TOP, LEVELS)))
         self.came, self.tried = np.tile(center * TRUST, texts), np.full(texts * LEVELS, TRUST)
-        self.rate = (self.came / self.tried).astype(np.float32)
+        self.set_rates()
         self.gradient, self.rows_seen = np.zeros_like(self.weights), np.zeros(texts * GATES, dtype=np.float32)
         self.cells_seen, self.cells_came = np.zeros(texts * LEVELS, dtype=np.float32), np.zeros(texts * LEVELS, dtype=np.float32)
 
-    def block(self, owner: np.ndarray, answers: list[np.ndarray], gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Natural logs of the decisions' probabilities, by the state before this block; what they teach is put by for ``step``."""
-        row = (owner * np.int32(GATES) + gate).astype(np.int64)  # take is fastest with these, and in range by construction
+    def block(self, rows: np.ndarray, many: np.ndarray, answers: list[np.ndarray], bits: np.ndarray) -> np.ndarray:
+        """Natural logs of the decisions' probabilities, added up for each row, by the state before this block; what they teach is put by for ``step``.
+
+        Decisions are in the order of their rows (text * GATES + gate); many: how many each row has.
+        """
+        starts = np.cumsum(many) - many
         total = np.zeros(len(bits), dtype=np.float32)
         for k in range(PREDICTORS):
-            total += self.weights[k].take(row, mode="clip") * answers[k]
+            part = np.repeat(self.weights[k].take(rows), many)
+            part *= answers[k]
+            total += part
         np.clip(total, -TOP + 1e-3, TOP - 1e-3, out=total)
-        mixed = 1 / (1 + np.exp(-total))
+        mixed = np.exp(-total)
+        mixed += np.float32(1)
+        np.reciprocal(mixed, out=mixed)
         total += np.float32(TOP)
         total *= np.float32((LEVELS - 1) / (2 * TOP))
-        low = total.astype(np.int32)
-        total -= low
-        cell = owner * np.int32(LEVELS) + low
-        refined = self.rate.take(cell, mode="clip")
-        refined += (self.rate.take(cell + 1, mode="clip") - refined) * total
+        cell = total.astype(np.int64)  # take is fastest with these, and in range by construction
+        total -= cell.astype(np.float32)
+        cell += np.repeat(rows // GATES * LEVELS, many)
+        refined, above = self.rate.take(cell, mode="clip"), self.rise.take(cell, mode="clip")
+        above *= total
+        refined += above
         refined += mixed
         taken = bits.astype(bool)
-        refined = np.where(taken, refined, 2 - refined)
-        np.multiply(refined, np.float32(0.5), out=refined)
+        np.subtract(np.float32(2), refined, out=refined, where=~taken)
+        refined *= np.float32(0.5)
         logs = np.log(np.maximum(refined, np.float32(1e-7), out=refined), out=refined)
-        wrong = taken - mixed
-        self.rows_seen += np.bincount(row, minlength=len(self.rows_seen))
+        wrong = np.subtract(bits, mixed, dtype=np.float32)
+        self.rows_seen[rows] += many
         for k in range(PREDICTORS):
-            np.add.at(self.gradient[k], row, wrong * answers[k])
+            self.gradient[k][rows] += np.add.reduceat(wrong * answers[k], starts)
         cell += total >= 0.5
         self.cells_seen += np.bincount(cell, minlength=len(self.cells_seen))
         self.cells_came += np.bincount(cell[taken], minlength=len(self.cells_came))
-        return logs
+        return np.add.reduceat(logs, starts, dtype=np.float64)
+
+    def set_rates(self) -> None:
+        self.rate = (self.came / self.tried).astype(np.float32)
+        self.rise = np.append(self.rate[1:] - self.rate[:-1], np.float32(0))
 
     def step(self) -> None:
         """The end of a block: everything takes a step."""
         self.weights += self.gradient * (np.float32(RATE) / (self.rows_seen + np.float32(INERTIA)))
         self.tried += self.cells_seen
         self.came += self.cells_came
-        self.rate = (self.came / self.tried).astype(np.float32)
+        self.set_rates()
         for x in (self.gradient, self.rows_seen, self.cells_seen, self.cells_came):
             x[...] = 0
 
@@ -329,19 +423,19 @@ class Unseen:
     """What a slot answers to each of its own occurrences, which is left out of its counts: place 2 * slot + branch."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.answers, self.seen = table, None, None
+        self.table, self.answers = table, None
 
     def spread(self) -> None:
-        """The log odds (53 MB) and how much is seen (13 MB), made once where they are used; only the table of packed counts is sent."""
+        """The log odds (53 MB), with how much is seen in their last two bits, made once where they are used; only the table of packed counts is sent."""
         if self.answers is None:
-            self.answers, self.seen = np.empty((len(self.table), 2), dtype=np.float32), np.empty((len(self.table), 2), dtype=np.int8)
+            self.answers = np.empty((len(self.table), 2), dtype=np.float32)
             for a in range(0, len(self.table), 1 << 20):
                 part = slice(a, a + (1 << 20))
                 n0, n1 = (self.table[part] >> np.uint32(16)).astype(np.int32), (self.table[part] & np.uint32(0xFFFF)).astype(np.int32)
                 for branch, x, y in ((0, np.maximum(n0 - 1, 0), n1), (1, n0, np.maximum(n1 - 1, 0))):
-                    np.clip(LOGS.take(y) - LOGS.take(x), -31 / SCALE, 31 / SCALE, out=self.answers[part, branch])
-                    self.seen[part, branch] = _seen(x + y)
-            self.answers, self.seen = self.answers.ravel(), self.seen.ravel()
+                    odds = np.clip(LOGS.take(y) - LOGS.take(x), -31 / SCALE, 31 / SCALE)
+                    self.answers[part, branch] = (odds.view(np.int32) & np.int32(-4) | _seen(x + y)).view(np.float32)
+            self.answers = self.answers.ravel()
 
 
 def moments(code: Code, table: Unseen, s: Stream) -> np.ndarray:
@@ -349,23 +443,23 @@ def moments(code: Code, table: Unseen, s: Stream) -> np.ndarray:
     out = np.zeros((GATES, PREDICTORS + 1, PREDICTORS))
     table.spread()
     s.place_segments()
-    owner = np.repeat(np.arange(len(s.texts) - 1, dtype=np.int32), np.diff(s.texts))
+    symbols, bases = code.symbols(s), s.bases()
     for a in range(0, len(s.data), WINDOW_BYTES):
-        at = np.arange(a, min(a + WINDOW_BYTES, len(s.data)))
-        slots, bits, _ = code.decisions(s.data[at], s.contexts(at, owner[at]))
-        answers, seen = np.empty((PREDICTORS, len(bits)), dtype=np.float32), {}
-        for k, x in enumerate(slots):
-            x *= 2
-            x += bits
+        steps, who, _ = code.steps(symbols[a : a + WINDOW_BYTES])
+        bits = steps & 1
+        answers = np.empty((PREDICTORS, len(bits)), dtype=np.float32)
+        for k, x in enumerate(bases):
+            x = x[a : a + WINDOW_BYTES].astype(np.int64).take(who, mode="clip")
+            x ^= steps
             table.answers.take(x, out=answers[k], mode="clip")
-            if k in (LONGEST, PAIR):
-                seen[k] = table.seen.take(x, mode="clip")
-        p = 1 / (1 + np.exp(-np.clip(np.float32(START) * answers.sum(axis=0), -TOP, TOP)))
-        gate = seen[LONGEST] * np.int8(3) + seen[PAIR]
+        longest, pair = ((answers[k].view(np.int32) & np.int32(3)).astype(np.int8) for k in (LONGEST, PAIR))
+        gate = longest * np.int8(3) + pair
         order = np.argsort(gate, kind="stable")
-        edges = np.searchsorted(gate[order], np.arange(GATES + 1))
-        answers = answers.take(order, axis=1, mode="clip").astype(np.float64)  # of repeated text the answers hardly differ, which single precision would blur
-        wrong, curve = (bits - p)[order].astype(np.float64), (p * (1 - p))[order].astype(np.float64)
+        edges = np.append(0, np.cumsum(np.bincount(gate, minlength=GATES)))
+        answers = answers.take(order, axis=1, mode="clip")
+        p = 1 / (1 + np.exp(-np.clip(np.float32(START) * answers.sum(axis=0), -TOP, TOP)))
+        wrong, curve = bits.take(order, mode="clip") - p, (p * (1 - p)).astype(np.float64)
+        answers = answers.astype(np.float64)  # of repeated text they hardly differ, which single precision would blur
         for g in range(GATES):
             mine = slice(edges[g], edges[g + 1])
             x = answers[:, mine]
@@ -409,6 +503,14 @@ def learned_weights(source: DataFrame, code: Code, zero: np.ndarray, one: np.nda
     return weights_of(sums.reshape(GATES, PREDICTORS + 1, PREDICTORS))
 
 
+def _odds(found: np.ndarray) -> np.ndarray:
+    """The log odds that a mixture's bytes stand for."""
+    out = (found >> 2).astype(np.float32)
+    out -= np.float32(31)
+    out *= np.float32(1 / SCALE)
+    return out
+
+
 class Mixture:
     """A byte for each slot (six bits of its log odds, two of how much it has been seen), the code and the first weights."""
 
@@ -419,21 +521,28 @@ class Mixture:
             n0, n1 = zero[a : a + (1 << 20)].astype(np.float32), one[a : a + (1 << 20)].astype(np.float32)
             odds = np.clip(np.round(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))) * SCALE), -31, 31) + 31
             self.slots[a : a + (1 << 20)] = odds.astype(np.uint8) * 4 + _seen(n0 + n1).astype(np.uint8)
-        self.odds = ((np.arange(256) // 4 - 31) / SCALE).astype(np.float32)
 
     def scores(self, s: Stream) -> np.ndarray:
         """Natural log of each text's probability."""
         n = len(s.texts) - 1
         out, mixer = np.zeros(n), Mixer(n, self.weights)
         s.place_segments()
+        symbols, bases = self.code.symbols(s), s.bases()
         for places, owners in _in_blocks(s):
-            for a in range(0, len(places), SLICE_BYTES):  # a block of a text that is longer than a slice is no longer than one
-                at, owner = places[a : a + SLICE_BYTES], owners[a : a + SLICE_BYTES]
-                slots, bits, per = self.code.decisions(s.data[at], s.contexts(at, owner))
-                owner = np.repeat(owner, per)
-                found = [self.slots.take(x, mode="clip") for x in slots]
-                gate = (found[LONGEST] & 3) * np.uint8(3) + (found[PAIR] & 3)
-                out += np.bincount(owner, weights=mixer.block(owner, [self.odds.take(x, mode="clip") for x in found], gate, bits), minlength=n)
+            for a in range(0, len(places), WINDOW_BYTES):  # a block may be gone through in parts: nothing moves before its end
+                at = places[a : a + WINDOW_BYTES]
+                steps, who, _ = self.code.steps(symbols.take(at, mode="clip"))
+                bits, owner = (steps & 1).astype(np.int8), owners[a : a + WINDOW_BYTES].take(who, mode="clip")
+                who, found = at.take(who, mode="clip"), []
+                for x in bases:
+                    x = x.take(who, mode="clip") ^ steps
+                    x >>= 1
+                    found.append(self.slots.take(x, mode="clip"))
+                row = (owner * np.int32(GATES) + ((found[LONGEST] & 3) * np.uint8(3) + (found[PAIR] & 3))).astype(np.uint16 if n * GATES < 1 << 16 else np.int32)
+                order, many = np.argsort(row, kind="stable"), np.bincount(row)
+                rows = np.flatnonzero(many)
+                logs = mixer.block(rows, many[rows], [_odds(x.take(order, mode="clip")) for x in found], bits.take(order, mode="clip"))
+                out += np.bincount(rows // GATES, weights=logs, minlength=n)
             mixer.step()
         return out
 
@@ -507,8 +616,7 @@ def learned_tables(source: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarra
 
     They are added in 64 bits on the cluster; a block whose counts pass 32 bits is halved until it fits, which keeps its odds.
     """
-    parts = source.select("text", "learn").mapInArrow(_branches(code), "block int, part binary").withColumn("lot", F.pmod(F.xxhash64("part"), F.lit(16)))
-    parts = parts.groupBy("block", "lot").applyInArrow(_added, "block int, part binary").groupBy("block").applyInArrow(_added, "block int, part binary")
+    parts = _all_added(source.select("text", "learn").mapInArrow(_branches(code), "block int, part binary"))
     sizes = [len(x) for x in np.array_split(np.empty(2 * SHIFT[-1], np.int8), BLOCKS)]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     both = np.zeros(2 * SHIFT[-1], dtype=np.uint32)
@@ -531,10 +639,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     learned = source.where("learn").count()
     sums = vocabulary.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     tokens, distinct = sums.n + learned, sums.v + (learned > 0)
-    byte_counts = np.zeros(256)
-    for r in gathered.where("bucket < 0").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        byte_counts[r.byte] = r.n
-    code = Code(byte_counts)
+    byte_counts = np.zeros((ROW_BLOCKS, 256 * ROWS // ROW_BLOCKS))
+    for r in _all_added(gathered.where("bucket < 0").select((-1 - F.col("bucket")).alias("block"), F.col("counts").alias("part"))).toLocalIterator():  # ROW_BLOCKS rows
+        byte_counts[r.block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.part), dtype=np.uint64)
+    code = Code(byte_counts.reshape(ROWS, 256))
     zero, one = learned_tables(source, code)
     mixture = Mixture(code, zero, one, learned_weights(source, code, zero, one))
     del zero, one
