@@ -52,6 +52,7 @@ TABLE_BITS = 20
 LANDMARKS = 256
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 1500, 4_000_000
 MAX_WORDS = 30_000
+FITTED = 2048
 BOUNDS = (0.0, 0.5, 1.0)
 CUTOFF = 0.7
 FOLDS = 3
@@ -77,12 +78,10 @@ def _grid(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     begin = starts[owner] + shift
     left = np.minimum(ends[owner] - begin, SPAN)
     width = int(left.max()) if len(left) else 1
-    place = np.arange(width)
-    inside = place < left[:, None]
-    chars = np.where(inside, LOWER[data[np.minimum(begin[:, None] + place, max(len(data) - 1, 0))]], 0)
     out = np.zeros((len(owner), width + 2 + 4), dtype=np.uint8)
     out[:, 0] = 32
-    out[:, 1 : width + 1] = chars
+    for place in range(width if len(data) else 0):  # column by column: places of all at once would take 16 times the words' memory
+        out[:, place + 1] = np.where(place < left, LOWER[data[np.minimum(begin + place, len(data) - 1)]], 0)
     out[np.arange(len(owner)), left + 1] = 32
     return out, owner
 
@@ -149,17 +148,23 @@ def _fit_words(grid: np.ndarray, toxic: np.ndarray, weight: np.ndarray, lead: np
     values, basis = np.linalg.eigh(kernel[marks].astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = basis[:, good] / np.sqrt(values[good])
-    x = np.column_stack([kernel @ whiten.astype(np.float32), np.ones(len(grid), np.float32)])
+    x, narrow = kernel[:, : whiten.shape[1]], whiten.astype(np.float32)
+    for at in range(0, len(grid), FITTED):  # in the kernel's own place, as it is 30 MB and this runs in the driver
+        x[at : at + FITTED] = kernel[at : at + FITTED] @ narrow
     y = np.where(toxic > 0, 1.0, -1.0).astype(np.float32)
     c = (weight / weight.sum()).astype(np.float32)
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    reg = np.full(len(w), ridge)
     reg[-1] = 1e-8
     for _ in range(12):
-        margin = y * (x @ w.astype(np.float32))
-        inside = margin < 1
-        xi, ci = x[inside], c[inside]
-        new = np.linalg.solve((xi.T * ci) @ xi + np.diag(reg), xi.T @ (ci * y[inside]))
+        inside = y * (x @ w[:-1].astype(np.float32) + np.float32(w[-1])) < 1
+        curve, slope = np.diag(reg), np.zeros(len(w))
+        for at in range(0, len(x), FITTED):
+            some = at + np.flatnonzero(inside[at : at + FITTED])
+            xi, ci = np.column_stack([x[some], np.ones(len(some), np.float32)]), c[some]
+            curve += (xi.T * ci) @ xi
+            slope += xi.T @ (ci * y[some])
+        new = np.linalg.solve(curve, slope)
         if np.abs(new - w).max() < 1e-4:
             break
         w = new
@@ -243,7 +248,10 @@ class Model:
         array = pa.array(texts, pa.large_string())
         data, hashes, starts, ends, offsets = _letters(array)
         _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        grid, owner = _grid(data, starts[one], ends[one])
+        starts, ends, back = starts[one].copy(), ends[one].copy(), back.astype(np.int32)
+        del hashes, array
+        give_back()
+        grid, owner = _grid(data, starts, ends)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
         grid = grid[first]  # to learn, the first part of a word that is longer than SPAN is enough
         doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
@@ -254,7 +262,7 @@ class Model:
         for k in (0, 1):
             mine = fold[doc] != k
             table, bias = _train_machine(grid, doc[mine], word[mine], toxic & (fold != k)) if (toxic & (fold != k)).any() else (np.zeros(1 << TABLE_BITS), -1.0)
-            found = word_decisions(table, bias, data, starts[one], ends[one])[back]
+            found = word_decisions(table, bias, data, starts, ends)[back]
             pooled[fold == k] = _pool(found, offsets)[fold == k]
         self.logistic = _logistic(pooled, toxic.astype(float))
         self.table, self.bias = _train_machine(grid, doc, word, toxic)
