@@ -161,6 +161,44 @@ def test_difflib_sees_few_pairs(monkeypatch):
     assert far.sum() == 1770 and len(seen) < 20
 
 
+def test_matching_blocks_are_those_of_difflib():
+    rng = random.Random(4)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abc", "abcdefgh ", "ab é漢"])
+        a, b = ("".join(rng.choices(letters, k=rng.randrange(40))) for _ in "ab")
+        if rng.random() < 0.5:
+            b = a[: rng.randrange(len(a) + 1)] + b  # a common beginning
+        if rng.random() < 0.1:
+            a, b = a * 8, b * 7  # from 200 characters on difflib leaves usual ones out
+        assert fuzzy.matched_length(a, b) == sum(block.size for block in SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
+
+
+def test_similar_titles_need_no_plain_difflib(monkeypatch):
+    rng = random.Random(7)
+    texts = ["the same beginning of many titles, " + "".join(rng.choices("abcdef gh", k=20)) for _ in range(30)]
+    x, y = np.triu_indices(len(texts), 1)
+    ordered = lambda t: " ".join(sorted(t.split()))
+    want = [100 * max(SequenceMatcher(None, texts[i], texts[j]).ratio(), SequenceMatcher(None, ordered(texts[i]), ordered(texts[j])).ratio()) for i, j in zip(x, y, strict=True)]
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", None)
+    assert min(want) > 60 and fuzzy.sequence_scores(texts, x, y, 60.0).tolist() == want
+
+
+def test_a_side_that_meets_itself_has_each_pair_once(monkeypatch):
+    titles = _mixed_titles(np.random.default_rng(29), 300)
+    monkeypatch.setattr(screen, "STRIP", 16)
+    monkeypatch.setattr(screen, "HANDED", 500)
+    for strips, whole, least in ((screen.title_strips, screen.title_candidates, 70.0), (screen.sequence_strips, screen.sequence_candidates, 70.0)):
+        parts = list(strips(titles, titles, least, True))
+        got = [(min(i, j), max(i, j)) for part in parts for i, j in zip(part[0].tolist(), part[1].tolist(), strict=True)]
+        one, other, _ = whole(titles, titles, least)
+        want = {(i, j) for i, j in zip(one.tolist(), other.tolist(), strict=True)} | {(j, i) for i, j in zip(one.tolist(), other.tolist(), strict=True)}
+        assert len(parts) > 1 and len(got) == len(set(got)) and set(got) <= want
+        x, y = np.array(sorted(want)).T
+        scorer = fuzzy.title_scores if strips is screen.title_strips else fuzzy.sequence_scores
+        similar = {(min(i, j), max(i, j)) for i, j, v in zip(x.tolist(), y.tolist(), scorer(titles, x, y, least), strict=True) if v and i != j}
+        assert len(similar) > 100 and similar <= set(got)
+
+
 def test_late_reports_revise_their_component(spark):
     rng = random.Random(9)
     words = ["alpha", "bravo", "carbon", "delta", "echo"]
