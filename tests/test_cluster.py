@@ -199,6 +199,20 @@ def test_a_side_that_meets_itself_has_each_pair_once(monkeypatch):
         assert len(similar) > 100 and similar <= set(got)
 
 
+def test_titles_of_other_letters_are_ruled_out_by_counts(monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices(letters, k=7)) for _ in range(12)) for letters in ("abcdefghijk", "lmnopqrstuv") for _ in range(40)]
+    x, y = np.triu_indices(len(texts), 1)
+    seen, common = [], fuzzy.Strings.common
+    monkeypatch.setattr(fuzzy.Strings, "common", lambda self, a, start, size: seen.append(len(a)) or common(self, a, start, size))
+    got = fuzzy.title_scores(texts, x, y, 70.0)
+    apart = (x < 40) & (y >= 40)
+    assert apart.sum() == 1600 and not got[apart].any()
+    whole, seen[:] = sum(seen), []
+    fuzzy.title_scores(texts, x[~apart], y[~apart], 70.0)
+    assert sum(seen) == whole  # no pair of the two kinds was looked at
+
+
 def test_late_reports_revise_their_component(spark):
     rng = random.Random(9)
     words = ["alpha", "bravo", "carbon", "delta", "echo"]
