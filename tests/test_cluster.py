@@ -2,9 +2,11 @@
 
 import datetime as dt
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 
 from tocsin.operators import cluster as C
 from tocsin.operators import fuzzy, screen
@@ -84,6 +86,34 @@ def test_chain_of_a_thousand_days_is_swept_in_one_pass(spark, monkeypatch):
     assert sum(e.region == "q" for e in got) == 100 and writes == ["titles", "pairs"]  # no rounds
 
 
+def test_sweep_holds_no_object_for_each_pair_and_goes_on_over_batches(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    days, pairs = {k: k // 300 for k in range(900)}, []
+    for b in range(900):
+        for a in sorted(rng.choice(900, size=200, replace=False).tolist(), key=lambda a: (days[a], a)):
+            if a < b and days[b] - days[a] <= 1 and (a % 7 == b % 7 or b % 50 == 0):
+                pairs.append(("r", days[b], days[b] - days[a], a, b))
+    dropped = {}
+    for _, _, _, a, b in pairs:
+        if b not in dropped and a not in dropped:
+            dropped[b] = a
+    ran = []
+    given = spark.createDataFrame([("r", day(0), 0, 1, 2)], "region string, day date, gap int, a long, b long")
+    monkeypatch.setattr(type(given), "mapInArrow", lambda df, f, schema: ran.append(f) or df)
+    C.sweep(given)
+    columns = lambda rows: [pa.array(c) for c in zip(*[(r, 0, d, gap, a, b) for r, d, gap, a, b in rows], strict=True)]
+    names = ["region", "chain", "day", "gap", "a", "b"]
+    batches = [pa.record_batch(columns(pairs[at : at + 97]), names=names) for at in range(0, len(pairs), 97)]
+    got = {x["id"]: x["rep"] for out in ran[0](iter([batches[0].slice(0, 0), *batches])) for x in out.to_pylist()}
+    assert got == dropped and len(dropped) > 500
+    many = 200_000
+    hot = pa.record_batch([pa.array(["r"]).take(pa.array(np.zeros(many, dtype=np.int64))), *[pa.array(np.zeros(many, dtype=np.int64))] * 3, pa.array(np.arange(many) % 1000), pa.array(1000 + np.arange(many) // 1000)], names=names)
+    tracemalloc.start()
+    assert sum(out.num_rows for out in ran[0](iter([hot]))) == 200
+    assert tracemalloc.get_traced_memory()[1] < 4e6
+    tracemalloc.stop()
+
+
 TITLES = ["port hit by missile strike", "Missile strike hits port of Odesa", "strike", "a a b", "b a", "x y z", "z y x w", "The port, hit again", "talks resume in the capital", "talks in capital resume", "é 漢字 talks", "aaaa", "aaab"]
 
 
